@@ -13,8 +13,12 @@ goes unfound with a probability of 1e-7 (0.3672 ** 16), a closer one far more ra
    other pairs of a key are made yet.
 3. Pairs are confirmed on the full sets, and the confirmed links give components by alternating
    large-star and small-star steps.
-4. Where classes of one key are still in different components, all pairs across these components
-   are confirmed too, and the components are joined again. Pairs inside a component can change nothing.
+4. Where classes of one key are still in different components, another hub is drawn, the same for all keys that
+   hold it, and tried with the classes outside its component; ROUNDS times, each with the components so far.
+   Thousands of near copies that resemble one another in part mostly grow together by these few tries.
+5. Classes connected by candidate pairs are a cluster. What is still outside the largest component of its cluster is
+   compared with the whole cluster, in blocks, on the full sets; only links leave a task. Pairs inside a
+   component can change nothing. This step loses no link, but its time grows with strays times cluster.
 
 Defined results: null or wordless text has an empty set and is linked with nothing; fewer than five
 words make one shingle of them all; repeated rows are one class, and each gets a row; the smallest
@@ -27,6 +31,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +40,7 @@ from .common import WordHash, cut, gram_hashes, lower_words_of, map_arrow, mixed
 
 SHINGLE, SHARE = 5, 75
 M, C, E = 16, 5, 1
+ROUNDS, GROUP, SLICE = 2, 256, 16384
 L = M * C
 _SEEDS = mixed(np.arange(1, L + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _DELETED = np.array([[j for j in range(C) if j != d] for d in range(C)])
@@ -125,15 +131,84 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The pairs (a, b) of classes that are links; sets are built only for classes that occur in pairs."""
+def sets_of(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(cid, shingles): the full sets of the classes that occur in pairs (a, b), each built from one of its documents."""
     needed = pairs.select("a").union(pairs.select(F.col("b"))).distinct()
     one = members.join(needed, members["cid"] == needed["a"], "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
     one = one.select("cid", F.col("row.doc_id").alias("id"), F.col("row.text_key").alias("tk"))
     texts = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (row_key() == F.col("tk"))).select("cid", "text").dropDuplicates(["cid"])
-    sets = stored(map_arrow(texts, _sets, "cid long, shingles binary"), "near-sets")
+    return stored(map_arrow(texts, _sets, "cid long, shingles binary"), "near-sets")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes that are links."""
     left, right = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
-    return map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb"), _confirm, "a long, b long")
+    return cut(map_arrow(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb"), _confirm, "a long, b long"))
+
+
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y, as products of 0/1 matrices over SLICE shingles at a time."""
+    out = np.zeros((len(x), len(y)), np.float32)
+    both = np.intersect1d(np.concatenate(x), np.concatenate(y))
+
+    def cells(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        flat = np.concatenate(sets)
+        at = np.searchsorted(both, flat)
+        at[at == len(both)] = 0
+        hit = both[at] == flat
+        return row[hit], at[hit]
+
+    if not len(both):
+        return out
+    (xr, xc), (yr, yc) = cells(x), cells(y)
+    for lo in range(0, len(both), SLICE):
+        n = min(SLICE, len(both) - lo)
+        p, q = np.zeros((len(x), n), np.float32), np.zeros((len(y), n), np.float32)
+        for m, r, c in ((p, xr, xc), (q, yr, yc)):
+            on = (c >= lo) & (c < lo + n)
+            m[r[on], c[on] - lo] = 1
+        out += p @ q.T
+    return out
+
+
+def _across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Links between a block of strays and a block of their cluster."""
+    if not len(left) or not len(right):
+        return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    x, y = ([np.frombuffer(s, np.uint64) for s in t] for t in (left["x_shingles"], right["shingles"]))
+    both = shared_counts(x, y)
+    sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+    ok = (100 * both >= SHARE * (sizes - both)) & (left["x_root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :])
+    i, j = np.nonzero(ok)
+    return pd.DataFrame({"a": left["x_cid"].to_numpy()[i], "b": right["cid"].to_numpy()[j]})
+
+
+def links_across(clusters: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links between the components of each cluster.
+
+    The largest component of a cluster is its core; every other class is a stray. Strays meet all classes of the cluster,
+    in blocks of about GROUP classes on either side, so no task holds more than two blocks, and only links leave it."""
+    at = clusters.select(F.col("node").alias("cid"), F.col("root").alias("cluster")).join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    by_root = at.groupBy("cluster", "root").agg(F.count("*").alias("n"))
+    sizes = by_root.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("core")).where("n > core.n")
+    blocks = lambda n: F.ceil(n / GROUP).cast("int")
+    sizes = sizes.select("cluster", F.col("core.root").alias("core"), blocks(F.col("n")).alias("cols"), blocks(F.col("n") - F.col("core.n")).alias("rows"))
+    known = stored(at.join(sizes, "cluster"), "near-strays").join(sets, "cid")
+    dealt = lambda seed, n: F.pmod(F.xxhash64("cid", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    strays = known.where("root <> core").withColumn("i", dealt(1, "rows")).withColumn("j", every("cols")).select(*[F.col(c).alias(f"x_{c}") for c in ("cluster", "i", "j", "cid", "root", "shingles")])
+    all_ = known.withColumn("j", dealt(2, "cols")).withColumn("i", every("rows")).select("cluster", "i", "j", "cid", "root", "shingles")
+    return cut(strays.groupBy("x_cluster", "x_i", "x_j").cogroup(all_.groupBy("cluster", "i", "j")).applyInPandas(_across, "a long, b long"))
+
+
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after further links (a, b)."""
+    ends = links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+    merged = components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    # a class without a root so far is its own
+    every = roots.union(merged.join(roots.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("old").alias("root")))
+    return cut(every.join(merged, every["root"] == merged["old"], "left").select("node", F.coalesce("new", "root").alias("root")))
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -170,20 +245,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # keys of two classes are pairs already; only those of more need their members
     crowded = stored(keys.join(hubs.where("n > 2").select("key", "hub"), "key").where("cid <> hub"), "near-crowded")
     pairs = stored(hubs.where("n = 2").select(F.col("hub").alias("a"), F.col("last").alias("b")).union(crowded.select(F.col("hub").alias("a"), F.col("cid").alias("b"))).distinct(), "near-pairs")
-    links = cut(confirmed(pairs, docs, members))
-    roots = cut(components(links))
-    # classes of one key in different components: all pairs across them
-    placed = crowded.select("key", "cid").union(crowded.select("key", F.col("hub").alias("cid")).distinct())
-    placed = placed.join(roots, placed["cid"] == roots["node"], "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
-    mixed_keys = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    open_ = cut(placed.join(mixed_keys, "key"))
-    other = open_.select("key", F.col("cid").alias("b"), F.col("root").alias("rb"))
-    across = open_.join(other, "key").where((F.col("cid") < F.col("b")) & (F.col("root") != F.col("rb"))).select(F.col("cid").alias("a"), "b").distinct()
-    across = cut(across.join(pairs, ["a", "b"], "left_anti"))
-    if not across.isEmpty():
-        more = cut(confirmed(across, docs, members))
-        if not more.isEmpty():
-            roots = cut(components(links.union(more)))
+    sets = sets_of(pairs, docs, members)
+    roots = cut(components(confirmed(pairs, sets)))
+    placed = stored(crowded.select("key", "cid").union(crowded.select("key", F.col("hub").alias("cid")).distinct()), "near-placed")
+    tried = pairs
+    for i in range(ROUNDS):
+        at = placed.join(roots, placed["cid"] == roots["node"], "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+        hubs = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(i)).alias("h"), "cid", "root")).alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
+        trial = at.join(hubs.select("key", "hub"), "key").where(F.col("root") != F.col("hub.root")).select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
+        trial = stored(trial.join(tried, ["a", "b"], "left_anti"), "near-trial")
+        tried = tried.union(trial)
+        roots = joined_roots(roots, confirmed(trial, sets))
+    roots = joined_roots(roots, links_across(components(pairs), roots, sets))
     named = members.join(roots, members["cid"] == roots["node"], "left").select("doc_id", F.coalesce("root", "cid").alias("component_key"))
     names = named.groupBy("component_key").agg(F.min("doc_id").alias("component_id"))
     with_root = rows.join(roots, rows["cid"] == roots["node"], "left").select("doc_id", "text_key", "n_shingles", F.coalesce("root", "cid").alias("component_key"))
