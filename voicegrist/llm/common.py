@@ -102,7 +102,25 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+class _Powers:
+    """Powers of the base and of its inverse, modulo 2 ** 64, as far as they have been needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            m = len(self.up)
+            self.up = np.concatenate([self.up, self.up * np.uint64(pow(_BASE, m, 1 << 64))])
+            self.down = np.concatenate([self.down, self.down * np.uint64(pow(_INVERSE, m, 1 << 64))])
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -112,16 +130,33 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def prefix_sums(h: np.ndarray) -> np.ndarray:
+    """Sums of the words' hashes times powers of the base: the hash of any run is a difference of two."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(len(h))[0], dtype=np.uint64)])
+
+
+def run_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs [start, end) of words."""
+    return mixed((sums[ends] - sums[starts]) * _powers(len(sums))[1][starts])
+
+
 def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k words, from the words' hashes."""
-    n = len(h) - k + 1
-    if n <= 0:
+    if len(h) < k:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out *= _BASE
-        out += h[i : i + n]
-    return mixed(out)
+    sums = prefix_sums(h)
+    return mixed((sums[k:] - sums[:-k]) * _powers(len(sums))[1][: len(h) - k + 1])
+
+
+def minima(hashes: np.ndarray, w: int) -> np.ndarray:
+    """For each run of w hashes the place of its smallest (by the upper 32 bits, the first of equals)."""
+    least = (hashes & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(hashes), dtype=np.uint64)
+    held = 1
+    while held < w:
+        step = min(held, w - held)
+        least = np.minimum(least[:-step], least[step:])
+        held += step
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, alnum_words_of, bit_filter, collected_filter, gram_hashes, in_filter, map_arrow, row_key, signed, stored, table
+from .common import WordHash, alnum_words_of, bit_filter, collected_filter, gram_hashes, in_filter, map_arrow, minima, row_key, signed, stored, table
 
 N, K = 13, 8
 W = N - K + 1
@@ -39,7 +39,7 @@ def winnowed(grams: np.ndarray, w: int = W) -> np.ndarray:
     """Positions of the fingerprints: the first smallest hash of each run of w."""
     if len(grams) < w:
         return np.empty(0, np.int64)
-    at = np.lib.stride_tricks.sliding_window_view(grams, w).argmin(axis=1) + np.arange(len(grams) - w + 1)
+    at = minima(grams, w)
     return at[np.r_[True, at[1:] != at[:-1]]]
 
 

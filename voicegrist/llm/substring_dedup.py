@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BASE, WordHash, bit_filter, collected_filter, gram_hashes, in_filter, map_arrow, mixed, row_key, signed, stored, table, words_of
+from .common import WordHash, bit_filter, collected_filter, gram_hashes, in_filter, map_arrow, minima, mixed, prefix_sums, row_key, run_hashes, signed, stored, table, words_of
 
 N, K = 35, 8
 FILTER_BITS = 1 << 26
@@ -46,17 +46,14 @@ class Phrases:
         h = hashes.array(words)
         grams = gram_hashes(h, K)
         starts = len(words) - N + 1
-        at = np.lib.stride_tricks.sliding_window_view(grams, N - K + 1).argmin(axis=1) + np.arange(starts)
+        at = minima(grams, N - K + 1)
         self.s0 = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
         self.s1 = np.r_[self.s0[1:] - 1, starts - 1]
         own = at[self.s0]
         self.a = grams[own]
         self.words = h
         lengths = self.s1 + N - self.s0
-        u = np.zeros(len(own), np.uint64)
-        for i in range(int(lengths.max())):
-            on = np.flatnonzero(lengths > i)
-            u[on] = u[on] * _BASE + h[self.s0[on] + i]
+        u = run_hashes(prefix_sums(h), self.s0, self.s0 + lengths)
         self.u = mixed(u ^ mixed(((own - self.s0) * 64 + lengths).astype(np.uint64)))
 
 
