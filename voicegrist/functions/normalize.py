@@ -287,7 +287,7 @@ def normalize_corpus(sentences: DataFrame, column: str = "text", rewrites: list[
     return out
 
 
-CENSUS = {"digits": "[0-9]+", "money": r"[$€£¥][0-9]", "iso_date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "caps": r"\b[A-Z][A-Z]+\b", "accents": r"[À-ɏ]", "email_at": "@", "url": r"https?://|www\.", "percent": "%"}
+CENSUS = {"digits": "[0-9]+", "money": r"[$€£¥][0-9]", "iso_date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "caps": "[A-Z][A-Z]+", "accents": r"[À-ɏ]", "email_at": "@", "url": r"https?://|www\.", "percent": "%"}
 
 
 def nsw_census(docs: DataFrame, *groups: str) -> DataFrame:
