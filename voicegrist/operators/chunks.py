@@ -28,7 +28,7 @@ def enforce_cap(utterances: DataFrame, cap: int = CAP) -> DataFrame:
     fits = F.char_length("phonemes") <= cap
     over = utterances.where(~fits)
     longest = over.agg(F.max(F.size(F.split("phonemes", " ")))).first()[0] or 0
-    pieces = F.filter(F.transform(F.split("phonemes", ","), F.trim), lambda p: p != "")
+    pieces = F.filter(F.transform(F.split("phonemes", ","), lambda p: F.trim(p)), lambda p: p != "")
     cut = over.select("doc_id", "sent_idx", pieces.alias("ps"))
     for _ in range(longest.bit_length() + 1 if longest else 0):
         cut = cut.select("doc_id", "sent_idx", _halves(F.col("ps"), cap).alias("ps"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 
 def normalized_words(text: Column) -> Column:
@@ -30,12 +31,15 @@ def _joins_free(ref: list[str], hyp: list[str]) -> int:
     return rows[-1][-1]
 
 
-@F.pandas_udf("int")
-def word_edit_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _edits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for ref, hyp in batches:
         yield pd.Series([_joins_free(list(r), list(h)) for r, h in zip(ref, hyp, strict=True)], dtype="int32")
 
 
+def word_edit_distance(ref: Column | str, hyp: Column | str) -> Column:
+    return F.pandas_udf(_edits, IntegerType())(ref, hyp)
+
+
 def wer(pairs: DataFrame) -> DataFrame:
     """(idx, edits, denom, wer) of (idx, ref, hyp): edits over the longer side, joins free."""
     w = pairs.select("idx", normalized_words(F.col("ref")).alias("r"), normalized_words(F.col("hyp")).alias("h"))

@@ -12,7 +12,6 @@ ABBREVIATIONS = "mrs. mr. ms. dr. prof. st. jr. sr. e.g. i.e. etc. vs. cf. a.m.
 SHORT_CHAPTER_BYTES = 2000
 
 _BLANK = r"\n\s*\n"
-_DOC = Window.partitionBy("doc_id").orderBy("para_idx")
 
 
 def _clean(text: Column) -> Column:
@@ -49,8 +48,9 @@ def classify_paragraphs(docs: DataFrame) -> DataFrame:
 
 def split_chapters_raw(docs: DataFrame) -> DataFrame:
     """(doc_id, chapter_idx, text): a chapter starts where a heading follows body text."""
-    starts = ((F.lag("kind").over(_DOC) == "body") & (F.col("kind") == "heading")).cast("int")
-    numbered = classify_paragraphs(docs).withColumn("chapter_idx", F.sum(F.coalesce(starts, F.lit(0))).over(_DOC.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    line = Window.partitionBy("doc_id").orderBy("para_idx")
+    starts = ((F.lag("kind").over(line) == "body") & (F.col("kind") == "heading")).cast("int")
+    numbered = classify_paragraphs(docs).withColumn("chapter_idx", F.sum(F.coalesce(starts, F.lit(0))).over(line.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
     parts = numbered.groupBy("doc_id", "chapter_idx").agg(F.array_sort(F.collect_list(F.struct("para_idx", "text", "gap"))).alias("ps"))
     joined = F.array_join(F.transform("ps", lambda p, i: F.concat(p["text"], F.when(i < F.size("ps") - 1, p["gap"]).otherwise(F.lit("")))), "")
     return parts.select("doc_id", "chapter_idx", joined.alias("text"))
