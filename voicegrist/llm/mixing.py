@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import NON_SPACE, stored, table
 
 BITS = 12
+#: With at most so many sources their table of a few numbers each is broadcast.
+MOST_SOURCES = 100_000
 
 
 def uniform52(doc_id: str = "doc_id", seed: str = "mix") -> Column:
@@ -70,9 +72,12 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     targets = targets.withColumn("whole", F.floor(ratio)).withColumn("p", ratio - F.floor(ratio)).withColumn("due", F.col("target") - F.floor(ratio) * F.col("source_size"))
     targets = stored(targets, "mix-targets")
 
+    few = targets.count() <= MOST_SOURCES
+
     def of(df: DataFrame, *cols: str | Column) -> DataFrame:
-        """A small side of a join, its source named s."""
-        return df.select(F.col("source").alias("s"), *cols)
+        """The side of a join with a row for each source, its source named s: sent to all tasks if its checked size allows, else joined by AQE."""
+        side = df.select(F.col("source").alias("s"), *cols)
+        return F.broadcast(side) if few else side
 
     on = F.col("source").eqNullSafe(F.col("s"))
     first = _crossing(bins.join(of(targets, "due"), on).withColumn("start", F.lit(0)), "b1").select("source", F.col("b1").alias("at1"), "due", F.col("cum").alias("start"))
