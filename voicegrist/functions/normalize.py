@@ -19,7 +19,7 @@ SPOKEN = {
     "mrs.": "Missus", "mr.": "Mister", "ms.": "Miz", "dr.": "Doctor", "prof.": "Professor", "st.": "Saint", "jr.": "Junior", "sr.": "Senior",
     "e.g.": "for example", "i.e.": "that is", "etc.": "et cetera", "vs.": "versus", "cf.": "compare", "a.m.": "A M", "p.m.": "P M",
 }
-SAY_AS_WORD = "NASA NATO JSON FAQ RAM SCUBA LASER RADAR".split()
+SAY_AS_WORD = "NASA NATO RADAR ASCII JSON ASAP FAQ PIN".split()
 TLDS = "com org net edu gov io co uk de fr jp cn ru us info biz me ai app dev tv".split()
 URL_MARKS = {".": "dot", "/": "slash", ":": "colon", "-": "dash", "_": "underscore", "?": "question mark", "=": "equals", "&": "and", "#": "hash", "~": "tilde"}
 EMPHASIS = "to in on at of or as by is be an no so we he my me do if it up am go".split()

@@ -113,7 +113,7 @@ def candidates(word: Column) -> Column:
 
     cut = lambda k: F.substring(low, 1, F.length(low) - k)
     small = ~caps
-    out = [c("acronym_word", word.isin("NASA", "NATO", "RAM", "SCUBA", "LASER", "RADAR"), word), c("emphasis", caps & (F.length(word) >= 3), low, gold_only=True), c("emphasis", caps & (F.length(word) >= 6), low)]
+    out = [c("acronym_word", word.isin("NASA", "NATO", "RADAR", "ASCII", "ASAP", "PIN"), word), c("emphasis", caps & (F.length(word) >= 3), low, gold_only=True), c("emphasis", caps & (F.length(word) >= 6), low)]
     out += [c("gold", small, word, gold_only=True), c("gold", small, low, gold_only=True)]
     out += [c("plural", small & low.rlike(".ies$"), F.concat(cut(3), F.lit("y")), True, add="allo"), c("plural", small & low.rlike(".s$"), cut(1), True, add="allo"), c("plural", small & low.rlike(".es$"), cut(2), True, add="allo")]
     out += [c("phones", small, low), c("possessive", small & low.rlike("[^']'s$"), cut(2), add="allo"), c("hyphenated", small & word.contains("-"), F.replace(low, F.lit("-"), F.lit("")))]
