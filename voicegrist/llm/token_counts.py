@@ -34,8 +34,6 @@ class PieceCounts(dict):
 
     def learn(self, pieces: Iterable[str]) -> dict[str, int]:
         """Counts of pieces not yet known, in batches of about BATCH_BYTES characters."""
-        if len(self) > self.LIMIT:
-            self.clear()
         once: dict[str, int] = {}
         batch: list[str] = []
         held = 0
@@ -51,6 +49,8 @@ class PieceCounts(dict):
         return once
 
     def count(self, text: str) -> int:
+        if len(self) > self.LIMIT:  # before any piece of this text is looked up
+            self.clear()
         pieces = _SAFE.split(text)
         new = {p for p in pieces if p not in self}
         once = self.learn(new) if new else {}
