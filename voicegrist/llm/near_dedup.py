@@ -10,14 +10,11 @@ goes unfound with a probability of 1e-7 (0.3672 ** 16), a closer one far more ra
 
 1. Rows of equal sets are one class; only classes are joined, so exact copies never pair.
 2. Of the classes of a key the smallest is the hub, and each other class is paired with it. No
-   other pairs of a key are made yet.
+   other pairs of a key are made.
 3. Pairs are confirmed on the full sets, and the confirmed links give components by alternating
    large-star and small-star steps.
-4. Where classes of one key are still in different components, another hub is drawn, the same for all keys that
-   hold it, and tried with the classes outside its component; ROUNDS times, each with the components so far.
-   Thousands of near copies that resemble one another in part mostly grow together by these few tries.
-5. Classes connected by candidate pairs are a cluster. What is still outside the largest component of its cluster is
-   compared with the whole cluster, in blocks, on the full sets; only links leave a task. Pairs inside a
+4. Classes connected by candidate pairs are a cluster. What is still outside the largest component of its cluster is
+   compared with the whole cluster, in blocks, on the full sets; of two blocks' links a spanning forest leaves the task. Pairs inside a
    component can change nothing. This step loses no link, but its time grows with strays times cluster.
 
 Defined results: null or wordless text has an empty set and is linked with nothing; fewer than five
@@ -40,7 +37,8 @@ from .common import WordHash, cut, gram_hashes, lower_words_of, map_arrow, mixed
 
 SHINGLE, SHARE = 5, 75
 M, C, E = 16, 5, 1
-ROUNDS, GROUP, SLICE = 2, 256, 16384
+GROUP, SLICE = 256, 16384
+LEAST_PARTS, PART_LINKS = 12, 50_000
 L = M * C
 _SEEDS = mixed(np.arange(1, L + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _DELETED = np.array([[j for j in range(C) if j != d] for d in range(C)])
@@ -173,22 +171,34 @@ def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
 
 
 def _across(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Links between a block of strays and a block of their cluster."""
+    """Links between a block of strays and a block of their cluster, as a spanning forest over components: fewer links than components."""
     if not len(left) or not len(right):
         return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
     x, y = ([np.frombuffer(s, np.uint64) for s in t] for t in (left["x_shingles"], right["shingles"]))
     both = shared_counts(x, y)
     sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
     ok = (100 * both >= SHARE * (sizes - both)) & (left["x_root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :])
-    i, j = np.nonzero(ok)
-    return pd.DataFrame({"a": left["x_cid"].to_numpy()[i], "b": right["cid"].to_numpy()[j]})
+    pairs = np.unique(np.stack([left["x_root"].to_numpy()[np.nonzero(ok)[0]], right["root"].to_numpy()[np.nonzero(ok)[1]]], axis=1), axis=0)
+    at: dict[int, int] = {}  # a node's way to the root of its tree
+
+    def top(x: int) -> int:
+        while (up := at.setdefault(x, x)) != x:
+            at[x] = x = at[up]
+        return x
+
+    forest = []
+    for a, b in pairs.tolist():
+        if (p := top(a)) != (q := top(b)):
+            at[p] = q
+            forest.append((a, b))
+    return pd.DataFrame(forest, columns=["a", "b"], dtype=np.int64)
 
 
 def links_across(clusters: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """All links between the components of each cluster.
+    """Links (a, b) between components, by their roots, that connect what any links of each cluster connect.
 
     The largest component of a cluster is its core; every other class is a stray. Strays meet all classes of the cluster,
-    in blocks of about GROUP classes on either side, so no task holds more than two blocks, and only links leave it."""
+    in blocks of about GROUP classes on either side, so no group holds more than two blocks, and only a spanning forest of their links leaves it."""
     at = clusters.select(F.col("node").alias("cid"), F.col("root").alias("cluster")).join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     by_root = at.groupBy("cluster", "root").agg(F.count("*").alias("n"))
     sizes = by_root.groupBy("cluster").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("core")).where("n > core.n")
@@ -215,19 +225,25 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) of each node in links (a, b): root is the least node of its component.
 
     Alternating large-star and small-star; both keep the components and shorten the paths. Each
-    round is cut by a checkpoint; no node's neighbours are gathered, only their least."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    round is cut by a checkpoint; no node's neighbours are gathered, only their least. The links are few beside
+    the documents, so each step writes as many parts as they need, at PART_LINKS a part, not one for each shuffle partition."""
+
+    def settled(df: DataFrame) -> tuple[DataFrame, tuple]:
+        df = cut(df)
+        return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    edges, last = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     for _ in range(rounds):
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        parts = max(LEAST_PARTS, last[0] // PART_LINKS)
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").coalesce(parts)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new = cut(small)
-        sums = [e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for e in (edges, new)]
-        edges = new
-        if sums[0] == sums[1]:
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").coalesce(parts)
+        edges, now = settled(small.distinct().coalesce(parts))
+        if now == last:
             break
+        last = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -243,19 +259,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.count("*").alias("n")).where("n > 1")
     hubs = stored(hubs, "near-hubs")
     # keys of two classes are pairs already; only those of more need their members
-    crowded = stored(keys.join(hubs.where("n > 2").select("key", "hub"), "key").where("cid <> hub"), "near-crowded")
+    crowded = keys.join(hubs.where("n > 2").select("key", "hub"), "key").where("cid <> hub")
     pairs = stored(hubs.where("n = 2").select(F.col("hub").alias("a"), F.col("last").alias("b")).union(crowded.select(F.col("hub").alias("a"), F.col("cid").alias("b"))).distinct(), "near-pairs")
     sets = sets_of(pairs, docs, members)
     roots = cut(components(confirmed(pairs, sets)))
-    placed = stored(crowded.select("key", "cid").union(crowded.select("key", F.col("hub").alias("cid")).distinct()), "near-placed")
-    tried = pairs
-    for i in range(ROUNDS):
-        at = placed.join(roots, placed["cid"] == roots["node"], "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
-        hubs = at.groupBy("key").agg(F.min(F.struct(F.xxhash64("cid", F.lit(i)).alias("h"), "cid", "root")).alias("hub"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-        trial = at.join(hubs.select("key", "hub"), "key").where(F.col("root") != F.col("hub.root")).select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")).distinct()
-        trial = stored(trial.join(tried, ["a", "b"], "left_anti"), "near-trial")
-        tried = tried.union(trial)
-        roots = joined_roots(roots, confirmed(trial, sets))
     roots = joined_roots(roots, links_across(components(pairs), roots, sets))
     named = members.join(roots, members["cid"] == roots["node"], "left").select("doc_id", F.coalesce("root", "cid").alias("component_key"))
     names = named.groupBy("component_key").agg(F.min("doc_id").alias("component_id"))
