@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,20 @@ def test_hamming_keys_find_all_pairs():
         assert set(ka) & set(kb)
 
 
+def test_blocks_return_a_spanning_forest():
+    """Links of two blocks connect what all their links connect, with fewer links than components."""
+    r = np.random.default_rng(7)
+    families = [r.integers(1, 1 << 60, 200, dtype=np.uint64) for _ in range(3)]
+    sets = [np.unique(np.r_[families[i % 3][:195], r.integers(1, 1 << 60, 5, dtype=np.uint64)]) for i in range(30)]
+    data = [x.tobytes() for x in sets]
+    ids = np.arange(100, 130)
+    left = pd.DataFrame({"x_cid": ids, "x_root": ids, "x_shingles": data})
+    got = near_dedup._across(left, pd.DataFrame({"cid": ids, "root": ids, "shingles": data}))
+    family = dict(zip(ids.tolist(), (i % 3 for i in range(30)), strict=True))
+    assert len(got) == 27 and all(family[a] == family[b] for a, b in got.itertuples(index=False))
+    assert not len(near_dedup._across(left.iloc[:0], left.iloc[:0]))
+
+
 def test_decontamination(spark, docs):
     items = spark.createDataFrame([(1, " ".join(words(60, 3)[5:40])), (2, "One, TWO!"), (3, None), (4, "")], "item_id long, text string")
     got = {r.doc_id: r for r in decontamination.decontaminate(docs, items).collect()}
