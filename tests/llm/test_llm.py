@@ -171,3 +171,13 @@ def test_toxicity_held_out(spark):
     r = toxicity.op2_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null").select("doc_id", "toxic"), "doc_id")
     n = r.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0]
     assert n >= 0.95
+
+
+def test_decontamination_without_item_id(spark):
+    """A document whose only hits are windows of an item without an id stays, with no items."""
+    item = " ".join(words(20, 31))
+    d = spark.createDataFrame([(1, item), (1, item), (2, "clean text"), (3, f"{item} one two")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (2, "One, TWO!")], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.decontaminate(d, items).collect())
+    none, two = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"2").hexdigest()
+    assert got == [(1, 20, 0, none, True), (1, 20, 0, none, True), (2, 0, 0, none, False), (3, 22, 1, two, True)]

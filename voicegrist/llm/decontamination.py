@@ -143,7 +143,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFra
     lists = sets.join(classes, "class").select("of", F.explode("items").alias("item")).groupBy("of").agg(F.array_sort(F.collect_set("item")).alias("items"))
     lists = lists.select("of", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"))
     clean = by_doc.where("of = ''").select("*", F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"))
-    joined = by_doc.where("of <> ''").join(lists, "of").select(clean.columns).unionByName(clean)
+    # a class of items without an id has an empty list: its documents stay, with no items
+    listed = by_doc.where("of <> ''").join(lists, "of", "left").withColumns({"n_items": F.coalesce("n_items", F.lit(0).cast("long")), "items_sha256": F.coalesce("items_sha256", F.sha2(F.lit(""), 256))})
+    joined = listed.select(clean.columns).unionByName(clean)
     out = joined.select("doc_id", "text_key", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
     return out.drop("copy")
 
