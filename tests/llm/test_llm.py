@@ -181,3 +181,13 @@ def test_decontamination_without_item_id(spark):
     got = sorted((r.doc_id, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.decontaminate(d, items).collect())
     none, two = hashlib.sha256(b"").hexdigest(), hashlib.sha256(b"2").hexdigest()
     assert got == [(1, 20, 0, none, True), (1, 20, 0, none, True), (2, 0, 0, none, False), (3, 22, 1, two, True)]
+
+
+def test_addresses_are_no_secrets(spark):
+    """A path is not a secret by its own address or another one; the same path beside an identifier is."""
+    url, other = "https://h.example/a/Long-Path-2024-With-Words", "https://g.example/b/Other-Path-2023-And-More-Words"
+    d = spark.createDataFrame([(1, f"see {url} for more"), (2, f"see {url} and {other} for more"), (3, f"client_id: bob7 at {url}"), (4, f"{url} key Ab3{'xY9' * 8}")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(d).collect()}
+    assert got[1] == got[2] == ""
+    assert "secret:" in got[3] and "id:0:" in got[3]
+    assert got[4] == f"secret:{len(url) + 5}:{len(url) + 5 + 27}"

@@ -3,8 +3,9 @@
 A credential has parts: an access identifier, a secret and an endpoint. Base patterns are strong parts and are always
 reported. Weak parts (long mixed strings, user names and client ids, addresses of services) say little alone and are
 reported only when complementary parts lie within SCOPE code points of them in the same document: a weak secret needs an identifier or an
-endpoint, a weak identifier a secret, an endpoint both. Parts meet in an interval join: each weak part goes to the
-cells of SCOPE code points it can reach, and is joined with the parts of those cells.
+endpoint, a weak identifier a secret, an endpoint both. Parts that overlap do not complement each other, and a weak secret
+within an address needs an identifier: no address, its own or another, makes a piece of a path a secret. Parts meet in an
+interval join: each weak part goes to the cells of SCOPE code points it can reach, and is joined with the parts of those cells.
 
 Defined results: null text is empty; texts without parts get empty strings and 0; repeated rows are treated alike; weak parts
 that overlap base spans are not reported.
@@ -65,9 +66,12 @@ def linked(found: DataFrame) -> DataFrame:
     """(id, tk, linked): the weak parts of each document that have their complements in reach."""
     docs = found.where(F.size("weak") > 0).dropDuplicates(["doc_id", "text_key"]).select(F.col("doc_id").alias("id"), F.col("text_key").alias("tk"), "base", "weak")
     cell = lambda x: F.floor(x / SCOPE).cast("int")
-    weak = docs.select("id", "tk", F.explode("weak").alias("w")).withColumn("cell", F.explode(F.sequence(cell(F.col("w.start") - SCOPE), cell(F.col("w.end") + SCOPE))))
+    in_address = lambda w: F.exists("weak", lambda e: (w["kind"] == "secret") & (e["kind"] == "endpoint") & (e["start"] < w["end"]) & (w["start"] < e["end"]))
+    each = docs.select("id", "tk", F.explode(F.transform("weak", lambda w: F.struct(w.alias("w"), in_address(w).alias("in_address")))).alias("s"))
+    weak = each.select("id", "tk", "s.w", "s.in_address").withColumn("cell", F.explode(F.sequence(cell(F.col("w.start") - SCOPE), cell(F.col("w.end") + SCOPE))))
     every = docs.select(F.col("id").alias("id2"), F.col("tk").alias("tk2"), F.explode(F.concat("base", "weak")).alias("p")).withColumn("cell2", F.explode(F.sequence(cell(F.col("p.start")), cell(F.col("p.end")))))
     near = (F.col("p.start") <= F.col("w.end") + SCOPE) & (F.col("w.start") <= F.col("p.end") + SCOPE) & (_role(F.col("w.kind")) != _role(F.col("p.kind")))
+    near = near & ((F.col("p.end") <= F.col("w.start")) | (F.col("w.end") <= F.col("p.start"))) & ~(F.col("in_address") & (F.col("p.kind") == "endpoint"))
     met = weak.join(every, F.col("id").eqNullSafe(F.col("id2")) & (F.col("tk") == F.col("tk2")) & (F.col("cell") == F.col("cell2")) & near)
     has = lambda role: F.max(F.when(_role(F.col("p.kind")) == role, 1).otherwise(0))
     flags = met.groupBy("id", "tk", "w").agg(has("secret").alias("secret"), has("id").alias("ident"), has("endpoint").alias("place"))
