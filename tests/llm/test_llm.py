@@ -191,3 +191,16 @@ def test_addresses_are_no_secrets(spark):
     assert got[1] == got[2] == ""
     assert "secret:" in got[3] and "id:0:" in got[3]
     assert got[4] == f"secret:{len(url) + 5}:{len(url) + 5 + 27}"
+
+
+def test_every_language_is_learned(spark):
+    """70 languages of their own words: each is found again, with the score that one parser of all gives."""
+    r = random.Random(11)
+    texts = {f"l{i:02d}": " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)) for i in range(70)}
+    labelled = spark.createDataFrame(list(texts.items()), "lang string, text string")
+    d = spark.createDataFrame([*enumerate(texts.values()), (3, texts["l03"]), (None, "1 2"), (90, None)], "doc_id long, text string")
+    got = sorted(map(tuple, language_id.identify(d, language_id.sample_blocks(labelled)).collect()), key=str)
+    parser = language_id.CrossParser({k: [v] for k, v in texts.items()})
+    want = sorted(((x.doc_id, *parser.predict(x.text)) for x in d.collect()), key=str)
+    assert [(a[0], a[1], round(a[2], 9)) for a in got] == [(a[0], a[1], round(a[2], 9)) for a in want]
+    assert {a[0]: a[1] for a in got if a[1] != "und"} == dict(enumerate(texts))

@@ -1,7 +1,8 @@
 """Language identification by cross-parsing entropy.
 
-Learning: for each language a suffix automaton is built over labelled text, a sample of
-rows with at most SAMPLE_CHARS characters a language and at most LANGUAGES languages (documented bounds).
+Learning: for each language, however many there are, a suffix automaton is built over labelled text, a
+sample of rows with at most SAMPLE_CHARS characters a language (a documented bound). A pass over the documents holds
+BLOCK languages; with more languages there are more passes, and a text's phrases in all of them are brought together.
 Text is folded to lower-case letters, each word framed by blanks.
 
 Prediction: a text is parsed against each automaton into phrases: from a place, the longest match
@@ -18,15 +19,16 @@ language that sorts first; with no labelled row at all every text is ``und``; re
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import map_arrow, row_key, stored, table
 
-LANGUAGES, SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 64, 400, 120_000, 2_000
+BLOCK, SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 8, 400, 120_000, 2_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -103,11 +105,15 @@ class CrossParser:
                 self.known[word] = got
         return got
 
+    def totals(self, words: list[str]) -> list[int]:
+        """Phrases of a text's words in each language."""
+        return [sum(x) for x in zip(*map(self.of_word, words), strict=True)]
+
     def predict(self, text: str | None) -> tuple[str, float]:
         words = folded_words(text) if text else []
         if not words or not self.languages:
             return "und", 0.0
-        totals = [sum(x) for x in zip(*map(self.of_word, words), strict=True)]
+        totals = self.totals(words)
         chars = sum(map(len, words))
         rates = [t / chars for t in totals]
         best = min(range(len(rates)), key=rates.__getitem__)
@@ -115,28 +121,31 @@ class CrossParser:
         return self.languages[best], 1 / sum(weights)
 
 
-def samples(labelled: DataFrame, label: str = "lang") -> dict[str, list[str]]:
-    """A bounded sample for each label: SAMPLE_ROWS rows of least hash, ROW_CHARS characters of each, SAMPLE_CHARS in all."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select(label, F.xxhash64("text").alias("h"), F.substring("text", 1, ROW_CHARS).alias("t"))
+def sample_blocks(labelled: DataFrame, label: str = "lang") -> Iterator[dict[str, list[str]]]:
+    """A bounded sample for each label, BLOCK labels at a time: SAMPLE_ROWS rows of least hash, ROW_CHARS characters of each, SAMPLE_CHARS in all."""
+    rows = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select(F.col(label).alias("name"), F.xxhash64("text").alias("h"), F.substring("text", 1, ROW_CHARS).alias("t"))
     # the rows of least hash of each label, without bringing a label's rows together: min_by keeps SAMPLE_ROWS slots
-    slots = rows.groupBy(label, F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min_by("t", F.struct("h", "t")).alias("t"))
-    named = slots.groupBy(label).agg(F.count("*").alias("n"))
-    top = named.orderBy(F.desc("n"), label).limit(LANGUAGES).select(F.col(label).alias("name"))
-    out: dict[str, list[str]] = {}
-    held: dict[str, int] = {}
-    for r in slots.join(top, slots[label] == top["name"]).select("name", "slot", "t").orderBy("name", "slot").toLocalIterator():
-        if held.get(r["name"], 0) < SAMPLE_CHARS:
-            out.setdefault(r["name"], []).append(r["t"])
-            held[r["name"]] = held.get(r["name"], 0) + len(r["t"])
-    return out
-
-
-def identify(docs: DataFrame, learned: dict[str, list[str]]) -> DataFrame:
+    slots = stored(rows.groupBy("name", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min_by("t", F.struct("h", "t")).alias("t")), "language-samples")
+    names = sorted(r[0] for r in slots.select("name").distinct().collect())
+    for i in range(0, len(names), BLOCK):
+        out: dict[str, list[str]] = {}
+        held: dict[str, int] = {}
+        block = slots.where(F.col("name").isin(names[i : i + BLOCK])).collect()  # at most BLOCK * SAMPLE_ROWS rows of ROW_CHARS characters
+        for r in sorted(block, key=lambda r: (r["name"], r["slot"])):
+            if held.get(r["name"], 0) < SAMPLE_CHARS:
+                out.setdefault(r["name"], []).append(r["t"])
+                held[r["name"]] = held.get(r["name"], 0) + len(r["t"])
+        yield out
+
+
+def identify(docs: DataFrame, blocks: Iterable[dict[str, list[str]]]) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of docs(doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(learned)
+    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks] or [docs.sparkSession.sparkContext.broadcast({})]
+    if len(shared) > 1:
+        return _over_blocks(docs, shared)
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = CrossParser(shared.value)
+        parser = CrossParser(shared[0].value)
         for b in batches:
             got = [parser.predict(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
@@ -144,10 +153,36 @@ def identify(docs: DataFrame, learned: dict[str, list[str]]) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), predict, "doc_id long, lang_pred string, score double")
 
 
+def _over_blocks(docs: DataFrame, shared: list[Broadcast]) -> DataFrame:
+    """The same with a pass for each block of languages; a task holds the automata of one block."""
+    rows = docs.select("doc_id", "text", row_key().alias("text_key"))
+    every = None
+    for n, block in enumerate(shared):
+        part = map_arrow(rows, _block_totals(block), "doc_id long, text_key long, totals array<struct<phrases: long, lang: string>>").withColumn("block", F.lit(n))
+        every = part if every is None else every.unionByName(part)
+    each = every.groupBy("doc_id", "text_key", "block").agg(F.count("*").cast("int").alias("copies"), F.first("totals").alias("totals"))
+    whole = each.groupBy("doc_id", "text_key").agg(F.max("copies").alias("copies"), F.flatten(F.collect_list("totals")).alias("totals")).withColumn("best", F.array_min("totals"))
+    weights = F.transform("totals", lambda x: F.pow(F.lit(2.0), -F.least(F.lit(30.0), (x["phrases"] - F.col("best.phrases")).cast("double"))))
+    score = F.when(F.col("best").isNull(), 0.0).otherwise(1 / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x))
+    out = whole.select("doc_id", F.coalesce("best.lang", F.lit("und")).alias("lang_pred"), score.alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
+    return out.drop("copy")
+
+
+def _block_totals(shared: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parser = CrossParser(shared.value)
+        for b in batches:
+            words = [folded_words(t) if t else [] for t in b.column(1).to_pylist()]
+            totals = [[{"phrases": n, "lang": x} for n, x in zip(parser.totals(ws), parser.languages, strict=True)] if ws else [] for ws in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(totals, pa.list_(pa.struct([("phrases", pa.int64()), ("lang", pa.string())])))], ["doc_id", "text_key", "totals"])
+
+    return count
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
-    learned = samples(docs.where(fold != 2).select("lang", "text"))
+    learned = sample_blocks(docs.where(fold != 2).select("lang", "text"))
     return identify(docs, learned).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
