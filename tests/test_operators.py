@@ -56,3 +56,27 @@ def test_word_errors(spark):
     p = spark.createDataFrame([(1, "good morning all", "goodmorning all"), (2, "a b c", "a x c d"), (3, "", "")], "idx int, ref string, hyp string")
     assert [r.edits for r in E.wer(p).orderBy("idx").collect()] == [0, 2, 0]
     assert [r.edits for r in E.wer_plain(p).orderBy("idx").collect()] == [2, 2, 0]
+
+
+def test_phonemes_of_normalised_sentences(spark):
+    """Numbers, symbols and accents are spoken as their words are."""
+    both = [("It cost $20 on May 5.", "It cost twenty dollars on May fifth."), ("Crème brûlée.", "Creme brulee."), ("STOP the mix on page XIV.", "stop the mix on page fourteen.")]
+    rows = [(i, j, t) for i, pair in enumerate(both) for j, t in enumerate(pair)]
+    gold = spark.createDataFrame([("cost", "kˈɔst"), ("twenty", "twˈɛnti"), ("stop", "stˈɑp"), ("mix", "mˈɪks")], "word string, ipa string")
+    phones = spark.createDataFrame([], "word string, phones array<string>")
+    got = {(r.doc_id, r.sent_idx): r.phonemes for r in P.phonemize_corpus(spark.createDataFrame(rows, "doc_id long, sent_idx int, text string"), gold, phones).collect()}
+    assert all(got[i, 0] == got[i, 1] for i in range(len(both))) and "twˈɛnti" in got[0, 0] and "mˈɪks" in got[2, 0]
+
+
+def test_possessives_of_any_base(spark):
+    gold = spark.createDataFrame([("cat", "kˈæt"), ("fish", "fˈɪʃ")], "word string, ipa string")
+    phones = spark.createDataFrame([], "word string, phones array<string>")
+    types = spark.createDataFrame([(w,) for w in ("cat's", "cats's", "cat-fish's", "blick's", "blick", "FBI's")], "word string")
+    got = {r.word: (r.ipa, r.tier) for r in P.resolve_words(types, gold, phones).collect()}
+    assert got["cat's"] == ("kˈæts", "possessive") and got["cats's"] == ("kˈætsɪz", "possessive") and got["cat-fish's"] == ("kˈætfˈɪʃɪz", "possessive")
+    assert got["blick's"] == (got["blick"][0] + "s", "possessive") and got["FBI's"][1] == "acronym" and len(got) == 6
+
+
+def test_word_errors_of_normalised_texts(spark):
+    p = spark.createDataFrame([(1, "20 cats on May 5 for $3", "twenty cats on May fifth for three dollars")], "idx int, ref string, hyp string")
+    assert E.wer(p).first().edits == 0

@@ -278,15 +278,32 @@ RULES: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def normalize_corpus(sentences: DataFrame, column: str = "text", rewrites: list[tuple[str, str]] = (), is_word: IsWord | None = None) -> DataFrame:
-    """The whole cascade on one column, each rule in a projection of its own."""
+def normalize_corpus(sentences: DataFrame, column: str = "text", rewrites: list[tuple[str, str]] = (), is_word: IsWord | None = None, is_emphatic: IsWord | None = None) -> DataFrame:
+    """The whole cascade on one column, each rule in a projection of its own. is_emphatic tells all-caps words that are real words (default: is_word)."""
     out = sentences.withColumn(column, F.translate(apply_rewrites(F.col(column), list(rewrites)), "\u0001", ""))
     for name, rule in RULES.items():
-        extra = {"is_word": is_word} if name in ("n08_roman", "n10_urls", "n18_acronyms") else {}
+        extra = {"is_word": is_word} if name in ("n08_roman", "n10_urls") else {"is_word": is_emphatic or is_word} if name == "n18_acronyms" else {}
         out = out.withColumn(column, rule(F.col(column), **extra))
     return out
 
 
+def normalize_with_lexicon(rows: DataFrame, keys: list[str], column: str, gold: DataFrame, phones: DataFrame) -> DataFrame:
+    """N20 with the words of two lexicons as its dictionary. keys name a row. Words that N8, N10 or N18 may ask for are joined
+    with the lexicons and come back as an array in the row; all-caps words are real from 3 letters in gold, 6 in the other."""
+    text = F.concat_ws(" ", F.col(column), fold_diacritics(F.col(column)))
+    asked = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.col(column).rlike(r"/|www\.|\.[A-Za-z]") | w.rlike("^(?:[A-Z]+|[ivxlcdm]+)$"))
+    words = rows.select(*keys, F.explode(F.array_distinct(F.transform(asked, F.lower))).alias("w"))
+    known = gold.select(F.lower("word").alias("w"), F.lit(True).alias("g")).unionByName(phones.select(F.lower("word").alias("w"), F.lit(False).alias("g"))).groupBy("w").agg(F.max("g").alias("g"))
+    real = (F.col("g") & (F.length("w") >= 3)) | (F.length("w") >= 6)
+    held = words.join(known, "w").groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.collect_set("w").alias("__known"), F.collect_set(F.when(real, F.col("w"))).alias("__emphatic"))
+    same = None
+    for k in keys:
+        one = F.col(k).eqNullSafe(F.col(f"__{k}"))
+        same = one if same is None else same & one
+    has = lambda name: lambda w: F.coalesce(F.array_contains(name, w), F.lit(False))
+    return normalize_corpus(rows.join(held, same, "left"), column, (), has("__known"), has("__emphatic")).select(rows.columns)
+
+
 CENSUS = {"digits": "[0-9]+", "money": r"[$€£¥][0-9]", "iso_date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "caps": "[A-Z][A-Z]+", "accents": r"[À-ɏ]", "email_at": "@", "url": r"https?://|www\.", "percent": "%"}
 
 

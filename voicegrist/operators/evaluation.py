@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
+from ..functions.normalize import normalize_corpus, normalize_with_lexicon
+
 
 def normalized_words(text: Column) -> Column:
     """Lower-cased words with all but letters and digits turned into blanks."""
@@ -40,9 +42,12 @@ def word_edit_distance(ref: Column | str, hyp: Column | str) -> Column:
     return F.pandas_udf(_edits, IntegerType())(ref, hyp)
 
 
-def wer(pairs: DataFrame) -> DataFrame:
-    """(idx, edits, denom, wer) of (idx, ref, hyp): edits over the longer side, joins free."""
-    w = pairs.select("idx", normalized_words(F.col("ref")).alias("r"), normalized_words(F.col("hyp")).alias("h"))
+def wer(pairs: DataFrame, lexicons: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(idx, edits, denom, wer) of (idx, ref, hyp), both normalised (with the words of lexicons, where given): edits over the longer side, joins free."""
+    p = pairs.select("idx", "ref", "hyp")
+    for side in ("ref", "hyp"):
+        p = normalize_with_lexicon(p, ["idx"], side, *lexicons) if lexicons else normalize_corpus(p, side)
+    w = p.select("idx", normalized_words(F.col("ref")).alias("r"), normalized_words(F.col("hyp")).alias("h"))
     edits = w.select("idx", word_edit_distance("r", "h").alias("edits"), F.greatest(F.size("r"), F.size("h")).alias("denom"))
     return edits.withColumn("wer", F.coalesce(F.try_divide("edits", "denom"), F.lit(0.0)))
 

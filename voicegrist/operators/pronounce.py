@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.normalize import normalize_with_lexicon
 from ..functions.text import bind, literal_map
 from .tokens import TOKEN
 
@@ -149,10 +150,25 @@ def _fallback(word: Column) -> tuple[Column, Column]:
     return ipa, F.when(acronym, "acronym").when(spelled, "letters").otherwise("lts")
 
 
+#: Tiers that come before the possessive one.
+BEFORE_POSSESSIVE = "override acronym_word emphasis gold plural phones".split()
+
+
 def resolve_words(types: DataFrame, gold: DataFrame, phones: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """(word, ipa, tier) for every distinct word. Words of parts (hyphens, camelCase) are resolved by their parts."""
+    """(word, ipa, tier) for every distinct word. Words of parts (hyphens, camelCase) are resolved by their parts, possessives
+    by their bases, which go through all tiers in a second round; an acronym's possessive stays with the acronym."""
     lex = lexicon(gold, phones)
     types = types.select("word").distinct()
+    base = F.regexp_replace("word", "'[sS]$", "")
+    owners = types.where(F.col("word").rlike("[^']'[sS]$") & ~base.rlike("^[A-Z]{2,}$")).select("word", base.alias("base"))
+    bases = _resolved(owners.select(F.col("base").alias("word")).distinct(), lex, overrides).where("ipa <> ''").select(F.col("word").alias("base"), F.col("ipa").alias("base_ipa"))
+    every = _resolved(types, lex, overrides).join(owners.join(bases, "base").select("word", "base_ipa"), "word", "left")
+    owned = F.col("base_ipa").isNotNull() & ~F.col("tier").isin(BEFORE_POSSESSIVE)
+    return every.select("word", F.when(owned, F.concat("base_ipa", allomorph(F.col("base_ipa")))).otherwise(F.col("ipa")).alias("ipa"), F.when(owned, "possessive").otherwise(F.col("tier")).alias("tier"))
+
+
+def _resolved(types: DataFrame, lex: DataFrame, overrides: DataFrame | None) -> DataFrame:
+    """One round over distinct words."""
     found = _found(types, lex)
     if overrides is not None:
         user = types.join(overrides.select(F.lower("word").alias("k"), F.col("ipa").alias("o")), F.lower("word") == F.col("k")).select("word", F.col("o").alias("ipa"), F.lit("override").alias("tier"))
@@ -209,9 +225,10 @@ def homograph_senses(sentences: DataFrame) -> DataFrame:
 
 
 def phonemize_corpus(sentences: DataFrame, gold: DataFrame, phones: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """(doc_id, sent_idx, phonemes): types resolved once and joined back to tokens; empty output dropped."""
+    """(doc_id, sent_idx, phonemes): sentences normalised, types resolved once and joined back to tokens; empty output dropped."""
     from .tokens import render_phonemes, tokenize
 
+    sentences = normalize_with_lexicon(sentences.select("doc_id", "sent_idx", "text"), ["doc_id", "sent_idx"], "text", gold, phones)
     tokens = tokenize(sentences)
     by = Window.partitionBy("doc_id", "sent_idx").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, 0)
     types = resolve_words(tokens.where("kind = 'word'").select(F.col("token").alias("word")), gold, phones, overrides)

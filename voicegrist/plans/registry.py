@@ -101,6 +101,10 @@ def normalized_orders(spark: SparkSession, d: str) -> DataFrame:
     return N.normalize_corpus(order_text(spark, d))
 
 
+def normalized_sentences(spark: SparkSession, d: str) -> DataFrame:
+    return N.normalize_with_lexicon(sents(spark, d).select("doc_id", "sent_idx", "text"), ["doc_id", "sent_idx"], "text", *lexicons(spark, d))
+
+
 def samples(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("samples"))
 
@@ -171,6 +175,7 @@ QUERIES = {
     "t12_progress": lambda s, d: T.progress_eta(chunk_lengths(s, d).select("doc_id", F.col("idx").alias("chunk_idx"), F.col("idx").cast("string").alias("text"), "elapsed")).select("doc_id", "chunk_idx", "done", "total", F.round("eta", 3).alias("eta")),
     **{f"{k}_documents": rule(k) for k in N.RULES},
     "n20_normalize_orders": normalized_orders,
+    "n20_normalize_documents": normalized_sentences,
     "n21_nsw_census": lambda s, d: N.nsw_census(read(s, d, "documents"), "lang", "source"),
     "n22_verbalize_orders": verbalized,
     "k01_tokens": lambda s, d: K.tokenize(sents(s, d)).groupBy("kind", "token").agg(F.count("*").alias("n")),
@@ -194,9 +199,9 @@ QUERIES = {
     "u04_concat": lambda s, d: U.concat_with_silence(samples(s, d).select(F.floor(F.col("doc_id") / 4).alias("doc_id"), F.col("doc_id").alias("idx"), "samples"), 16).select("doc_id", F.size("samples").alias("n")),
     "u05_u10_prepare_samples": lambda s, d: U.prepare_samples(samples(s, d), 24_000, 16_000, 16).select("doc_id", "n_packets", "ms", F.size("pcm").alias("n")),
     "u11_realtime": lambda s, d: U.realtime_factor(chunk_lengths(s, d)).select("doc_id", F.round("audio_s", 6).alias("audio_s"), F.round("elapsed_s", 4).alias("elapsed_s")),
-    "e03_wer": lambda s, d: E.wer(pairs(s, d)),
+    "e03_wer": lambda s, d: E.wer(pairs(s, d), lexicons(s, d)),
     "e04_wer_plain": lambda s, d: E.wer_plain(pairs(s, d)).select("idx", "edits", "ref_words", F.round("wer", 6).alias("wer")),
-    "e05_wer_summary": lambda s, d: E.wer_summary(E.wer(pairs(s, d))),
+    "e05_wer_summary": lambda s, d: E.wer_summary(E.wer(pairs(s, d), lexicons(s, d))),
     "e06_wer_macro": lambda s, d: E.wer_macro(E.wer_plain(pairs(s, d))),
     "e07_select_lines": selected,
     "e08_similarity": lambda s, d: pairs(s, d).select("idx", F.round(E.ipa_similarity(F.col("ref"), F.col("hyp")), 6).alias("score")),
