@@ -1,4 +1,7 @@
-"""Substring duplicates by relative Lempel-Ziv parsing against an indexed corpus.
+"""Substring duplicates by counting fingerprints of 35-word windows, in place of a relative Lempel-Ziv parse.
+
+A parse looks for the longest factor in one reference; what is asked for is whether each window occurs again anywhere, and a
+longest factor gives no more than the chain of its windows. So windows are counted, and factors are merged from them afterwards.
 
 The whole corpus is the reference. Its index holds phrases: every window of N = 35 words is
 owned by its minimizer, the first smallest hash among its 28 runs of 8 words, and the windows
@@ -14,7 +17,7 @@ with every block that could hold a match.
    the hashes of their windows.
 3. A phrase that recurs is a whole factor. At the boundaries of a longer match the phrases differ in part, so
    their windows are checked one by one against the windows of the minimizer's other phrases.
-4. Each document is parsed greedily, left to right, into factors: maximal chains of recurring windows. The words
+4. In each document recurring windows are merged, left to right, into factors: their maximal chains. The words
    of factors are removed, all others stay.
 
 A window recurs when its minimizer's 64-bit hash and its own 64-bit hash both do.
@@ -109,7 +112,7 @@ def phrases(docs: DataFrame, recurring: np.ndarray, unlike: np.ndarray) -> DataF
 
 
 def factors(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The greedy parse: (first word, end) of maximal chains of recurring windows, from (first window, windows)."""
+    """(first word, end) of maximal chains of recurring windows, from (first window, windows)."""
     out: list[tuple[int, int]] = []
     for s, n in sorted(spans):
         end = s + n - 1 + N
