@@ -204,3 +204,11 @@ def test_every_language_is_learned(spark):
     want = sorted(((x.doc_id, *parser.predict(x.text)) for x in d.collect()), key=str)
     assert [(a[0], a[1], round(a[2], 9)) for a in got] == [(a[0], a[1], round(a[2], 9)) for a in want]
     assert {a[0]: a[1] for a in got if a[1] != "und"} == dict(enumerate(texts))
+
+
+def test_language_sample_covers_whole_texts(spark):
+    """A long text is learned from beyond its opening."""
+    text = "opening " * 500 + "later " * 500 + "closing " * 500
+    (got,) = language_id.sample_blocks(spark.createDataFrame([("aa", text), ("aa", text), ("bb", "short")], "lang string, text string"))
+    assert {"opening", "later", "closing"} <= set(" ".join(got["aa"]).split()) and got["bb"] == ["short"]
+    assert max(map(len, got["aa"])) <= language_id.ROW_CHARS

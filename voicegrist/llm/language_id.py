@@ -122,10 +122,18 @@ class CrossParser:
 
 
 def sample_blocks(labelled: DataFrame, label: str = "lang") -> Iterator[dict[str, list[str]]]:
-    """A bounded sample for each label, BLOCK labels at a time: SAMPLE_ROWS rows of least hash, ROW_CHARS characters of each, SAMPLE_CHARS in all."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select(F.col(label).alias("name"), F.xxhash64("text").alias("h"), F.substring("text", 1, ROW_CHARS).alias("t"))
-    # the rows of least hash of each label, without bringing a label's rows together: min_by keeps SAMPLE_ROWS slots
-    slots = stored(rows.groupBy("name", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min_by("t", F.struct("h", "t")).alias("t")), "language-samples")
+    """A bounded sample for each label, BLOCK labels at a time: SAMPLE_ROWS pieces of least hash, from all places of
+    its texts, of at most ROW_CHARS characters, SAMPLE_CHARS in all."""
+    texts = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select(F.col(label).alias("name"), row_key().alias("ht"), "text")
+    # a text is cut into pieces of equal length, each with its own hash
+    sized = texts.select("name", "ht", F.ceil(F.length("text") / ROW_CHARS).cast("int").alias("n"))
+    pieces = sized.select("name", "ht", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).withColumn("h", F.xxhash64("ht", "i"))
+    # the pieces of least hash of each label, without bringing a label's rows together: min keeps SAMPLE_ROWS slots
+    least = pieces.groupBy("name", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min(F.struct("h", "ht", "i")).alias("p"))
+    chosen = least.groupBy("name", F.col("p.ht").alias("ht")).agg(F.collect_list(F.struct("slot", "p.i")).alias("at"))
+    step = F.ceil(F.length("text") / F.ceil(F.length("text") / ROW_CHARS)).cast("int")
+    held = texts.join(chosen, ["name", "ht"]).select("name", F.explode(F.transform("at", lambda x: F.struct(x["slot"].alias("slot"), F.substring(F.col("text"), x["i"] * step + 1, step).alias("t")))).alias("x"))
+    slots = stored(held.groupBy("name", F.col("x.slot").alias("slot")).agg(F.min("x.t").alias("t")), "language-samples")
     names = sorted(r[0] for r in slots.select("name").distinct().collect())
     for i in range(0, len(names), BLOCK):
         out: dict[str, list[str]] = {}
