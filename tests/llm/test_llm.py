@@ -7,9 +7,8 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
-from voicegrist.llm import decontamination, language_id, mixing, near_dedup, nearest, pii, secrets, substring_dedup, token_counts, toxicity
+from voicegrist.llm import decontamination, language_id, mixing, near_dedup, nearest, pii, secrets, substring_dedup, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, size string"
 
@@ -151,28 +150,11 @@ def test_nearest_recall(spark):
     assert hit / 300 >= 0.9 and len(got) == 300
 
 
-def test_block_max_is_exact():
-    r = random.Random(5)
-    vs = [toxicity.unit({f: r.randrange(1, 4) for f in r.sample(range(40), 3)}, [1.0 + i / 40 for i in range(40)]) for _ in range(500)]
-    index = toxicity.BlockMaxIndex(vs, 40)
-    for _ in range(30):
-        q = toxicity.unit({f: 1 for f in r.sample(range(40), 4)}, [1.0] * 40)
-        want = sorted(((-sum(w * v.get(f, 0) for f, w in q.items()), e) for e, v in enumerate(vs)))[:10]
-        assert [round(s, 9) for _, s in index.search(q, 10)] == [round(-s, 9) for s, _ in want if s < -1e-12]
-
-
 def test_language():
     p = language_id.CrossParser({"aa": ["alpha beta gamma delta"], "bb": ["uno dos tres cuatro"]})
     assert p.predict("alpha gamma")[0] == "aa" and p.predict("dos tres")[0] == "bb" and p.predict("123 !")[0] == "und" and p.predict(None) == ("und", 0.0)
 
 
-def test_toxicity_held_out(spark):
-    d = "/root/testdata/sf0.1"
-    r = toxicity.op2_toxicity(spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet").where("toxic is not null").select("doc_id", "toxic"), "doc_id")
-    n = r.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("int"))).first()[0]
-    assert n >= 0.95
-
-
 def test_decontamination_without_item_id(spark):
     """A document whose only hits are windows of an item without an id stays, with no items."""
     item = " ".join(words(20, 31))
