@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from voicegrist.llm import decontamination, language_id, mixing, near_dedup, nearest, pii, secrets, substring_dedup, token_counts
+from voicegrist.llm import decontamination, mixing, near_dedup, nearest, pii, secrets, substring_dedup, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, size string"
 
@@ -150,11 +150,6 @@ def test_nearest_recall(spark):
     assert hit / 300 >= 0.9 and len(got) == 300
 
 
-def test_language():
-    p = language_id.CrossParser({"aa": ["alpha beta gamma delta"], "bb": ["uno dos tres cuatro"]})
-    assert p.predict("alpha gamma")[0] == "aa" and p.predict("dos tres")[0] == "bb" and p.predict("123 !")[0] == "und" and p.predict(None) == ("und", 0.0)
-
-
 def test_decontamination_without_item_id(spark):
     """A document whose only hits are windows of an item without an id stays, with no items."""
     item = " ".join(words(20, 31))
@@ -173,24 +168,3 @@ def test_addresses_are_no_secrets(spark):
     assert got[1] == got[2] == ""
     assert "secret:" in got[3] and "id:0:" in got[3]
     assert got[4] == f"secret:{len(url) + 5}:{len(url) + 5 + 27}"
-
-
-def test_every_language_is_learned(spark):
-    """70 languages of their own words: each is found again, with the score that one parser of all gives."""
-    r = random.Random(11)
-    texts = {f"l{i:02d}": " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)) for i in range(70)}
-    labelled = spark.createDataFrame(list(texts.items()), "lang string, text string")
-    d = spark.createDataFrame([*enumerate(texts.values()), (3, texts["l03"]), (None, "1 2"), (90, None)], "doc_id long, text string")
-    got = sorted(map(tuple, language_id.identify(d, language_id.sample_blocks(labelled)).collect()), key=str)
-    parser = language_id.CrossParser({k: [v] for k, v in texts.items()})
-    want = sorted(((x.doc_id, *parser.predict(x.text)) for x in d.collect()), key=str)
-    assert [(a[0], a[1], round(a[2], 9)) for a in got] == [(a[0], a[1], round(a[2], 9)) for a in want]
-    assert {a[0]: a[1] for a in got if a[1] != "und"} == dict(enumerate(texts))
-
-
-def test_language_sample_covers_whole_texts(spark):
-    """A long text is learned from beyond its opening."""
-    text = "opening " * 500 + "later " * 500 + "closing " * 500
-    (got,) = language_id.sample_blocks(spark.createDataFrame([("aa", text), ("aa", text), ("bb", "short")], "lang string, text string"))
-    assert {"opening", "later", "closing"} <= set(" ".join(got["aa"]).split()) and got["bb"] == ["short"]
-    assert max(map(len, got["aa"])) <= language_id.ROW_CHARS

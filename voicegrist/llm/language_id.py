@@ -1,188 +1,240 @@
 """Language identification by cross-parsing entropy.
 
-Learning: for each language, however many there are, a suffix automaton is built over labelled text, a
-sample of rows with at most SAMPLE_CHARS characters a language (a documented bound). A pass over the documents holds
-BLOCK languages; with more languages there are more passes, and a text's phrases in all of them are brought together.
-Text is folded to lower-case letters, each word framed by blanks.
-
-Prediction: a text is parsed against each automaton into phrases: from a place, the longest match
-that occurs in the labelled text of the language, then on from its end; a character that never occurs is
-a phrase of its own. Phrases end at word ends, so the parse of a text is the sum of the parses of its
-words, whole texts are parsed, and words seen before are looked up in a bounded table. The language that
-needs the fewest phrases, divided by characters, wins. The score is the weight of the winner among all
-languages, with weights 2 ** -(phrases over those of the winner, at most 30).
-
-Defined results: null texts and those without a letter are ``und`` with score 0; ties go to the
-language that sorts first; with no labelled row at all every text is ``und``; repeated rows are treated alike.
+Learning: for each language, however many there are, a suffix automaton is built over labelled text: pieces of
+PIECE_BYTES from all places of its texts, those of least hash, SAMPLE_BYTES in all (a documented bound on labelled
+text). Text is folded to UTF-8 of lower-case letters and their marks, any other run being one blank; the automaton
+reads bytes, so its table stays small in every script.
+
+Prediction: a whole text is parsed against each automaton into phrases: from a place, the longest match that
+occurs in the labelled text of the language, then on from its end; a byte that never occurs there is a phrase of its
+own. Matches run across words. The phrases of a language cost log2 of its labelled bytes each, for a phrase points
+into them; this sum over the bytes of the text is the cross entropy, and the language of the least wins. The score
+is the winner's weight among all languages, a language weighing 2 ** -(bits beyond those of the winner).
+
+The texts of a batch are parsed side by side: a table gives for each state and byte the next state and the phrases
+that end, so a step is one lookup for all texts and languages. A task holds the automata of BLOCK languages; with
+more languages there are more passes, and the bits of a text in all of them are brought together.
+
+Defined results: null texts and those without a letter (marks, digits and number signs are none) are ``und`` with
+score 0; ties go to the language that sorts first; with no labelled row at all every text is ``und``; repeated rows
+are treated alike; very long texts are parsed whole; a learned text without a letter teaches nothing; columns but
+doc_id, text and the label are not read.
 """
 
 from __future__ import annotations
 
-import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, row_key, stored, table
 
-BLOCK, SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 8, 400, 120_000, 2_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Languages of a pass; pieces of a language, bytes of a piece and of a language; bytes of text parsed side by side.
+BLOCK, PIECES, PIECE_BYTES, SAMPLE_BYTES = 6, 60, 2_000, 60_000
+LANES_BYTES = 24 << 20
+#: With at most so many chosen texts their keys are broadcast.
+MOST_PIECES = 100_000
+
+
+def folded(text: Column) -> Column:
+    """Letters and marks, lower-cased, all else one blank; null for texts without a letter."""
+    return F.when(text.rlike(r"\p{L}"), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")), F.lit(" ")))
 
 
 class SuffixAutomaton:
-    """All substrings of a text, for longest matches."""
-
-    def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
-        link, length, last = [-1], [0], 0
-        for c in text:
-            cur = len(length)
-            length.append(length[last] + 1)
-            self.next.append({})
-            link.append(0)
-            p = last
-            while p >= 0 and c not in self.next[p]:
-                self.next[p][c] = cur
-                p = link[p]
-            if p >= 0:
-                q = self.next[p][c]
-                if length[p] + 1 == length[q]:
-                    link[cur] = q
+    """All substrings of some texts, as a table of states by symbols; no match runs across two texts."""
+
+    def __init__(self, texts: list[bytes], symbols: np.ndarray, width: int):
+        size = sum(map(len, texts))
+        steps = array("i", bytes(4 * width * (2 * size + 2)))  # 0: no step
+        link, length = array("i", [0]) * (2 * size + 2), array("i", [0]) * (2 * size + 2)
+        link[0], states = -1, 1
+        for text in texts:
+            last = 0
+            for c in symbols[np.frombuffer(text, np.uint8)].tolist():
+                q = steps[last * width + c]
+                if q and length[q] == length[last] + 1:  # known from a text before
+                    last = q
+                    continue
+                cur, p = states, last
+                states += 1
+                length[cur] = length[last] + 1
+                while p >= 0 and not steps[p * width + c]:
+                    steps[p * width + c] = cur
+                    p = link[p]
+                if p < 0:
+                    link[cur] = 0
                 else:
-                    clone = len(length)
-                    length.append(length[p] + 1)
-                    self.next.append(dict(self.next[q]))
-                    link.append(link[q])
-                    while p >= 0 and self.next[p].get(c) == q:
-                        self.next[p][c] = clone
-                        p = link[p]
-                    link[q] = link[cur] = clone
-            last = cur
-
-    def phrases(self, text: str) -> int:
-        """Phrases of the greedy parse of text."""
-        steps, state, n = self.next, 0, 0
-        for c in text:
-            to = steps[state].get(c)
-            if to is None:
-                n += state != 0
-                to = steps[0].get(c)
-                if to is None:
-                    n, to = n + 1, 0
-            state = to
-        return n + (state != 0)
-
-
-def folded_words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+                    q = steps[p * width + c]
+                    if length[p] + 1 == length[q]:
+                        link[cur] = q
+                    else:
+                        clone = states
+                        states += 1
+                        length[clone] = length[p] + 1
+                        steps[clone * width : (clone + 1) * width] = steps[q * width : (q + 1) * width]
+                        link[clone] = link[q]
+                        link[q] = link[cur] = clone
+                        while p >= 0 and steps[p * width + c] == q:
+                            steps[p * width + c] = clone
+                            p = link[p]
+                        if length[cur] == length[clone]:  # the same strings: cur is not needed
+                            cur, states = clone, states
+                last = cur
+        self.steps = np.frombuffer(steps, np.int32)[: states * width].reshape(states, width)
 
 
 class CrossParser:
-    """Phrases of words for every language; a bounded table keeps those of words seen."""
-
-    LIMIT, LONGEST = 1 << 17, 64
+    """Bits of texts in several languages."""
 
-    def __init__(self, samples: dict[str, list[str]]):
+    def __init__(self, samples: dict[str, list[bytes]]):
         self.languages = sorted(samples)
-        self.automata = [SuffixAutomaton(self.framed(samples[x])) for x in self.languages]
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    @staticmethod
-    def framed(texts: list[str]) -> str:
-        """The distinct words of the sample, in order: a repeat adds no substring."""
-        return " " + " ".join(dict.fromkeys(w for t in texts for w in folded_words(t))) + " "
-
-    def of_word(self, word: str) -> tuple[int, ...]:
-        got = self.known.get(word)
-        if got is None:
-            got = tuple(a.phrases(f" {word} ") for a in self.automata)
-            if len(word) <= self.LONGEST:
-                if len(self.known) > self.LIMIT:
-                    self.known.clear()
-                self.known[word] = got
-        return got
-
-    def totals(self, words: list[str]) -> list[int]:
-        """Phrases of a text's words in each language."""
-        return [sum(x) for x in zip(*map(self.of_word, words), strict=True)]
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = folded_words(text) if text else []
-        if not words or not self.languages:
-            return "und", 0.0
-        totals = self.totals(words)
-        chars = sum(map(len, words))
-        rates = [t / chars for t in totals]
-        best = min(range(len(rates)), key=rates.__getitem__)
-        weights = [2.0 ** -min(30.0, float(t - totals[best])) for t in totals]
-        return self.languages[best], 1 / sum(weights)
-
-
-def sample_blocks(labelled: DataFrame, label: str = "lang") -> Iterator[dict[str, list[str]]]:
-    """A bounded sample for each label, BLOCK labels at a time: SAMPLE_ROWS pieces of least hash, from all places of
-    its texts, of at most ROW_CHARS characters, SAMPLE_CHARS in all."""
-    texts = labelled.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0)).select(F.col(label).alias("name"), row_key().alias("ht"), "text")
+        used = np.unique(np.frombuffer(b"".join(t for x in self.languages for t in samples[x]), np.uint8))
+        self.symbols = np.zeros(256, np.int64)  # 0: a byte of no language
+        self.symbols[used] = np.arange(1, len(used) + 1)
+        self.width = len(used) + 1
+        tables, self.roots, at = [], [], 0
+        for x in self.languages:
+            t = SuffixAutomaton(samples[x], self.symbols, self.width).steps.astype(np.int64)
+            root = np.broadcast_to(t[0], t.shape)
+            to = np.where(t == 0, root, t)
+            # a phrase ends where no step goes on, and a byte unknown to the language is a phrase
+            ended = ((t == 0) & (np.arange(len(t)) > 0)[:, None]).astype(np.int64) + (to == 0)
+            tables.append(((to + at) * self.width * 4 + ended).astype(np.int32).ravel())
+            self.roots.append(at * self.width)
+            at += len(t)
+        self.steps = np.concatenate(tables) if tables else np.empty(0, np.int32)
+        self.bits = np.array([np.log2(max(2, sum(map(len, samples[x])))) for x in self.languages])
+
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
+        """[texts, languages] phrases of the greedy parses."""
+        sizes = np.array([len(t) for t in texts])
+        order = np.argsort(-sizes, kind="stable")
+        symbols = self.symbols[np.frombuffer(b"".join(texts), np.uint8)].astype(np.int16)
+        at = (np.cumsum(sizes) - sizes)[order]
+        alive = np.searchsorted(-sizes[order], -np.arange(sizes.max(initial=0)), side="left")  # texts longer than each place
+        roots = np.array(self.roots)
+        state = np.tile(roots, (len(texts), 1))
+        count = np.zeros(state.shape, np.int32)
+        for place, n in enumerate(alive.tolist()):
+            v = self.steps[state[:n] + symbols[at[:n] + place][:, None]]
+            count[:n] += v & 3
+            state[:n] = v >> 2
+        count += state != roots
+        out = np.empty_like(count)
+        out[order] = count
+        return out
+
+    def costs(self, texts: list[bytes]) -> np.ndarray:
+        """[texts, languages] bits."""
+        return self.phrases(texts) * self.bits
+
+
+def sample_blocks(labelled: DataFrame, label: str = "lang") -> Iterator[dict[str, list[bytes]]]:
+    """A bounded sample for each label, BLOCK labels at a time: pieces of least hash from all places of its texts."""
+    texts = labelled.where(F.col(label).isNotNull()).select(F.col(label).alias("name"), row_key().alias("ht"), "text")
     # a text is cut into pieces of equal length, each with its own hash
-    sized = texts.select("name", "ht", F.ceil(F.length("text") / ROW_CHARS).cast("int").alias("n"))
+    n = F.ceil(F.octet_length("text") / PIECE_BYTES).cast("int")
+    sized = texts.where(F.octet_length("text") > 0).select("name", "ht", n.alias("n"))
     pieces = sized.select("name", "ht", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).withColumn("h", F.xxhash64("ht", "i"))
-    # the pieces of least hash of each label, without bringing a label's rows together: min keeps SAMPLE_ROWS slots
-    least = pieces.groupBy("name", F.pmod("h", F.lit(SAMPLE_ROWS)).alias("slot")).agg(F.min(F.struct("h", "ht", "i")).alias("p"))
+    # the pieces of least hash of each label, without bringing a label's rows together: min keeps PIECES slots
+    least = pieces.groupBy("name", F.pmod("h", F.lit(PIECES)).alias("slot")).agg(F.min(F.struct("h", "ht", "i")).alias("p"))
     chosen = least.groupBy("name", F.col("p.ht").alias("ht")).agg(F.collect_list(F.struct("slot", "p.i")).alias("at"))
-    step = F.ceil(F.length("text") / F.ceil(F.length("text") / ROW_CHARS)).cast("int")
+    chosen = stored(chosen, "language-pieces")
+    if chosen.count() <= MOST_PIECES:
+        chosen = F.broadcast(chosen)  # so texts stay where they are
+    step = F.ceil(F.char_length("text") / n).cast("int")
     held = texts.join(chosen, ["name", "ht"]).select("name", F.explode(F.transform("at", lambda x: F.struct(x["slot"].alias("slot"), F.substring(F.col("text"), x["i"] * step + 1, step).alias("t")))).alias("x"))
-    slots = stored(held.groupBy("name", F.col("x.slot").alias("slot")).agg(F.min("x.t").alias("t")), "language-samples")
+    slots = stored(held.groupBy("name", F.col("x.slot").alias("slot")).agg(F.min("x.t").alias("t")).select("name", "slot", folded(F.col("t")).alias("t")), "language-samples")
     names = sorted(r[0] for r in slots.select("name").distinct().collect())
     for i in range(0, len(names), BLOCK):
-        out: dict[str, list[str]] = {}
-        held: dict[str, int] = {}
-        block = slots.where(F.col("name").isin(names[i : i + BLOCK])).collect()  # at most BLOCK * SAMPLE_ROWS rows of ROW_CHARS characters
+        out: dict[str, list[bytes]] = {x: [] for x in names[i : i + BLOCK]}
+        room = dict.fromkeys(out, SAMPLE_BYTES)
+        block = slots.where(F.col("name").isin(list(out)) & F.col("t").isNotNull()).collect()  # at most BLOCK * PIECES pieces
         for r in sorted(block, key=lambda r: (r["name"], r["slot"])):
-            if held.get(r["name"], 0) < SAMPLE_CHARS:
-                out.setdefault(r["name"], []).append(r["t"])
-                held[r["name"]] = held.get(r["name"], 0) + len(r["t"])
-        yield out
+            t = r["t"].encode()[: room[r["name"]]]
+            out[r["name"]].append(t)
+            room[r["name"]] -= len(t)
+        yield {x: [t for t in ts if t] for x, ts in out.items() if any(ts)}
+
+
+def _decided(costs: np.ndarray, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    best = costs.argmin(axis=1)
+    with np.errstate(under="ignore"):
+        weights = 2.0 ** -(costs - costs.min(axis=1, keepdims=True))
+    return [languages[i] for i in best], 1 / weights.sum(axis=1)
+
+
+def _in_lanes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together up to LANES_BYTES of the text in their last column."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for b in batches:
+        held.append(b)
+        size += b.column(b.num_columns - 1).nbytes
+        if size >= LANES_BYTES:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _texts(t: pa.Table) -> tuple[np.ndarray, list[bytes]]:
+    """Which rows have a text, and these texts, in a table whose last column they are."""
+    whole = t.column(t.num_columns - 1).cast(pa.large_binary()).to_pylist()
+    return np.array([x is not None for x in whole], bool), [x for x in whole if x is not None]
 
 
-def identify(docs: DataFrame, blocks: Iterable[dict[str, list[str]]]) -> DataFrame:
+def identify(docs: DataFrame, blocks: Iterable[dict[str, list[bytes]]]) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of docs(doc_id, text)."""
-    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks] or [docs.sparkSession.sparkContext.broadcast({})]
+    blocks = [x for x in blocks if x]
+    shared = [docs.sparkSession.sparkContext.broadcast(x) for x in blocks or [{}]]
     if len(shared) > 1:
         return _over_blocks(docs, shared)
 
     def predict(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = CrossParser(shared[0].value)
-        for b in batches:
-            got = [parser.predict(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
+        for t in _in_lanes(batches):
+            has, texts = _texts(t)
+            lang, score = np.full(len(has), "und", object), np.zeros(len(has))
+            if texts and parser.languages:
+                lang[has], score[has] = _decided(parser.costs(texts), parser.languages)
+            yield from pa.table([t.column(0), pa.array(lang, pa.string()), pa.array(score)], ["doc_id", "lang_pred", "score"]).to_batches()
 
-    return map_arrow(docs.select("doc_id", "text"), predict, "doc_id long, lang_pred string, score double")
+    return map_arrow(docs.select("doc_id", folded(F.col("text")).alias("t")), predict, "doc_id long, lang_pred string, score double")
 
 
 def _over_blocks(docs: DataFrame, shared: list[Broadcast]) -> DataFrame:
     """The same with a pass for each block of languages; a task holds the automata of one block."""
-    rows = docs.select("doc_id", "text", row_key().alias("text_key"))
+    rows = docs.select("doc_id", row_key().alias("text_key"), folded(F.col("text")).alias("t"))
     every = None
     for n, block in enumerate(shared):
-        part = map_arrow(rows, _block_totals(block), "doc_id long, text_key long, totals array<struct<phrases: long, lang: string>>").withColumn("block", F.lit(n))
+        part = map_arrow(rows, _block_costs(block), "doc_id long, text_key long, costs array<struct<bits: double, lang: string>>").withColumn("block", F.lit(n))
         every = part if every is None else every.unionByName(part)
-    each = every.groupBy("doc_id", "text_key", "block").agg(F.count("*").cast("int").alias("copies"), F.first("totals").alias("totals"))
-    whole = each.groupBy("doc_id", "text_key").agg(F.max("copies").alias("copies"), F.flatten(F.collect_list("totals")).alias("totals")).withColumn("best", F.array_min("totals"))
-    weights = F.transform("totals", lambda x: F.pow(F.lit(2.0), -F.least(F.lit(30.0), (x["phrases"] - F.col("best.phrases")).cast("double"))))
+    each = every.groupBy("doc_id", "text_key", "block").agg(F.count("*").cast("int").alias("copies"), F.first("costs").alias("costs"))
+    whole = each.groupBy("doc_id", "text_key").agg(F.max("copies").alias("copies"), F.flatten(F.collect_list("costs")).alias("costs")).withColumn("best", F.array_min("costs"))
+    weights = F.transform("costs", lambda x: F.pow(F.lit(2.0), F.col("best.bits") - x["bits"]))
     score = F.when(F.col("best").isNull(), 0.0).otherwise(1 / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x))
     out = whole.select("doc_id", F.coalesce("best.lang", F.lit("und")).alias("lang_pred"), score.alias("score"), F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("copy"))
     return out.drop("copy")
 
 
-def _block_totals(shared: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _block_costs(shared: Broadcast) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = CrossParser(shared.value)
-        for b in batches:
-            words = [folded_words(t) if t else [] for t in b.column(1).to_pylist()]
-            totals = [[{"phrases": n, "lang": x} for n, x in zip(parser.totals(ws), parser.languages, strict=True)] if ws else [] for ws in words]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(totals, pa.list_(pa.struct([("phrases", pa.int64()), ("lang", pa.string())])))], ["doc_id", "text_key", "totals"])
+        kind = pa.list_(pa.struct([("bits", pa.float64()), ("lang", pa.string())]))
+        for t in _in_lanes(batches):
+            has, texts = _texts(t)
+            costs: list[list[dict]] = [[] for _ in has]
+            if texts:
+                for i, row in zip(np.flatnonzero(has), parser.costs(texts).tolist(), strict=True):
+                    costs[i] = [{"bits": b, "lang": x} for b, x in zip(row, parser.languages, strict=True)]
+            yield from pa.table([t.column(0), t.column(1), pa.array(costs, kind)], ["doc_id", "text_key", "costs"]).to_batches()
 
     return count
 
