@@ -180,7 +180,7 @@ def _math(t: Column) -> Column:
     for op, said in (("<=", "less than or equal to"), (">=", "greater than or equal to"), ("==", "equals"), ("=>", "implies"), (":=", "is defined as"), ("=", "equals"), (r"\+", "plus"), (r"\*", "times"), (r"\^", "to the power of"), ("<", "less than"), (">", "greater than")):
         new = F.regexp_replace(new, side.format(op), f" {said} ")
     new = F.regexp_replace(new, r"(?<=[0-9] )[-−](?= [0-9])", " minus ")
-    new = F.regexp_replace(new, r"(?<=[0-9] )/(?= [0-9])", " divided by ")
+    new = F.regexp_replace(new, r"(?<=(?<![A-Za-z0-9/.])[0-9]{1,40}\s?)/(?=\s?[0-9]++(?![A-Za-z/]|\.[0-9]))", " divided by ")  # no part of a path or a longer chain
     new = F.regexp_replace(new, r"(?<=[0-9])\s?%", " percent ")
     return bind(new, lambda x: F.when(x == t, t).otherwise(F.trim(F.regexp_replace(x, r"\s+", " "))))
 
@@ -253,7 +253,7 @@ def acronyms(t: Column, is_word: IsWord | None = None) -> Column:
 
 def numbers(t: Column) -> Column:
     """Decades, years, ordinals, decimals and cardinals, with signs and commas."""
-    p = rf"([+-]?)({_NUM}|[0-9]+)(?:\.([0-9]+))?((?i:st|nd|rd|th|s)(?![A-Za-z]))?"
+    p = rf"([+-]?)({_NUM}|[0-9]+)(?:\.([0-9]+))?((?i:st|nd|rd|th|['’]?s)(?![A-Za-z]))?"
 
     def parts(m: Column) -> Column:
         return F.struct(*[_group(m, p, i).alias(k) for i, k in ((1, "sign"), (2, "raw"), (3, "frac"), (4, "tail"))], m.alias("m"))
@@ -266,7 +266,7 @@ def numbers(t: Column) -> Column:
     def said(w: Column) -> Column:
         x, tail = w["x"], F.lower(w["x"]["tail"])
         number = F.when(x["frac"] != "", F.concat(w["c"], F.lit(" point "), digit_words(x["frac"]))).when(tail != "", ordinal_words(w["c"])).otherwise(F.coalesce(w["y"], w["c"]))
-        return F.when(tail == "s", F.coalesce(plural_year(w["y"]), x["m"])).otherwise(number)
+        return F.when(tail.endswith("s"), F.coalesce(plural_year(w["y"]), x["m"])).otherwise(number)
 
     return rewrite(t, rf"(?<![A-Za-z0-9:/.]){p}(?![A-Za-z0-9:/%$°]|\.[0-9])", lambda m: bind(bind(parts(m), words), said), "[0-9]")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +25,12 @@ def _halves(parts: Column, cap: int) -> Column:
 def enforce_cap(utterances: DataFrame, cap: int = CAP) -> DataFrame:
     """(doc_id, sent_idx, piece_idx, phonemes): a sentence over the cap is cut at commas, then by halves until all pieces fit.
 
-    Only rows over the cap go through the rounds; each round leaves at most half as many words in a piece, and
-    the longest one decides how many rounds there are."""
-    fits = F.char_length("phonemes") <= cap
-    over = utterances.where(~fits)
-    longest = over.agg(F.max(F.size(F.split("phonemes", " ")))).first()[0] or 0
+    Each round leaves at most half as many words in a piece, so a row of n words takes log2(n) + 1 rounds, all in the row."""
     pieces = F.filter(F.transform(F.split("phonemes", ","), lambda p: F.trim(p)), lambda p: p != "")
-    cut = over.select("doc_id", "sent_idx", pieces.alias("ps"))
-    for _ in range(longest.bit_length() + 1 if longest else 0):
-        cut = cut.select("doc_id", "sent_idx", _halves(F.col("ps"), cap).alias("ps"))
-    whole = utterances.where(fits).select("doc_id", "sent_idx", F.array("phonemes").alias("ps"))
-    return whole.union(cut).select("doc_id", "sent_idx", F.posexplode("ps").alias("piece_idx", "phonemes"))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(F.split("phonemes", " ")))).cast("int"))
+    cut = F.aggregate(rounds, pieces, lambda ps, _: _halves(ps, cap))
+    parts = F.when(F.char_length("phonemes") <= cap, F.array("phonemes")).otherwise(cut)
+    return utterances.select("doc_id", "sent_idx", F.posexplode(parts).alias("piece_idx", "phonemes"))
 
 
 def chunk_stats(utterances: DataFrame, cap: int = CAP) -> DataFrame:
@@ -41,19 +38,31 @@ def chunk_stats(utterances: DataFrame, cap: int = CAP) -> DataFrame:
     return utterances.agg(F.count("*").alias("chunks"), F.sum(n).alias("symbols"), F.count_if(n > cap).alias("over_cap"), F.count_if(n == 0).alias("empty"), F.max(n).alias("longest"))
 
 
-def _symbols(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "sent_idx", F.posexplode(F.split("phonemes", "")).alias("i", "symbol"))
+#: Symbols that a vocabulary may have at most: it travels as one literal.
+MOST_SYMBOLS = 1 << 16
+
+
+def _ids(vocab: DataFrame) -> Column:
+    """The vocabulary (symbol, id) as a constant map, after a check of its size."""
+    rows = vocab.select("symbol", F.col("id").cast("long")).limit(MOST_SYMBOLS + 1).collect()
+    if len(rows) > MOST_SYMBOLS:
+        raise ValueError(f"more than {MOST_SYMBOLS} symbols")
+    return F.from_json(F.lit(json.dumps({r[0]: r[1] for r in rows}, ensure_ascii=False)), "map<string,bigint>")
 
 
 def phonemes_to_ids(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, ids, dropped): symbols without an id are left out and counted."""
-    known = _symbols(pieces).join(vocab, "symbol", "left")
-    ids = known.groupBy("doc_id", "sent_idx").agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("i", "id")))).alias("x"), F.count_if(F.col("id").isNull()).alias("dropped"))
-    return ids.select("doc_id", "sent_idx", F.transform("x", lambda s: s["id"].cast("long")).alias("ids"), "dropped")
+    """(doc_id, sent_idx, ids, dropped): symbols without an id are left out and counted. All in the row, no shuffle."""
+    known = _ids(vocab)
+    all_ids = F.transform(F.filter(F.split("phonemes", ""), lambda c: c != ""), lambda c: F.element_at(known, c))
+    found = pieces.select("doc_id", "sent_idx", all_ids.alias("all"))
+    return found.select("doc_id", "sent_idx", F.array_compact("all").alias("ids"), (F.size("all") - F.size(F.array_compact("all"))).cast("long").alias("dropped"))
 
 
 def unmapped_symbols(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
-    return _symbols(pieces).groupBy("symbol").agg(F.count("*").alias("n")).join(vocab, "symbol", "left_anti")
+    """(symbol, n): only symbols without an id leave their row."""
+    known = _ids(vocab)
+    strange = F.filter(F.split("phonemes", ""), lambda c: (c != "") & F.element_at(known, c).isNull())
+    return pieces.select(F.explode(strange).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
 def pad_and_check(ids: DataFrame, context: int = 512) -> DataFrame:

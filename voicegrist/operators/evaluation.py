@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,19 +19,23 @@ def normalized_words(text: Column) -> Column:
 
 
 def _joins_free(ref: list[str], hyp: list[str]) -> int:
-    """Edit distance of words in which two words against their joined form cost nothing."""
-    rows = [list(range(len(hyp) + 1))]
-    for i, r in enumerate(ref, 1):
-        row = [i]
-        for j, h in enumerate(hyp, 1):
-            best = min(rows[i - 1][j] + 1, row[j - 1] + 1, rows[i - 1][j - 1] + (r != h))
-            if i > 1 and ref[i - 2] + r == h:
-                best = min(best, rows[i - 2][j - 1])
-            if j > 1 and hyp[j - 2] + h == r:
-                best = min(best, rows[i - 1][j - 2])
-            row.append(best)
-        rows.append(row)
-    return rows[-1][-1]
+    """Edit distance of words in which two words against their joined form cost nothing: one vectorised row for each word of ref."""
+    number: dict[str, int] = {}
+    of = lambda words: np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    h, pairs = of(hyp), of([a + b for a, b in zip(hyp, hyp[1:], strict=False)])
+    place = np.arange(len(hyp) + 1)
+    before, last = None, place
+    for i, word in enumerate(ref):
+        row = last + 1
+        if len(hyp):
+            row[1:] = np.minimum(row[1:], last[:-1] + (h != of([word])[0]))
+            if len(hyp) > 1:
+                row[2:] = np.where(pairs == number[word], np.minimum(row[2:], last[:-2]), row[2:])
+            if before is not None:
+                row[1:] = np.where(h == of([ref[i - 1] + word])[0], np.minimum(row[1:], before[:-1]), row[1:])
+        row = np.minimum.accumulate(row - place) + place  # words left out of ref
+        before, last = last, row
+    return int(last[-1])
 
 
 def _edits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -79,9 +84,10 @@ def wer_macro(scores: DataFrame, gate: float = 0.90) -> DataFrame:
     return scores.agg(mean.alias("mean_wer"), (1 - mean).alias("agreement"), (1 - mean >= gate).alias("passed"))
 
 
-def select_lines(lines: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Lines (idx, text) inside any inclusive range (lo, hi): a range semi join."""
-    return lines.join(ranges, (F.col("idx") >= F.col("lo")) & (F.col("idx") <= F.col("hi")), "left_semi")
+def select_lines(lines: DataFrame, ranges: DataFrame, cell: int = 1024) -> DataFrame:
+    """Lines (idx, text) inside any inclusive range (lo, hi): ranges go to the cells they touch, so lines meet them by an equi join."""
+    cells = ranges.where("lo <= hi").withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") / cell), F.floor(F.col("hi") / cell))))
+    return lines.join(cells, (F.floor(lines["idx"] / cell) == cells["cell"]) & (lines["idx"] >= cells["lo"]) & (lines["idx"] <= cells["hi"]), "left_semi")
 
 
 def parse_ranges(spec: str) -> list[tuple[int, int]]:

@@ -5,7 +5,7 @@ priority. All tiers meet the lexicons in one join, and the first that is found w
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normalize import normalize_with_lexicon
@@ -62,7 +62,7 @@ def _core(word: Column) -> Column:
     for v in "aeiouy":
         few = "{0,2}" if v in "ay" else "{1,2}"
         w = F.regexp_replace(w, f"{v}(?=[^aeiouy]{few}e$)", v.upper())
-    w = F.regexp_replace(w, "(?<!s)c(?=[eiyEIY])", "C")
+    w = F.regexp_replace(w, "c(?=[eiyEIY])", "C")
     w = F.regexp_replace(w, "(?<![dn])g(?=[eiyEIY])|(?<=d)g(?=[iyIY])", "G")
     pattern = "^ku|" + "|".join(g if len(g) == 1 else f"(?i:{g})" for g in GRAPHEMES) + "|[A-Z]"
     table = literal_map(GRAPHEMES | MARKED | {"ku": "k *ju"})
@@ -103,14 +103,35 @@ def lexicon(gold: DataFrame, phones: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.max_by(F.struct("ipa", "is_gold"), F.struct("is_gold", "ipa")).alias("v")).select("key", "v.ipa", "v.is_gold")
 
 
+#: First priority of compounds; the order of PREFIXES and TAILS follows.
+AFFIXED = 100
+
+
+def _candidate(on: Column, prio: Column, tier: str, key: Column, gold_only: bool, affix: Column, before: bool, add: str) -> Column:
+    return F.when(on, F.struct(prio.alias("prio"), F.lit(tier).alias("tier"), key.alias("key"), F.lit(gold_only).alias("gold_only"), affix.alias("affix"), F.lit(before).alias("before"), F.lit(add).alias("add")))
+
+
+def _affixed(low: Column, on: Column, order: dict[str, int], before: bool) -> Column:
+    """Candidates with an affix of order (affix -> place) cut off: one lookup for each length an affix has, not one for each affix."""
+    lengths = sorted(set(map(len, order)))
+    table = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
+
+    def one(k: Column) -> Column:
+        affix = F.substring(low, F.lit(1), k) if before else F.substring(low, F.length(low) - k + 1, k)
+        key = F.substring(low, k + 1, F.lit(1 << 16)) if before else F.substring(low, F.lit(1), F.length(low) - k)
+        return _candidate(on & (F.length(low) > k + 2) & F.element_at(table, affix).isNotNull(), F.element_at(table, affix) + AFFIXED, "compound", key, False, affix, before, "")
+
+    return F.transform(F.array(*[F.lit(k) for k in lengths]), one)
+
+
 def candidates(word: Column) -> Column:
     """Array of struct(prio, tier, key, gold_only, affix, before, add): keys under which a word may be found, in order."""
     low = F.lower(word)
     caps = word.rlike("^[A-Z]{2,}$")
-    n = iter(range(10_000))
+    n = iter(range(AFFIXED))
 
-    def c(tier: str, on: Column, key: Column, gold_only: bool = False, affix: str = "", before: bool = False, add: str = "") -> Column:
-        return F.when(on, F.struct(F.lit(next(n)).alias("prio"), F.lit(tier).alias("tier"), key.alias("key"), F.lit(gold_only).alias("gold_only"), F.lit(affix).alias("affix"), F.lit(before).alias("before"), F.lit(add).alias("add")))
+    def c(tier: str, on: Column, key: Column, gold_only: bool = False, add: str = "", prio: int | None = None) -> Column:
+        return _candidate(on, F.lit(next(n) if prio is None else prio), tier, key, gold_only, F.lit(""), False, add)
 
     cut = lambda k: F.substring(low, 1, F.length(low) - k)
     small = ~caps
@@ -120,10 +141,9 @@ def candidates(word: Column) -> Column:
     out += [c("phones", small, low), c("possessive", small & low.rlike("[^']'s$"), cut(2), add="allo"), c("hyphenated", small & word.contains("-"), F.replace(low, F.lit("-"), F.lit("")))]
     ae, oe = F.replace(low, F.lit("ae"), F.lit("e")), F.replace(low, F.lit("oe"), F.lit("e"))
     out += [c("british", small & low.contains("ae"), ae), c("british", small & low.contains("oe"), oe), c("british", small & low.contains("ae") & low.contains("oe"), F.replace(ae, F.lit("oe"), F.lit("e")))]
-    out += [c("compound", small & low.startswith(p) & (F.length(low) > len(p) + 2), F.substring(low, len(p) + 1, 1 << 16), affix=p, before=True) for p in PREFIXES]
-    out += [c("compound", small & low.endswith(t) & (F.length(low) > len(t) + 2), cut(len(t)), affix=t) for t in TAILS]
-    out += [c("inflection", small & low.endswith(s) & (F.length(low) >= len(s) + 3), cut(len(s)), add=ipa) for s, ipa in INFLECTIONS.items()]
-    return F.array_compact(F.array(*out))
+    out += [c("inflection", small & low.endswith(s) & (F.length(low) >= len(s) + 3), cut(len(s)), add=ipa, prio=AFFIXED + 1000 + i) for i, (s, ipa) in enumerate(INFLECTIONS.items())]
+    compounds = [_affixed(low, small, {p: i for i, p in enumerate(PREFIXES)}, True), _affixed(low, small, {t: len(PREFIXES) + i for i, t in enumerate(TAILS)}, False)]
+    return F.array_compact(F.concat(F.array(*out), *compounds))
 
 
 def _found(types: DataFrame, lex: DataFrame) -> DataFrame:
@@ -230,10 +250,8 @@ def phonemize_corpus(sentences: DataFrame, gold: DataFrame, phones: DataFrame, o
 
     sentences = normalize_with_lexicon(sentences.select("doc_id", "sent_idx", "text"), ["doc_id", "sent_idx"], "text", gold, phones)
     tokens = tokenize(sentences)
-    by = Window.partitionBy("doc_id", "sent_idx").orderBy("tok_idx").rowsBetween(Window.unboundedPreceding, 0)
     types = resolve_words(tokens.where("kind = 'word'").select(F.col("token").alias("word")), gold, phones, overrides)
     senses = homograph_senses(sentences).select("doc_id", "sent_idx", "word_idx", "sense_ipa")
-    numbered = tokens.withColumn("word_idx", F.sum((F.col("kind") == "word").cast("int")).over(by) - 1)
-    said = numbered.join(types.select(F.col("word").alias("token"), "ipa"), "token", "left").join(senses, ["doc_id", "sent_idx", "word_idx"], "left")
+    said = tokens.join(types.select(F.col("word").alias("token"), "ipa"), "token", "left").join(senses, ["doc_id", "sent_idx", "word_idx"], "left")
     ipa = F.when(F.col("kind") == "punct", F.col("token")).otherwise(F.coalesce("sense_ipa", "ipa", F.lit("")))
     return render_phonemes(said.select("doc_id", "sent_idx", "tok_idx", "kind", ipa.alias("ipa")))

@@ -9,9 +9,14 @@ TOKEN = r"[A-Za-z'’-]+|[,.!?;:“”—…]"
 
 
 def tokenize(sentences: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, tok_idx, kind, token) of sentences (doc_id, sent_idx, text)."""
-    found = sentences.select("doc_id", "sent_idx", F.posexplode(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0))).alias("tok_idx", "t"))
-    return found.select("doc_id", "sent_idx", "tok_idx", F.when(F.col("t").rlike("^[A-Za-z'’-]"), "word").otherwise("punct").alias("kind"), F.replace("t", F.lit("’"), F.lit("'")).alias("token"))
+    """(doc_id, sent_idx, tok_idx, kind, token, word_idx) of sentences (doc_id, sent_idx, text). Words are numbered inside the row; punctuation has no word_idx."""
+    plain = lambda t: F.replace(t, F.lit("’"), F.lit("'"))
+    is_word = lambda x: x["t"].rlike("^[A-Za-z'’-]")
+    at = F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
+    row = lambda x, kind, k: F.struct(x["i"].alias("tok_idx"), F.lit(kind).alias("kind"), plain(x["t"]).alias("token"), k.alias("word_idx"))
+    words = F.transform(F.filter("at", is_word), lambda x, k: row(x, "word", k))
+    marks = F.transform(F.filter("at", lambda x: ~is_word(x)), lambda x: row(x, "punct", F.lit(None).cast("int")))
+    return sentences.select("doc_id", "sent_idx", at.alias("at")).select("doc_id", "sent_idx", F.inline(F.concat(words, marks)))
 
 
 def word_index(sentences: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.structure import sentence_pieces
+from ..operators.structure import ABBREVIATIONS, sentence_pieces
 
 
 def assign_generation(requests: DataFrame) -> DataFrame:
@@ -55,35 +56,46 @@ def request_defaults(requests: DataFrame, voice: str = "default") -> DataFrame:
     return requests.withColumn("text", F.coalesce(F.nullif(F.trim("text"), F.lit("")), F.lit("Recognition ready."))).withColumn("voice", F.coalesce("voice", F.lit(voice)))
 
 
+_BOUNDARY = re.compile(r"[.!?;](?=\s)")
+_ABBREVIATION = re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(map(re.escape, ABBREVIATIONS))})$", re.IGNORECASE)
+
+
+def settled(text: str) -> int:
+    """Length of the part of text that ends with its last certain sentence end: what follows cannot change its sentences."""
+    for m in reversed(list(_BOUNDARY.finditer(text))):
+        upto = text[: m.end()]
+        if not upto.endswith("..") and not _ABBREVIATION.search(upto[-12:]):
+            return m.end()
+    return 0
+
+
 def stream_sentences(pieces: DataFrame) -> DataFrame:
-    """(turn, seq, sentence) from a stream of partial text (turn, seq, text, last): every sentence once it is complete, the rest at the end of the turn.
+    """(turn, part, seq, sentence) from a stream of partial text (turn, seq, text, last): every sentence once it is complete, the rest at
+    the end of the turn. The keyed state only finds where text is settled; sentences are split by the same expression as in a batch.
 
     The state of a turn is its unfinished tail; it expires after ten minutes without text."""
 
     def emit(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import re
-
         tail, n = state.get if state.exists else ("", 0)
-        out = []
         if state.hasTimedOut:
-            out, tail = [tail], ""
+            done, tail = tail, ""
             state.remove()
         else:
             ended = False
             for x in pd.concat(batches).sort_values("seq").itertuples():
-                tail += x.text
+                tail += x.text or ""
                 ended = ended or bool(x.last)
-            done = re.split(r"(?<=[.!?;])\s+", tail)
-            out, tail = (done, "") if ended else (done[:-1], done[-1])
+            at = len(tail) if ended else settled(tail)
+            done, tail = tail[:at], tail[at:]
             if ended:
                 state.remove()
             else:
-                state.update((tail, n + len(out)))
+                state.update((tail, n + 1))
                 state.setTimeoutDuration(600_000)
-        said = [s.strip() for s in out if any(c.isalnum() for c in s)]
-        yield pd.DataFrame({"turn": [key[0]] * len(said), "seq": range(n, n + len(said)), "sentence": said})
+        yield pd.DataFrame({"turn": [key[0]], "part": [n], "text": [done]})
 
-    return pieces.groupBy("turn").applyInPandasWithState(emit, "turn long, seq int, sentence string", "tail string, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    parts = pieces.groupBy("turn").applyInPandasWithState(emit, "turn long, part int, text string", "tail string, n int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return parts.select("turn", "part", F.posexplode(sentence_pieces(F.col("text"))).alias("seq", "sentence"))
 
 
 def turn_sentences(pieces: DataFrame) -> DataFrame:
