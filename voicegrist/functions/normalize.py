@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -180,7 +181,7 @@ def _math(t: Column) -> Column:
     for op, said in (("<=", "less than or equal to"), (">=", "greater than or equal to"), ("==", "equals"), ("=>", "implies"), (":=", "is defined as"), ("=", "equals"), (r"\+", "plus"), (r"\*", "times"), (r"\^", "to the power of"), ("<", "less than"), (">", "greater than")):
         new = F.regexp_replace(new, side.format(op), f" {said} ")
     new = F.regexp_replace(new, r"(?<=[0-9] )[-−](?= [0-9])", " minus ")
-    new = F.regexp_replace(new, r"(?<=(?<![A-Za-z0-9/.])[0-9]{1,40}\s?)/(?=\s?[0-9]++(?![A-Za-z/]|\.[0-9]))", " divided by ")  # no part of a path or a longer chain
+    new = F.regexp_replace(new, r"/(?<=(?<![A-Za-z0-9/.])[0-9]{1,40}\s?/)(?=\s?[0-9]++(?![A-Za-z/]|\.[0-9]))", " divided by ")  # no part of a path or a longer chain
     new = F.regexp_replace(new, r"(?<=[0-9])\s?%", " percent ")
     return bind(new, lambda x: F.when(x == t, t).otherwise(F.trim(F.regexp_replace(x, r"\s+", " "))))
 
@@ -278,13 +279,20 @@ RULES: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: What any rule needs: a character beyond letters, blanks and plain punctuation, two capitals, a Roman numeral, an
+#: abbreviation, or letters on both sides of a dot. Rows without it pass all rules as they are.
+TRIGGER = r"[^A-Za-z\s.,;:!?()'’“”-]|[A-Z]{2}|(?<![A-Za-z])[ivxlcdm]{2,}(?![A-Za-z])|[A-Za-z]\.[A-Za-z]|(?<![A-Za-z])(?i:" + "|".join(re.escape(a) for a in SPOKEN) + ")"
+ODD = "__odd"
+
+
 def normalize_corpus(sentences: DataFrame, column: str = "text", rewrites: list[tuple[str, str]] = (), is_word: IsWord | None = None, is_emphatic: IsWord | None = None) -> DataFrame:
     """The whole cascade on one column, each rule in a projection of its own. is_emphatic tells all-caps words that are real words (default: is_word)."""
-    out = sentences.withColumn(column, F.translate(apply_rewrites(F.col(column), list(rewrites)), "\u0001", ""))
+    text = F.col(column)
+    out = sentences.withColumn(column, F.translate(apply_rewrites(text, list(rewrites)), "\u0001", "")).withColumn(ODD, text.rlike(TRIGGER))
     for name, rule in RULES.items():
         extra = {"is_word": is_word} if name in ("n08_roman", "n10_urls") else {"is_word": is_emphatic or is_word} if name == "n18_acronyms" else {}
-        out = out.withColumn(column, rule(F.col(column), **extra))
-    return out
+        out = out.withColumn(column, F.when(F.col(ODD), rule(text, **extra)).otherwise(text))
+    return out.drop(ODD)
 
 
 def normalize_with_lexicon(rows: DataFrame, keys: list[str], column: str, gold: DataFrame, phones: DataFrame) -> DataFrame:

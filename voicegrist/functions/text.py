@@ -27,7 +27,8 @@ def _below_1000(g: Column) -> Column:
 
 
 def literal_map(d: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    """A constant map, written as one literal that the optimizer folds."""
+    return F.str_to_map(F.lit("\u0005".join(f"{k}\u0004{v}" for k, v in d.items())), F.lit("\u0005"), F.lit("\u0004"))
 
 
 def bind(value: Column, fn: Callable[[Column], Column]) -> Column:

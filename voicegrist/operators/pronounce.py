@@ -176,29 +176,31 @@ BEFORE_POSSESSIVE = "override acronym_word emphasis gold plural phones".split()
 
 def resolve_words(types: DataFrame, gold: DataFrame, phones: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """(word, ipa, tier) for every distinct word. Words of parts (hyphens, camelCase) are resolved by their parts, possessives
-    by their bases, which go through all tiers in a second round; an acronym's possessive stays with the acronym."""
-    lex = lexicon(gold, phones)
-    types = types.select("word").distinct()
+    by their bases, which go through all tiers too; an acronym's possessive stays with the acronym. Word types are few beside
+    the tokens and are met several times, so they and their answers are kept."""
+    types = types.select("word").distinct().persist()
     base = F.regexp_replace("word", "'[sS]$", "")
     owners = types.where(F.col("word").rlike("[^']'[sS]$") & ~base.rlike("^[A-Z]{2,}$")).select("word", base.alias("base"))
-    bases = _resolved(owners.select(F.col("base").alias("word")).distinct(), lex, overrides).where("ipa <> ''").select(F.col("word").alias("base"), F.col("ipa").alias("base_ipa"))
-    every = _resolved(types, lex, overrides).join(owners.join(bases, "base").select("word", "base_ipa"), "word", "left")
+    every = types.union(owners.select("base")).distinct()
+    answers = _resolved(every, lexicon(gold, phones), overrides).persist()
+    bases = answers.where("ipa <> ''").select(F.col("word").alias("base"), F.col("ipa").alias("base_ipa"))
+    mine = answers.join(types, "word", "left_semi").join(owners.join(bases, "base").select("word", "base_ipa"), "word", "left")
     owned = F.col("base_ipa").isNotNull() & ~F.col("tier").isin(BEFORE_POSSESSIVE)
-    return every.select("word", F.when(owned, F.concat("base_ipa", allomorph(F.col("base_ipa")))).otherwise(F.col("ipa")).alias("ipa"), F.when(owned, "possessive").otherwise(F.col("tier")).alias("tier"))
+    return mine.select("word", F.when(owned, F.concat("base_ipa", allomorph(F.col("base_ipa")))).otherwise(F.col("ipa")).alias("ipa"), F.when(owned, "possessive").otherwise(F.col("tier")).alias("tier"))
 
 
 def _resolved(types: DataFrame, lex: DataFrame, overrides: DataFrame | None) -> DataFrame:
-    """One round over distinct words."""
-    found = _found(types, lex)
+    """Answers for distinct words: found whole, else by their parts, each found or read by rule."""
+    parts = F.filter(F.split(F.regexp_replace("word", "([a-z])([A-Z])", "$1 $2"), "[ -]"), lambda p: p != "")
+    split = types.select("word", F.posexplode(parts).alias("i", "part"), F.size(parts).alias("n"), F.col("word").contains("-").alias("hyphen"))
+    known = _found(split.select(F.col("part").alias("word")).union(types).distinct(), lex).persist()
+    found = known.join(types, "word", "left_semi")
     if overrides is not None:
         user = types.join(overrides.select(F.lower("word").alias("k"), F.col("ipa").alias("o")), F.lower("word") == F.col("k")).select("word", F.col("o").alias("ipa"), F.lit("override").alias("tier"))
         found = user.unionByName(found.join(user, "word", "left_anti"))
-    rest = types.join(found, "word", "left_anti")
-    parts = F.filter(F.split(F.regexp_replace("word", "([a-z])([A-Z])", "$1 $2"), "[ -]"), lambda p: p != "")
-    split = rest.select("word", F.posexplode(parts).alias("i", "part"), F.size(parts).alias("n"), F.col("word").contains("-").alias("hyphen"))
-    known = _found(split.select(F.col("part").alias("word")).distinct(), lex).select(F.col("word").alias("part"), "ipa", "tier")
+    rest = split.join(found, "word", "left_anti").join(known.select(F.col("word").alias("part"), "ipa", "tier"), "part", "left")
     ipa, tier = _fallback(F.col("part"))
-    said = split.join(known, "part", "left").withColumn("ipa", F.coalesce("ipa", ipa)).withColumn("tier", F.coalesce("tier", tier))
+    said = rest.withColumn("ipa", F.coalesce("ipa", ipa)).withColumn("tier", F.coalesce("tier", tier))
     glued = said.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", "ipa"))).alias("ps"), F.max("n").alias("n"), F.first("hyphen").alias("hyphen"), F.max("tier").alias("t"))
     ipas = F.transform("ps", lambda p: p["ipa"])
     joined = F.when(F.col("hyphen"), F.array_join(ipas, "")).otherwise(F.array_join(ipas, " "))

@@ -17,7 +17,10 @@ from ..streaming import requests as R
 
 
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    """A table, dealt anew where its files make fewer tasks than there are cores; large tables are left as they lie."""
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:

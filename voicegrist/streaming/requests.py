@@ -41,7 +41,7 @@ def backlog_seconds(requests: DataFrame, warn: float = 30.0, hold: float = 8.0)
 def queue_status(events: DataFrame) -> DataFrame:
     """(session, queued, speaking, current) from events (session, request_id, ts, kind in request / start / done)."""
     per = events.groupBy("session", "request_id").agg(F.max((F.col("kind") == "start").cast("int")).alias("s"), F.max((F.col("kind") == "done").cast("int")).alias("d"))
-    return per.groupBy("session").agg(F.count_if("s = 0 and d = 0").alias("queued"), F.max("s = 1 and d = 0").alias("speaking"), F.max(F.when(F.expr("s = 1 and d = 0"), F.col("request_id"))).alias("current"))
+    return per.groupBy("session").agg(F.count_if(F.expr("s = 0 and d = 0")).alias("queued"), F.max(F.expr("s = 1 and d = 0")).alias("speaking"), F.max(F.when(F.expr("s = 1 and d = 0"), F.col("request_id"))).alias("current"))
 
 
 def process_receipts(done: DataFrame, every: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
