@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from voicegrist.llm import decontamination, mixing, near_dedup, nearest, pii, secrets, substring_dedup, token_counts
+from voicegrist.llm import decontamination, mixing, near_dedup, pii, secrets, substring_dedup, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, size string"
 
@@ -136,20 +136,6 @@ def test_spans(spark):
     assert secrets.find_secrets(alone).first().spans == ""
 
 
-def test_nearest_recall(spark):
-    r = np.random.default_rng(3)
-    x = r.standard_normal((3000, 16))
-    data = [(i, [float(v) for v in x[i]]) for i in range(3000)] + [(3100, None), (3200, [0.0] * 16), (3300, [float("nan")] * 16)]
-    got = nearest.nearest(spark.createDataFrame(data, "vec_id long, embedding array<float>")).toPandas()
-    x32 = x.astype(np.float32).astype(float)
-    hit = 0
-    for q in range(0, 3000, 100):
-        d = np.sqrt(((x32 - x32[q]) ** 2).sum(1))
-        d[q] = np.inf
-        hit += len(set(np.argsort(d)[:10]) & set(got[got.query_id == q].vec_id))
-    assert hit / 300 >= 0.9 and len(got) == 300
-
-
 def test_decontamination_without_item_id(spark):
     """A document whose only hits are windows of an item without an id stays, with no items."""
     item = " ".join(words(20, 31))
