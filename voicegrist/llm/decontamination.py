@@ -126,8 +126,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFra
     postings = stored(postings.withColumn("class", F.md5(F.array_join("items", ","))), "item-postings")
     classes = postings.groupBy("class").agg(F.first("items").alias("items"))
 
-    found = document_windows(docs, sifted, lengths)
-    flat = found.select("doc_id", "text_key", "n_words", F.posexplode_outer("hits").alias("i", "hit")).select("doc_id", "text_key", "n_words", F.coalesce("i", F.lit(0)).alias("i"), F.col("hit.window").alias("window"), F.col("hit.starts").alias("starts"))
+    found = stored(document_windows(docs, sifted, lengths), "document-windows")
+    untouched = found.where(F.size("hits") == 0).select("doc_id", "text_key", "n_words")  # most rows: they meet no join
+    flat = found.where(F.size("hits") > 0).select("doc_id", "text_key", "n_words", F.posexplode("hits").alias("i", "hit")).select("doc_id", "text_key", "n_words", "i", F.col("hit.window").alias("window"), F.col("hit.starts").alias("starts"))
     known = postings.select("window", "n", "class")
     hit = flat.join(known, "window", "left")
     covered = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + F.col("n") - 1)))
@@ -146,8 +147,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, share: int = 20) -> DataFra
     # a class of items without an id has an empty list: its documents stay, with no items
     listed = by_doc.where("of <> ''").join(lists, "of", "left").withColumns({"n_items": F.coalesce("n_items", F.lit(0).cast("long")), "items_sha256": F.coalesce("items_sha256", F.sha2(F.lit(""), 256))})
     joined = listed.select(clean.columns).unionByName(clean)
+    nothing = untouched.select("doc_id", "text_key", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"))
     out = joined.select("doc_id", "text_key", "n_words", "n_hit", "n_items", "items_sha256", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"), F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("copy"))
-    return out.drop("copy")
+    return nothing.unionByName(out.drop("copy"))
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
