@@ -93,10 +93,9 @@ def _votes(kind: str, s: Column, before: Column, after: Column) -> list[Column]:
     return [shape, gazetteer, context, border, variety]
 
 
-def _candidates(text: Column, spans: Column, kind: str, base: bool) -> Column:
+def _candidates(spans: Column, kind: str, base: bool) -> Column:
     def one(x: Column) -> Column:
-        before = F.substring(text, F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40)))
-        after = F.substring(text, x["end"] + 1, F.lit(1))
+        before, after = x["before"], x["after"]
         edge = lambda c: F.when(c == "", 0).when(c.rlike(r"[\p{L}\p{N}]"), 1).when(c.rlike(r"\s"), 2).otherwise(3)
         votes = _votes(kind, x["s"], before, after)
         traits = F.concat_ws("/", *[y.cast("string") for y in (votes[0], votes[2], F.least(F.floor(F.char_length(x["s"]) / 4), F.lit(8)), edge(F.substring(before, -1, 1)), edge(after))])
@@ -112,10 +111,10 @@ def candidates(docs: DataFrame) -> DataFrame:
     more = {"email": matches(text, SPELLED_EMAIL, F.lower(text).rlike(r"[(\[]at[)\]]")), "phone": matches(text, PLAIN_PHONE, text.rlike(r"[0-9]{3}[)\x20.-]\x20?[0-9]{3}[\x20.-][0-9]{4}"))}
     raw = kept.select("*", *[c.alias(f"b_{k}") for k, c in base_spans(text).items()], *[c.alias(f"m_{k}") for k, c in more.items()])
     at = raw.select("doc_id", "text_key", "t", *[placed(F.col(c)).alias(c) for c in raw.columns if c[:2] in ("b_", "m_")])
-    parts = [_candidates(text, F.filter(f"b_{k}", valid(k)), k, True) for k in KINDS]
-    parts += [_candidates(text, F.col(f"m_{k}"), k, False) for k in more]
+    parts = [_candidates(F.filter(f"b_{k}", valid(k)), k, True) for k in KINDS]
+    parts += [_candidates(F.col(f"m_{k}"), k, False) for k in more]
     failing = F.filter("b_card", lambda x: F.char_length(digits(x["s"])).isin(15, 16) & ~passes("card", x["s"]))
-    parts.append(_candidates(text, failing, "card", False))
+    parts.append(_candidates(failing, "card", False))
     return at.select("doc_id", "text_key", F.concat(*parts).alias("found"))
 
 
