@@ -84,15 +84,6 @@ def test_word_errors_of_normalised_texts(spark):
     assert E.wer(p).first().edits == 0
 
 
-def test_plain_rows_pass_the_cascade(spark, monkeypatch):
-    """A row is passed on only where no rule would change it."""
-    texts = ["Plain words, and more.", "mix and di", "He said: Dr. Who", "the US", "see a.b", "café", "ÉA été", "É.A", "éxi", "a × b", "a - b", "XIV", "(so) it's 'fine'", "etc. and so on"]
-    rows = spark.createDataFrame([*enumerate(texts)], "i int, text string")
-    got = [r.text for r in N.normalize_corpus(rows).orderBy("i").collect()]
-    monkeypatch.setattr(N, "TRIGGER", "")
-    assert got == [r.text for r in N.normalize_corpus(rows).orderBy("i").collect()]
-
-
 def test_edits_by_rows_are_the_plain_table(spark):
     import random
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -279,20 +278,14 @@ RULES: dict[str, Callable[[Column], Column]] = {
 }
 
 
-#: What any rule but N9 needs: a character beyond Latin letters, blanks and plain punctuation, two capitals, a Roman
-#: numeral, an abbreviation, or letters on both sides of a dot. Rows without it, as they are and without accents, only lose their accents.
-TRIGGER = r"[^A-Za-zÀ-ÖØ-öø-ɏ\s.,;:!?()'’“”-]|[A-Z]{2}|(?<![A-Za-z])[ivxlcdm]{2,}(?![A-Za-z])|[A-Za-z]\.[A-Za-z]|(?<![A-Za-z])(?i:" + "|".join(re.escape(a) for a in SPOKEN) + ")"
-ODD = "__odd"
-
-
 def normalize_corpus(sentences: DataFrame, column: str = "text", rewrites: list[tuple[str, str]] = (), is_word: IsWord | None = None, is_emphatic: IsWord | None = None) -> DataFrame:
     """The whole cascade on one column, each rule in a projection of its own. is_emphatic tells all-caps words that are real words (default: is_word)."""
     text = F.col(column)
-    out = sentences.withColumn(column, F.translate(apply_rewrites(text, list(rewrites)), "\u0001", "")).withColumn(ODD, text.rlike(TRIGGER) | fold_diacritics(text).rlike(TRIGGER))
+    out = sentences.withColumn(column, F.translate(apply_rewrites(text, list(rewrites)), "\u0001", ""))
     for name, rule in RULES.items():
         extra = {"is_word": is_word} if name in ("n08_roman", "n10_urls") else {"is_word": is_emphatic or is_word} if name == "n18_acronyms" else {}
-        out = out.withColumn(column, rule(text) if name == "n09_diacritics" else F.when(F.col(ODD), rule(text, **extra)).otherwise(text))
-    return out.drop(ODD)
+        out = out.withColumn(column, rule(text, **extra))
+    return out
 
 
 def normalize_with_lexicon(rows: DataFrame, keys: list[str], column: str, gold: DataFrame, phones: DataFrame) -> DataFrame:
