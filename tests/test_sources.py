@@ -16,11 +16,12 @@ def put(path, text):
 
 def test_text_corpus(spark, tmp_path):
     put(tmp_path / "a" / "one.txt", "One.\nTwo.")
-    put(tmp_path / "b" / "two.txt", "")
+    put(tmp_path / "b" / "two.txt", " ")
+    put(tmp_path / "b" / "none.txt", "")
     put(tmp_path / "b" / "other.md", "no")
     docs = S.read_text_corpus(spark, str(tmp_path))
-    assert sorted(r.text for r in docs.collect()) == ["", "One.\nTwo."] and S.read_text_corpus(spark, str(tmp_path), 1).count() == 1
-    assert tuple(S.corpus_ingest_stats(docs).first()) == (2, 9, 1)
+    assert sorted(r.text for r in docs.collect()) == [" ", "One.\nTwo."] and S.read_text_corpus(spark, str(tmp_path), 1).count() == 1
+    assert tuple(S.corpus_ingest_stats(docs).first()) == (2, 10, 1)
 
 
 def test_lexicons(spark, tmp_path):

@@ -10,7 +10,7 @@ OVERRIDES = T.StructType([T.StructField("rewrites", T.ArrayType(T.StructType([T.
 
 
 def read_text_corpus(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """(path, text): every .txt below path, in name order if capped."""
+    """(path, text): every .txt below path, in name order if capped. A file of no bytes gives no row: Spark's readers skip it."""
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(path, wholetext=True)
     named = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     return named if max_files is None else named.orderBy("path").limit(max_files)
