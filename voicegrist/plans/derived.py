@@ -71,17 +71,14 @@ def add(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str) ->
     QUERIES[name], ORACLES[name] = query, sql
 
 
-CENTS = F.round(F.col("o_totalprice") * 100).cast("long")
 CENTS_SQL = "CAST(round(o_totalprice * 100) AS BIGINT)"
-KEY, SIZE = F.col("o_orderkey"), F.col("p_size")
-
 # normalisation rules
-add("n02_dashes_parts", over("part", "p_partkey", lambda: text_of("[", SIZE, "–", SIZE + 1, "] a – b −"), N.fold_dashes), "SELECT p_partkey, p_size || ' to ' || (p_size + 1) || ' a - b -' AS t FROM part")
-add("n03_greek_parts", over("part", "p_partkey", lambda: text_of("β", SIZE, " x-α Ω"), N.greek_letters), "SELECT p_partkey, ' beta ' || p_size || ' x-alpha   omega ' AS t FROM part")
-add("n04_superscripts_orders", over("orders", "o_orderkey", lambda: text_of("x", F.translate(KEY.cast("string"), "0123456789", "⁰¹²³⁴₅₆₇₈₉")), N.super_sub_digits), "SELECT o_orderkey, 'x' || regexp_replace(CAST(o_orderkey AS VARCHAR), '([0-9])', ' \\1 ', 'g') AS t FROM orders")
-add("n05_cards_parts", over("part", "p_partkey", lambda: text_of("a ", F.element_at(F.array(*map(F.lit, ("2", "9", "10", "J", "Q", "K", "A"))), F.col("p_partkey").cast("int") % 7 + 1), F.element_at(F.array(*map(F.lit, "♠♥♦♣")), SIZE % 4 + 1), "."), N.playing_cards), "SELECT p_partkey, 'a  ' || ['two', 'nine', 'ten', 'jack', 'queen', 'king', 'ace'][1 + p_partkey % 7] || ' of ' || ['spades', 'hearts', 'diamonds', 'clubs'][1 + p_size % 4] || ' .' AS t FROM part")
-add("n06_feet_inches_parts", over("part", "p_partkey", lambda: text_of(SIZE, "'", SIZE, '" in the 1920\'s'), N.feet_inches), "SELECT p_partkey, p_size || ' feet ' || p_size || ' inches  in the 1920''s' AS t FROM part")
-add("n07_hex_orders", over("orders", "o_orderkey", lambda: text_of("at 0x", F.lower(F.hex(KEY)), "!"), N.hex_literals), "SELECT o_orderkey, 'at  hex' || regexp_replace(to_hex(o_orderkey), '(.)', ' \\1', 'g') || ' !' AS t FROM orders")
+add("n02_dashes_parts", over("part", "p_partkey", lambda: text_of("[", F.col("p_size"), "–", F.col("p_size") + 1, "] a – b −"), N.fold_dashes), "SELECT p_partkey, p_size || ' to ' || (p_size + 1) || ' a - b -' AS t FROM part")
+add("n03_greek_parts", over("part", "p_partkey", lambda: text_of("β", F.col("p_size"), " x-α Ω"), N.greek_letters), "SELECT p_partkey, ' beta ' || p_size || ' x-alpha   omega ' AS t FROM part")
+add("n04_superscripts_orders", over("orders", "o_orderkey", lambda: text_of("x", F.translate(F.col("o_orderkey").cast("string"), "0123456789", "⁰¹²³⁴₅₆₇₈₉")), N.super_sub_digits), "SELECT o_orderkey, 'x' || regexp_replace(CAST(o_orderkey AS VARCHAR), '([0-9])', ' \\1 ', 'g') AS t FROM orders")
+add("n05_cards_parts", over("part", "p_partkey", lambda: text_of("a ", F.element_at(F.array(*map(F.lit, ("2", "9", "10", "J", "Q", "K", "A"))), F.col("p_partkey").cast("int") % 7 + 1), F.element_at(F.array(*map(F.lit, "♠♥♦♣")), F.col("p_size") % 4 + 1), "."), N.playing_cards), "SELECT p_partkey, 'a  ' || ['two', 'nine', 'ten', 'jack', 'queen', 'king', 'ace'][1 + p_partkey % 7] || ' of ' || ['spades', 'hearts', 'diamonds', 'clubs'][1 + p_size % 4] || ' .' AS t FROM part")
+add("n06_feet_inches_parts", over("part", "p_partkey", lambda: text_of(F.col("p_size"), "'", F.col("p_size"), '" in the 1920\'s'), N.feet_inches), "SELECT p_partkey, p_size || ' feet ' || p_size || ' inches  in the 1920''s' AS t FROM part")
+add("n07_hex_orders", over("orders", "o_orderkey", lambda: text_of("at 0x", F.lower(F.hex(F.col("o_orderkey"))), "!"), N.hex_literals), "SELECT o_orderkey, 'at  hex' || regexp_replace(to_hex(o_orderkey), '(.)', ' \\1', 'g') || ' !' AS t FROM orders")
 
 
 def roman(n: Column) -> Column:
@@ -91,25 +88,25 @@ def roman(n: Column) -> Column:
 
 add(
     "n08_roman_parts",
-    over("part", "p_partkey", lambda: text_of("Part ", roman(F.col("p_partkey") % 1000), " or ", F.lower(roman(SIZE + 1)), "."), N.roman_numerals),
+    over("part", "p_partkey", lambda: text_of("Part ", roman(F.col("p_partkey") % 1000), " or ", F.lower(roman(F.col("p_size") + 1)), "."), N.roman_numerals),
     f"WITH {NUMBERS} SELECT p_partkey, 'Part ' || CASE WHEN p_partkey % 1000 = 0 THEN '' WHEN p_partkey % 1000 IN (1, 5, 10, 50, 100, 500) THEN CASE p_partkey % 1000 WHEN 1 THEN 'I' WHEN 5 THEN 'V' WHEN 10 THEN 'X' WHEN 50 THEN 'L' WHEN 100 THEN 'C' ELSE 'D' END ELSE {cardinal('p_partkey % 1000')} END || ' or ' || CASE p_size + 1 WHEN 1 THEN 'i' WHEN 5 THEN 'v' WHEN 10 THEN 'x' WHEN 50 THEN 'l' ELSE {cardinal('p_size + 1')} END || '.' AS t FROM part, lists",
 )
 add("n09_accents_documents", lambda s, d: G.docs(s, d).select("doc_id", F.md5(N.fold_diacritics(F.regexp_replace("text", "[^ -~À-ÿŒœ]", ""))).alias("md5")), "SELECT doc_id, md5(strip_accents(replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '[^ -~À-ÿŒœ]', '', 'g'), 'ß', 's'), 'æ', 'a'), 'Æ', 'A'), 'ø', 'o'), 'Ø', 'O'), 'œ', 'o'), 'Œ', 'O'))) AS md5 FROM documents")
 _MARKS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in N.URL_MARKS.items())
 add("n10_urls_pages", lambda s, d: G.read(s, d, "pages").select("page_id", N.urls(text_of("see ", F.col("url"), ".")).alias("t")), f"SELECT page_id, 'see ' || array_to_string(list_filter(list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_matches(c, '[A-Za-z]') THEN upper(c) WHEN regexp_matches(c, '[0-9]') THEN {G._NUM}[1 + CAST(c AS INT)] ELSE CASE c {_MARKS} ELSE '' END END), lambda x: x <> ''), ' ') || '.' AS t FROM pages")
-add("n10a_addresses_orders", over("orders", "o_orderkey", lambda: text_of("ping 10.", KEY % 256, ".0.7:", KEY % 9000, " now"), N.ip_addresses), "SELECT o_orderkey, 'ping  10 dot ' || (o_orderkey % 256) || ' dot 0 dot 7 , port ' || (o_orderkey % 9000) || '  now' AS t FROM orders")
+add("n10a_addresses_orders", over("orders", "o_orderkey", lambda: text_of("ping 10.", F.col("o_orderkey") % 256, ".0.7:", F.col("o_orderkey") % 9000, " now"), N.ip_addresses), "SELECT o_orderkey, 'ping  10 dot ' || (o_orderkey % 256) || ' dot 0 dot 7 , port ' || (o_orderkey % 9000) || '  now' AS t FROM orders")
 add("n11_abbreviations_customers", over("customer", "c_custkey", lambda: text_of("Dr. ", F.col("c_name"), " vs. MRS. ", F.col("c_custkey"), ", i.e. terms. at 3 p.m."), N.abbreviations), "SELECT c_custkey, 'Doctor ' || c_name || ' versus Missus ' || c_custkey || ', that is terms. at 3 P M' AS t FROM customer")
 _DAY, _YEAR, _MON = "day(o_orderdate)", "year(o_orderdate)", "monthname(o_orderdate)"
 _SPOKEN_DATE = f"{_MON} || ' ' || {G._ORD}[{_DAY}] || ' ' || {year(_YEAR)}"
 add("n12_dates_orders", over("orders", "o_orderkey", lambda: text_of(F.date_format("o_orderdate", "yyyy-MM-dd"), "; ", F.date_format("o_orderdate", "M/d/yyyy"), "; ", F.date_format("o_orderdate", "M-d-yyyy"), "; ", F.date_format("o_orderdate", "MMMM d, yyyy"), "; ", F.date_format("o_orderdate", "MMMM d"), "th"), N.dates), f"WITH {NUMBERS} SELECT o_orderkey, {_SPOKEN_DATE} || '; ' || {_SPOKEN_DATE} || '; ' || {_SPOKEN_DATE} || '; ' || {_SPOKEN_DATE} || '; ' || {_MON} || ' ' || {G._ORD}[{_DAY}] AS t FROM orders, lists")
-add("n13_math_parts", over("part", "p_partkey", lambda: text_of(SIZE, "/2=", F.col("p_partkey"), " + x^", SIZE, " <= a*b - 5 - 3, 8 / ", SIZE, "; a/b/c **bold** ", SIZE, "%"), N.math_symbols), "SELECT p_partkey, p_size || ' divided by 2 equals ' || p_partkey || ' plus x to the power of ' || p_size || ' less than or equal to a times b - 5 minus 3, 8 divided by ' || p_size || '; a/b/c **bold** ' || p_size || ' percent' AS t FROM part")
-add("n14_money_orders", over("orders", "o_orderkey", lambda: text_of("$", F.format_number(CENTS / 100, 2), " or €", F.col("o_custkey"), ", ", KEY % 200, "¢"), N.money_time), f"WITH {NUMBERS}, x AS (SELECT o_orderkey, o_custkey, {CENTS_SQL} AS c FROM orders) SELECT o_orderkey, {counted('c // 100', 'dollar', 'dollars')} || CASE WHEN c % 100 > 0 THEN ' ' || {counted('c % 100', 'cent', 'cents')} ELSE '' END || ' or ' || {counted('o_custkey', 'euro', 'euros')} || ', ' || {counted('o_orderkey % 200', 'cent', 'cents')} AS t FROM x, lists")
+add("n13_math_parts", over("part", "p_partkey", lambda: text_of(F.col("p_size"), "/2=", F.col("p_partkey"), " + x^", F.col("p_size"), " <= a*b - 5 - 3, 8 / ", F.col("p_size"), "; a/b/c **bold** ", F.col("p_size"), "%"), N.math_symbols), "SELECT p_partkey, p_size || ' divided by 2 equals ' || p_partkey || ' plus x to the power of ' || p_size || ' less than or equal to a times b - 5 minus 3, 8 divided by ' || p_size || '; a/b/c **bold** ' || p_size || ' percent' AS t FROM part")
+add("n14_money_orders", over("orders", "o_orderkey", lambda: text_of("$", F.format_number(F.round(F.col("o_totalprice") * 100).cast("long") / 100, 2), " or €", F.col("o_custkey"), ", ", F.col("o_orderkey") % 200, "¢"), N.money_time), f"WITH {NUMBERS}, x AS (SELECT o_orderkey, o_custkey, {CENTS_SQL} AS c FROM orders) SELECT o_orderkey, {counted('c // 100', 'dollar', 'dollars')} || CASE WHEN c % 100 > 0 THEN ' ' || {counted('c % 100', 'cent', 'cents')} ELSE '' END || ' or ' || {counted('o_custkey', 'euro', 'euros')} || ', ' || {counted('o_orderkey % 200', 'cent', 'cents')} AS t FROM x, lists")
 add("n14_times_events", lambda s, d: G.read(s, d, "events").select("event_id", N.money_time(text_of("at ", F.date_format("ts", "H:mm"), ".")).alias("t")), f"WITH {NUMBERS} SELECT event_id, 'at ' || {cardinal('hour(ts)')} || CASE WHEN minute(ts) = 0 THEN '' WHEN minute(ts) < 10 THEN ' oh ' || {cardinal('minute(ts)')} ELSE ' ' || {cardinal('minute(ts)')} END || '.' AS t FROM events, lists")
-add("n15_units_parts", over("part", "p_partkey", lambda: text_of(SIZE, " kg, ", F.col("p_partkey") % 3, "ft, ", SIZE, ".5 km/h, 1990s"), N.units), f"WITH {NUMBERS} SELECT p_partkey, {counted('p_size', 'kilogram', 'kilograms')} || ', ' || {counted('p_partkey % 3', 'foot', 'feet')} || ', ' || {cardinal('p_size')} || ' point five kilometers per hour, 1990s' AS t FROM part, lists")
-add("n16_gap_parts", over("part", "p_partkey", lambda: text_of("v", SIZE, "b 21st A:", SIZE), N.digit_letter_gap), "SELECT p_partkey, 'v ' || p_size || ' b 21st A: ' || p_size AS t FROM part")
+add("n15_units_parts", over("part", "p_partkey", lambda: text_of(F.col("p_size"), " kg, ", F.col("p_partkey") % 3, "ft, ", F.col("p_size"), ".5 km/h, 1990s"), N.units), f"WITH {NUMBERS} SELECT p_partkey, {counted('p_size', 'kilogram', 'kilograms')} || ', ' || {counted('p_partkey % 3', 'foot', 'feet')} || ', ' || {cardinal('p_size')} || ' point five kilometers per hour, 1990s' AS t FROM part, lists")
+add("n16_gap_parts", over("part", "p_partkey", lambda: text_of("v", F.col("p_size"), "b 21st A:", F.col("p_size")), N.digit_letter_gap), "SELECT p_partkey, 'v ' || p_size || ' b 21st A: ' || p_size AS t FROM part")
 add("n17_emphasis_parts", over("part", "p_partkey", lambda: text_of("COME TO ", F.upper("p_type"), " ON TOP, US IT ", F.col("p_type")), N.emphasis_words), "SELECT p_partkey, 'COME to ' || upper(p_type) || ' on TOP, US it ' || p_type AS t FROM part")
 add("n18_acronyms_parts", over("part", "p_partkey", lambda: text_of("NASA's ", F.upper("p_type"), " is NATO or FBI's x", F.col("p_type")), N.acronyms), "SELECT p_partkey, 'NASA''s ' || array_to_string(string_split(upper(p_type), ''), ' ') || ' is NATO or FBI''s x' || p_type AS t FROM part")
-add("n19_numbers_orders", over("orders", "o_orderkey", lambda: text_of(KEY, ", -", KEY, ", ", F.format_number(F.floor("o_totalprice"), 0), ", ", KEY, "th, ", KEY, ".05, ", F.year("o_orderdate"), "'s"), N.numbers), f"WITH {NUMBERS}, x AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS p, year(o_orderdate) AS y FROM orders) SELECT k AS o_orderkey, {number('k')} || ', minus ' || {cardinal('k')} || ', ' || CASE WHEN p < 1000 THEN {cardinal('p')} ELSE {cardinal('p')} END || ', ' || {ordinal(cardinal('k'))} || ', ' || {cardinal('k')} || ' point zero five, ' || regexp_replace({year('y')} || 's', 'ys$', 'ies') AS t FROM x, lists")
+add("n19_numbers_orders", over("orders", "o_orderkey", lambda: text_of(F.col("o_orderkey"), ", -", F.col("o_orderkey"), ", ", F.format_number(F.floor("o_totalprice"), 0), ", ", F.col("o_orderkey"), "th, ", F.col("o_orderkey"), ".05, ", F.year("o_orderdate"), "'s"), N.numbers), f"WITH {NUMBERS}, x AS (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS BIGINT) AS p, year(o_orderdate) AS y FROM orders) SELECT k AS o_orderkey, {number('k')} || ', minus ' || {cardinal('k')} || ', ' || CASE WHEN p < 1000 THEN {cardinal('p')} ELSE {cardinal('p')} END || ', ' || {ordinal(cardinal('k'))} || ', ' || {cardinal('k')} || ' point zero five, ' || regexp_replace({year('y')} || 's', 'ys$', 'ies') AS t FROM x, lists")
 add("n22_verbalize_money", lambda s, d: N.verbalize_columns(G.read(s, d, "customer").select("c_custkey", F.floor("c_acctbal").cast("long").alias("whole")), ["whole"]), f"WITH {NUMBERS}, x AS (SELECT c_custkey, CAST(floor(c_acctbal) AS BIGINT) AS whole FROM customer) SELECT c_custkey, whole, CASE WHEN whole < 0 THEN 'minus ' ELSE '' END || {cardinal('abs(whole)')} AS whole_words FROM x, lists")
 ORACLES["n20_normalize_orders"] = f"WITH {NUMBERS}, x AS (SELECT o_orderkey, o_orderdate, CAST(floor(o_totalprice) AS BIGINT) AS p FROM orders) SELECT o_orderkey, 'Order ' || {number('o_orderkey')} || ' of ' || {_SPOKEN_DATE} || ' cost ' || {counted('p', 'dollar', 'dollars')} AS text FROM x, lists"
 
