@@ -39,6 +39,7 @@ SHINGLE, SHARE = 5, 75
 M, C, E = 16, 5, 1
 GROUP, SLICE = 256, 16384
 LEAST_PARTS, PART_LINKS = 12, 50_000
+HOT_KEYS, HOT_LEAST = 100_000, 1000
 L = M * C
 _SEEDS = mixed(np.arange(1, L + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _DELETED = np.array([[j for j in range(C) if j != d] for d in range(C)])
@@ -221,7 +222,7 @@ def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(every.join(merged, every["root"] == merged["old"], "left").select("node", F.coalesce("new", "root").alias("root")))
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of each node in links (a, b): root is the least node of its component.
 
     Alternating large-star and small-star; both keep the components and shorten the paths. Each
@@ -233,7 +234,7 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         return df, tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     edges, last = settled(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(rounds):
+    while True:
         parts = max(LEAST_PARTS, last[0] // PART_LINKS)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(parts)
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -244,15 +245,25 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def hot_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of facts, left-joined; facts has one row a key, no key is null, and a few keys may hold most rows.
+
+    Fewer than HOT_KEYS keys can hold more than a HOT_KEYS-th of all rows each, so their facts are broadcast. All
+    other groups are small, and meet their facts by a shuffle. rows is read three times and should be a stored table."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
+    most = max(HOT_LEAST, rows.count() // HOT_KEYS)
+    hot = cut(sizes.where(F.col("n") > most).select(key).join(facts, key, "left"))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts, key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept, component_key) for every row of docs(doc_id, text)."""
     rows = stored(map_arrow(docs.select("doc_id", "text", row_key().alias("text_key")), _sign, "doc_id long, text_key long, n_shingles long, cid long, check long, sig binary"), "near-rows")
-    members = rows.select("doc_id", "text_key", "cid").where("cid is not null")
+    members = rows.drop("check", "sig").where("cid is not null")
     classes = rows.where("cid is not null").groupBy("cid", "check").agg(F.first("sig").alias("sig"))
     keys = map_arrow(classes.select("cid", "sig"), _keys, "key long, cid long")
     # keys of at least two classes, with the hub: partial aggregation makes each task's hot keys one row
@@ -264,10 +275,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = sets_of(pairs, docs, members)
     roots = cut(components(confirmed(pairs, sets)))
     roots = joined_roots(roots, links_across(components(pairs), roots, sets))
-    named = members.join(roots, members["cid"] == roots["node"], "left").select("doc_id", F.coalesce("root", "cid").alias("component_key"))
-    names = named.groupBy("component_key").agg(F.min("doc_id").alias("component_id"))
-    with_root = rows.join(roots, rows["cid"] == roots["node"], "left").select("doc_id", "text_key", "n_shingles", F.coalesce("root", "cid").alias("component_key"))
-    out = with_root.join(names, "component_key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    # names go class by class: copies are one row here, and a large component meets its name by hot_join
+    classes = members.groupBy("cid").agg(F.min("doc_id").alias("name"))
+    linked = stored(classes.join(roots, classes["cid"] == roots["node"]).select("cid", "root", "name"), "near-linked")
+    named = hot_join(linked.select("cid", "root"), linked.groupBy("root").agg(F.min("name").alias("component_id")), "root")
+    facts = stored(classes.join(named, "cid", "left").select("cid", F.coalesce("root", "cid").alias("component_key"), F.coalesce("component_id", "name").alias("component_id")), "near-names")
+    no_text = rows.where("cid is null").select("doc_id", "text_key", "n_shingles", F.col("cid").alias("component_key"), F.col("doc_id").alias("component_id"))
+    out = hot_join(members, facts, "cid").drop("cid").unionByName(no_text)
     return out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component_key")
 
 
