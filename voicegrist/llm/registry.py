@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import importlib
-
 import corpus_pipeline
 
-_MODULES = ("mixing", "toxicity", "decontamination", "pii", "token_counts", "near_dedup", "substring_dedup", "nearest", "secrets", "language_id")
-
+from . import centroids, decontamination, language_id, mixing, near_dedup, nearest, periodic_runs, perplexity, pii, secrets, substring_dedup, token_counts, toxicity
 
-def _all(what: str) -> dict:
-    out: dict = {}
-    for name in _MODULES:
-        out |= getattr(importlib.import_module(f"voicegrist.llm.{name}"), what)
-    return out
+# imported here, so that all are left out together where a library that one of them needs is missing
+_MODULES = (mixing, toxicity, decontamination, pii, token_counts, near_dedup, substring_dedup, nearest, secrets, language_id, centroids, perplexity, periodic_runs)
 
 
 def queries() -> dict:
-    return _all("QUERIES") | {"pipeline": corpus_pipeline.run}
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
-    return _all("ORACLES") | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
