@@ -174,8 +174,8 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     contexts = by_d.groupBy("lang", "size", "context").agg(F.sum("a").alias("total"), F.aggregate(F.map_entries(parts), F.lit(0.0), lambda s, x: s + x["key"] * x["value"]).alias("taken"))
     contexts = stored(contexts.withColumn("weight", F.col("taken") / F.col("total")), "contexts")
     letters = known.where("size = 1").groupBy("lang").agg((F.count("*") + 1).alias("letters"))
-    below = contexts.where("size = 1").join(letters, "lang").select("lang", (F.col("weight") / F.col("letters")).alias("p"))
-    unseen = below.select("lang", F.lit(UNSEEN).alias("kind"), F.lit(0).cast("long").alias("key"), F.log("p").alias("value"))
+    below = letters.select("lang", (1 / F.col("letters")).alias("p"))
+    unseen = contexts.where("size = 1").join(below, "lang").select("lang", F.lit(UNSEEN).alias("kind"), F.lit(0).cast("long").alias("key"), F.log(F.col("weight") * F.col("p")).alias("value"))
     out = contexts.select("lang", F.lit(BACKOFF).alias("kind"), F.col("context").alias("key"), F.log("weight").alias("value")).unionByName(unseen)
     for k in range(1, ORDER + 1):
         own = known.where(F.col("size") == k).join(contexts.where(F.col("size") == k).select("lang", "context", "total", "weight"), ["lang", "context"])
