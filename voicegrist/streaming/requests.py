@@ -44,6 +44,22 @@ def queue_status(events: DataFrame) -> DataFrame:
     return per.groupBy("session").agg(F.count_if(F.expr("s = 0 and d = 0")).alias("queued"), F.max(F.expr("s = 1 and d = 0")).alias("speaking"), F.max(F.when(F.expr("s = 1 and d = 0"), F.col("request_id"))).alias("current"))
 
 
+def queue_as_of(events: DataFrame) -> DataFrame:
+    """(session, request_id, kind, ts, queued, speaking, current) after each event (session, request_id, ts, kind in request / start / done / flush).
+
+    A flush empties the queue: what is queued was requested, and not started, since the last one. What is spoken goes on.
+    Events of one time are taken in the order request, done, start, flush, then by id."""
+    rank = F.array_position(F.array(*map(F.lit, ("request", "done", "start", "flush"))), F.col("kind"))
+    line = Window.partitionBy("session").orderBy("ts", "rank", "request_id").rowsBetween(Window.unboundedPreceding, 0)
+    n = lambda kind: F.sum((F.col("kind") == kind).cast("long"))
+    rows = events.withColumn("rank", rank)
+    rows = rows.withColumn("generation", n("flush").over(line)).withColumn("open", n("start").over(line) - n("done").over(line))
+    rows = rows.withColumn("started", F.last(F.when(F.col("kind") == "start", F.col("request_id")), ignorenulls=True).over(line))
+    since = Window.partitionBy("session", "generation").orderBy("ts", "rank", "request_id").rowsBetween(Window.unboundedPreceding, 0)
+    queued = n("request").over(since) - n("start").over(since)
+    return rows.select("session", "request_id", "kind", "ts", queued.alias("queued"), (F.col("open") > 0).alias("speaking"), F.when(F.col("open") > 0, F.col("started")).alias("current"))
+
+
 def process_receipts(done: DataFrame, every: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """(source, window_start, n, audio_s, mean_latency) of finished requests (source, ts, seconds, latency); batch or stream."""
     marked = done.withWatermark("ts", late) if done.isStreaming else done
