@@ -288,9 +288,11 @@ def normalize_corpus(sentences: DataFrame, column: str = "text", rewrites: list[
     return out
 
 
-def normalize_with_lexicon(rows: DataFrame, keys: list[str], column: str, gold: DataFrame, phones: DataFrame) -> DataFrame:
+def normalize_with_lexicon(rows: DataFrame, keys: list[str], column: str, gold: DataFrame, phones: DataFrame, rewrites: list[tuple[str, str]] = ()) -> DataFrame:
     """N20 with the words of two lexicons as its dictionary. keys name a row. Words that N8, N10 or N18 may ask for are joined
     with the lexicons and come back as an array in the row; all-caps words are real from 3 letters in gold, 6 in the other."""
+    if rewrites:
+        rows = rows.withColumn(column, apply_rewrites(F.col(column), list(rewrites)))
     text = F.concat_ws(" ", F.col(column), fold_diacritics(F.col(column)))
     asked = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.col(column).rlike(r"/|www\.|\.[A-Za-z]") | w.rlike("^(?:[A-Z]+|[ivxlcdm]+)$"))
     words = rows.select(*keys, F.explode(F.array_distinct(F.transform(asked, F.lower))).alias("w"))

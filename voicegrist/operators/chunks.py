@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 CAP = 510
 
 
@@ -33,6 +37,41 @@ def enforce_cap(utterances: DataFrame, cap: int = CAP) -> DataFrame:
     return utterances.select("doc_id", "sent_idx", F.posexplode(parts).alias("piece_idx", "phonemes"))
 
 
+def cap_text(sentences: DataFrame, speak: Callable[[DataFrame], DataFrame], cap: int = CAP) -> tuple[DataFrame, DataFrame]:
+    """C1 over text: (pieces, dropped). Pieces are (doc_id, sent_idx, piece_idx, text, phonemes) of sentences (doc_id, sent_idx, text); ``speak`` turns
+    rows (doc_id, sent_idx, text) into (doc_id, sent_idx, phonemes), whatever the type of doc_id.
+
+    Only what is over the cap goes on: a sentence is cut at its commas, then each part into halves by words, and every part is
+    spoken anew, for its words may sound otherwise beside others. A round halves the words of a piece, so the longest takes
+    log2 of its words; the frame of a round shrinks and is written before the next. Single words over the cap are dropped."""
+    longer = F.char_length("phonemes") > cap
+    at = F.struct("doc_id", "sent_idx", "path")
+    rows = sentences.select("doc_id", "sent_idx", F.array(F.lit(0)).alias("path"), "text")
+    done, lost = None, None
+    for i in itertools.count():
+        said = speak(rows.select(at.alias("doc_id"), F.lit(0).alias("sent_idx"), "text")).select(F.col("doc_id").alias("at"), "phonemes")
+        said = stored(rows.withColumn("at", at).join(said, "at").where("phonemes <> ''").drop("at"), "spoken")
+        fits = said.where(~longer).select("doc_id", "sent_idx", "path", "text", "phonemes")
+        words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+        over = said.where(longer).withColumn("words", words)
+        single = over.where(F.size("words") <= 1).select("doc_id", "sent_idx", "text", "phonemes")
+        done, lost = (fits, single) if done is None else (done.unionByName(fits), lost.unionByName(single))
+        mid = F.floor(F.size("words") / 2).cast("int")
+        cut = F.array(F.array_join(F.slice("words", F.lit(1), mid), " "), F.array_join(F.slice("words", mid + 1, F.size("words")), " "))
+        if i == 0:
+            commas = F.filter(F.transform(F.split("text", ","), lambda p: F.trim(p)), lambda p: p != "")
+            cut = F.when(F.size(commas) > 1, commas).otherwise(cut)
+            over = over.where((F.size("words") > 1) | (F.size(commas) > 1))
+            lost = single.join(over.select("doc_id", "sent_idx"), ["doc_id", "sent_idx"], "left_anti")
+        else:
+            over = over.where(F.size("words") > 1)
+        rows = stored(over.select("doc_id", "sent_idx", "path", F.posexplode(cut).alias("i", "text")).select("doc_id", "sent_idx", F.concat("path", F.array("i")).alias("path"), "text"), "over-cap")
+        if rows.isEmpty():
+            break
+    order = Window.partitionBy("doc_id", "sent_idx").orderBy("path")
+    return done.select("doc_id", "sent_idx", (F.row_number().over(order) - 1).alias("piece_idx"), "text", "phonemes"), lost
+
+
 def chunk_stats(utterances: DataFrame, cap: int = CAP) -> DataFrame:
     n = F.char_length("phonemes")
     return utterances.agg(F.count("*").alias("chunks"), F.sum(n).alias("symbols"), F.count_if(n > cap).alias("over_cap"), F.count_if(n == 0).alias("empty"), F.max(n).alias("longest"))

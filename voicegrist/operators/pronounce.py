@@ -1,15 +1,20 @@
 """Pronunciation. Lexicons are tables: gold (word, ipa) and phones (word, phones); lookups are equi joins on distinct word types.
 
-A type's possible keys (itself, its base without an ending, its spelling without a hyphen, ...) are candidates with a
-priority. All tiers meet the lexicons in one join, and the first that is found wins."""
+Tiers are functions from words to answers, each asked for what the ones before it left. A word's possible keys (itself, its
+base without an ending, its spelling without a hyphen, ...) are candidates with a priority: all tiers that need the lexicons
+meet them in one join, and the first that is found wins. Words said by their parts are put together from the answers to
+the parts, which are resolved as words of their own in further rounds."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.normalize import normalize_with_lexicon
+from ..functions.normalize import SAY_AS_WORD, normalize_with_lexicon
 from ..functions.text import bind, literal_map
+from ..sources.shared import stored
 from .tokens import TOKEN
 
 # Phone symbols (a vowel takes a stress mark), letter names, affixes, initialisms.
@@ -20,7 +25,7 @@ PREFIXES = "anti astro auto bi bio co cyber de dis eco electro en ex extra geo h
 TAILS = "name group work set house board list mark point line case type side way time back down out off field space".split()
 INFLECTIONS = {"ings": "ɪŋz", "ing": "ɪŋ", "ness": "nəs", "ers": "əɹz", "er": "əɹ", "ly": "li", "ies": "iz"}
 INITIALISMS = "ieee html css sql vhdl json xml yaml http https ftp ssh url ui ux api ci cd sdk ide ocr asr tts gui cpu gpu ram rom ssd hdd usb ai ml nlp ar vr iot".split()
-SAY_AS_WORD = {"JSON": "ˈdʒeɪsən", "FAQ": "fæk"}
+SPELLINGS = {"JSON": "ˈdʒeɪsən", "FAQ": "fæk"}
 
 # Letter-to-sound. A star marks a vowel.
 LTS_PREFIX = {"under": "*ʌ n d ɹ", "inter": "*ɪ n t ɹ", "over": "*oʊ v *ɚ", "trans": "t ɹ *æ n s", "pre": "p ɹ *i", "re": "ɹ *i", "dis": "d *ɪ s", "mis": "m *ɪ s", "non": "n *ɑ n", "un": "*ʌ n"}
@@ -107,8 +112,9 @@ def lexicon(gold: DataFrame, phones: DataFrame) -> DataFrame:
 AFFIXED = 100
 
 
-def _candidate(on: Column, prio: Column, tier: str, key: Column, gold_only: bool, affix: Column, before: bool, add: str) -> Column:
-    return F.when(on, F.struct(prio.alias("prio"), F.lit(tier).alias("tier"), key.alias("key"), F.lit(gold_only).alias("gold_only"), affix.alias("affix"), F.lit(before).alias("before"), F.lit(add).alias("add")))
+def _candidate(on: Column, prio: Column, tier: str, key: Column, gold_only: bool, affix: Column, before: bool, add: str | Column) -> Column:
+    add = F.lit(add) if isinstance(add, str) else add
+    return F.when(on, F.struct(prio.alias("prio"), F.lit(tier).alias("tier"), key.alias("key"), F.lit(gold_only).alias("gold_only"), affix.alias("affix"), F.lit(before).alias("before"), add.alias("add")))
 
 
 def _affixed(low: Column, on: Column, order: dict[str, int], before: bool) -> Column:
@@ -118,43 +124,58 @@ def _affixed(low: Column, on: Column, order: dict[str, int], before: bool) -> Co
 
     def one(k: Column) -> Column:
         affix = F.substring(low, F.lit(1), k) if before else F.substring(low, F.length(low) - k + 1, k)
-        key = F.substring(low, k + 1, F.lit(1 << 16)) if before else F.substring(low, F.lit(1), F.length(low) - k)
+        key = F.substring(low, k + 1, F.length(low)) if before else F.substring(low, F.lit(1), F.length(low) - k)
         return _candidate(on & (F.length(low) > k + 2) & F.element_at(table, affix).isNotNull(), F.element_at(table, affix) + AFFIXED, "compound", key, False, affix, before, "")
 
     return F.transform(F.array(*[F.lit(k) for k in lengths]), one)
 
 
+#: The possessive of any word; of an all-caps one, which keeps its own rule; an all-caps word with or without that end.
+POSSESSIVE, CAPS = "[^']'[sS]$", "^[A-Z]{2,}(?:'[sS])?$"
+
+
 def candidates(word: Column) -> Column:
-    """Array of struct(prio, tier, key, gold_only, affix, before, add): keys under which a word may be found, in order."""
+    """Array of struct(prio, tier, key, gold_only, affix, before, add): keys under which a word may be found, in order. Possessives and
+    hyphenated words that the lexicons lack are left to their parts, before any of the later tiers."""
     low = F.lower(word)
-    caps = word.rlike("^[A-Z]{2,}$")
+    caps, owner = word.rlike(CAPS), word.rlike(POSSESSIVE)
     n = iter(range(AFFIXED))
 
-    def c(tier: str, on: Column, key: Column, gold_only: bool = False, add: str = "", prio: int | None = None) -> Column:
+    def c(tier: str, on: Column, key: Column, gold_only: bool = False, add: str | Column = "", prio: int | None = None) -> Column:
         return _candidate(on, F.lit(next(n) if prio is None else prio), tier, key, gold_only, F.lit(""), False, add)
 
     cut = lambda k: F.substring(low, 1, F.length(low) - k)
     small = ~caps
-    out = [c("acronym_word", word.isin("NASA", "NATO", "RADAR", "ASCII", "ASAP", "PIN"), word), c("emphasis", caps & (F.length(word) >= 3), low, gold_only=True), c("emphasis", caps & (F.length(word) >= 6), low)]
+    whole = small & ~owner & ~word.contains("-")
+    base = F.regexp_replace(word, "'[sS]$", "")
+    said, size = base.isin(*[w for w in SAY_AS_WORD if w not in SPELLINGS]), F.length(base)
+    z, allo = F.when(owner, "z").otherwise(""), F.when(owner, "allo").otherwise("")
+    out = [c("acronym_word", caps & said, base, add=z), c("acronym_word", caps & said, F.lower(base), add=z)]
+    emphasis = caps & ~base.isin(*SAY_AS_WORD)
+    out += [c("emphasis", emphasis & (size >= 3), F.lower(base), True, allo), c("emphasis", emphasis & (size >= 6), F.lower(base), add=allo)]
     out += [c("gold", small, word, gold_only=True), c("gold", small, low, gold_only=True)]
     out += [c("plural", small & low.rlike(".ies$"), F.concat(cut(3), F.lit("y")), True, add="allo"), c("plural", small & low.rlike(".s$"), cut(1), True, add="allo"), c("plural", small & low.rlike(".es$"), cut(2), True, add="allo")]
-    out += [c("phones", small, low), c("possessive", small & low.rlike("[^']'s$"), cut(2), add="allo"), c("hyphenated", small & word.contains("-"), F.replace(low, F.lit("-"), F.lit("")))]
+    out += [c("phones", small, low), c("hyphenated", small & ~owner & word.contains("-"), F.replace(low, F.lit("-"), F.lit("")))]
     ae, oe = F.replace(low, F.lit("ae"), F.lit("e")), F.replace(low, F.lit("oe"), F.lit("e"))
-    out += [c("british", small & low.contains("ae"), ae), c("british", small & low.contains("oe"), oe), c("british", small & low.contains("ae") & low.contains("oe"), F.replace(ae, F.lit("oe"), F.lit("e")))]
-    out += [c("inflection", small & low.endswith(s) & (F.length(low) >= len(s) + 3), cut(len(s)), add=ipa, prio=AFFIXED + 1000 + i) for i, (s, ipa) in enumerate(INFLECTIONS.items())]
-    compounds = [_affixed(low, small, {p: i for i, p in enumerate(PREFIXES)}, True), _affixed(low, small, {t: len(PREFIXES) + i for i, t in enumerate(TAILS)}, False)]
+    out += [c("british", whole & low.contains("ae"), ae), c("british", whole & low.contains("oe"), oe), c("british", whole & low.contains("ae") & low.contains("oe"), F.replace(ae, F.lit("oe"), F.lit("e")))]
+    out += [c("inflection", whole & low.endswith(s) & (F.length(low) >= len(s) + 3), cut(len(s)), add=ipa, prio=AFFIXED + 1000 + i) for i, (s, ipa) in enumerate(INFLECTIONS.items())]
+    compounds = [_affixed(low, whole, {p: i for i, p in enumerate(PREFIXES)}, True), _affixed(low, whole, {t: len(PREFIXES) + i for i, t in enumerate(TAILS)}, False)]
     return F.array_compact(F.concat(F.array(*out), *compounds))
 
 
-def _found(types: DataFrame, lex: DataFrame) -> DataFrame:
-    """(word, ipa, tier) of the types that some tier answers: one join of all candidates, then one of the affixes."""
+def _said_affixes(lex: DataFrame) -> DataFrame:
+    """(affix, said) of the fixed affixes, at most 77: as the lexicon has them, else by rule."""
+    every = lex.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(PREFIXES + TAILS)], "affix string")
+    return stored(every.join(lex.select(F.col("key").alias("affix"), "ipa"), "affix", "left").select("affix", F.coalesce("ipa", letter_to_sound(F.col("affix"))).alias("said")), "affixes")
+
+
+def _found(types: DataFrame, lex: DataFrame, affixes: DataFrame) -> DataFrame:
+    """(word, ipa, tier) of the types that some candidate answers: one join of all candidates, then one of the affixes."""
     c = types.select("word", F.explode(candidates(F.col("word"))).alias("c")).select("word", "c.*")
     hit = c.join(lex, "key").where(F.col("is_gold") | ~F.col("gold_only"))
     best = hit.groupBy("word").agg(F.min_by(F.struct("ipa", "tier", "affix", "before", "add"), "prio").alias("b")).select("word", "b.*")
-    affixes = lex.where(F.col("key").isin(PREFIXES + TAILS)).select(F.col("key").alias("affix"), F.col("ipa").alias("affix_ipa"))  # at most 77 rows
-    said = F.coalesce("affix_ipa", letter_to_sound(F.col("affix")))
     body = best.join(F.broadcast(affixes), "affix", "left")
-    ipa = F.when(F.col("affix") == "", F.col("ipa")).when(F.col("before"), F.concat(said, F.col("ipa"))).otherwise(F.concat(F.col("ipa"), said))
+    ipa = F.when(F.col("affix") == "", F.col("ipa")).when(F.col("before"), F.concat("said", "ipa")).otherwise(F.concat("ipa", "said"))
     return body.select("word", F.concat(ipa, F.when(F.col("add") == "allo", allomorph(F.col("ipa"))).otherwise(F.col("add"))).alias("ipa"), "tier")
 
 
@@ -164,48 +185,110 @@ def _fallback(word: Column) -> tuple[Column, Column]:
     base = F.regexp_replace(word, "'[sS]$", "")
     acronym = base.rlike("^[A-Z]{2,}$")
     spelled = low.rlike("^[a-z]{2,5}$") & (low.isin(INITIALISMS) | ~low.rlike("[aeiouy]"))
-    fixed = F.element_at(literal_map(SAY_AS_WORD), F.upper(base))
+    fixed = F.element_at(literal_map(SPELLINGS), base)
     z = F.when(word != base, "z").otherwise("")
     ipa = F.when(acronym, F.concat(F.coalesce(fixed, letter_names(base)), z)).when(spelled, letter_names(word)).otherwise(F.concat(letter_to_sound(base), z))
     return ipa, F.when(acronym, "acronym").when(spelled, "letters").otherwise("lts")
 
 
-#: Tiers that come before the possessive one.
-BEFORE_POSSESSIVE = "override acronym_word emphasis gold plural phones".split()
-
-
-def resolve_words(types: DataFrame, gold: DataFrame, phones: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """(word, ipa, tier) for every distinct word. Words of parts (hyphens, camelCase) are resolved by their parts, possessives
-    by their bases, which go through all tiers too; an acronym's possessive stays with the acronym. Word types are few beside
-    the tokens and are met several times, so they and their answers are kept."""
-    types = types.select("word").distinct().persist()
-    base = F.regexp_replace("word", "'[sS]$", "")
-    owners = types.where(F.col("word").rlike("[^']'[sS]$") & ~base.rlike("^[A-Z]{2,}$")).select("word", base.alias("base"))
-    every = types.union(owners.select("base")).distinct()
-    answers = _resolved(every, lexicon(gold, phones), overrides).persist()
-    bases = answers.where("ipa <> ''").select(F.col("word").alias("base"), F.col("ipa").alias("base_ipa"))
-    mine = answers.join(types, "word", "left_semi").join(owners.join(bases, "base").select("word", "base_ipa"), "word", "left")
-    owned = F.col("base_ipa").isNotNull() & ~F.col("tier").isin(BEFORE_POSSESSIVE)
-    return mine.select("word", F.when(owned, F.concat("base_ipa", allomorph(F.col("base_ipa")))).otherwise(F.col("ipa")).alias("ipa"), F.when(owned, "possessive").otherwise(F.col("tier")).alias("tier"))
-
-
-def _resolved(types: DataFrame, lex: DataFrame, overrides: DataFrame | None) -> DataFrame:
-    """Answers for distinct words: found whole, else by their parts, each found or read by rule."""
-    parts = F.filter(F.split(F.regexp_replace("word", "([a-z])([A-Z])", "$1 $2"), "[ -]"), lambda p: p != "")
-    split = types.select("word", F.posexplode(parts).alias("i", "part"), F.size(parts).alias("n"), F.col("word").contains("-").alias("hyphen"))
-    known = _found(split.select(F.col("part").alias("word")).union(types).distinct(), lex).persist()
-    found = known.join(types, "word", "left_semi")
-    if overrides is not None:
-        user = types.join(overrides.select(F.lower("word").alias("k"), F.col("ipa").alias("o")), F.lower("word") == F.col("k")).select("word", F.col("o").alias("ipa"), F.lit("override").alias("tier"))
-        found = user.unionByName(found.join(user, "word", "left_anti"))
-    rest = split.join(found, "word", "left_anti").join(known.select(F.col("word").alias("part"), "ipa", "tier"), "part", "left")
-    ipa, tier = _fallback(F.col("part"))
-    said = rest.withColumn("ipa", F.coalesce("ipa", ipa)).withColumn("tier", F.coalesce("tier", tier))
-    glued = said.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("i", "ipa"))).alias("ps"), F.max("n").alias("n"), F.first("hyphen").alias("hyphen"), F.max("tier").alias("t"))
-    ipas = F.transform("ps", lambda p: p["ipa"])
-    joined = F.when(F.col("hyphen"), F.array_join(ipas, "")).otherwise(F.array_join(ipas, " "))
-    whole = glued.select("word", joined.alias("ipa"), F.when(F.col("n") == 1, F.col("t")).when(F.col("hyphen"), "hyphenated").otherwise("camel").alias("tier"))
-    return found.unionByName(whole)
+#: A tier: from words (word) the ones it knows (word, ipa), with a column tier where it has several kinds of answers.
+Tier = Callable[[DataFrame], DataFrame]
+
+#: Rounds in which parts of words become words of their own.
+ROUNDS = 3
+
+
+def override_tier(overrides: DataFrame) -> Tier:
+    """The user's own (word, ipa), whatever the case."""
+    own = overrides.select(F.lower("word").alias("k"), "ipa").dropDuplicates(["k"])
+    return lambda types: types.join(own, F.lower("word") == F.col("k")).select("word", "ipa")
+
+
+def lexicon_tier(gold: DataFrame, phones: DataFrame) -> Tier:
+    """All that two lexicons answer, whole, as plural, with other spelling, affix or ending, in one join."""
+    lex = stored(lexicon(gold, phones), "lexicon")
+    affixes = _said_affixes(lex)
+    return lambda types: _found(types, lex, affixes)
+
+
+def _parts(word: Column) -> Column:
+    """Struct(kind, parts) of a word that is said by its parts; null for others: P9 possessives, P10 hyphens, P14 camelCase."""
+    base = F.regexp_replace(word, "'[sS]$", "")
+    hyphens = F.filter(F.split(word, "-"), lambda p: p != "")
+    camel = F.split(F.regexp_replace(word, "([a-z])([A-Z])", "$1 $2"), " ")
+    as_struct = lambda kind, parts: F.struct(F.lit(kind).alias("kind"), parts.alias("parts"))
+    by = F.when(word.rlike(POSSESSIVE), as_struct("possessive", F.array(base))).when(word.contains("-") & (F.size(hyphens) > 1), as_struct("hyphenated", hyphens)).when(F.size(camel) > 1, as_struct("camel", camel))
+    return F.when(~word.rlike(CAPS), by)
+
+
+def rule_tier(types: DataFrame) -> DataFrame:
+    """Letter names or letter-to-sound."""
+    ipa, tier = _fallback(F.col("word"))
+    return types.select("word", ipa.alias("ipa"), tier.alias("tier"))
+
+
+def default_tiers(gold: DataFrame, phones: DataFrame, overrides: DataFrame | None = None) -> list[tuple[str, Tier]]:
+    """Names and tiers in order of priority. Put tiers of your own among them: each is asked for what all before it left, the
+    last one only once, after all rounds."""
+    own = [("override", override_tier(overrides))] if overrides is not None else []
+    return [*own, ("lexicon", lexicon_tier(gold, phones)), ("rule", rule_tier)]
+
+
+def answered(types: DataFrame, tiers: list[tuple[str, Tier]]) -> DataFrame:
+    """(word, ipa, tier): each tier's answers to the words that no earlier one knows."""
+    out = None
+    for name, tier in tiers:
+        got = tier(types if out is None else types.join(out, "word", "left_anti"))
+        got = got.select("word", "ipa", F.coalesce("tier", F.lit(name)).alias("tier") if "tier" in got.columns else F.lit(name).alias("tier"))
+        out = stored(got if out is None else out.unionByName(got), "answers")
+    return out
+
+
+def resolve_by_rounds(types: DataFrame, tiers: list[tuple[str, Tier]], rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """(answers, leftovers): (word, ipa, tier) of all words, and the words whose parts would take more rounds.
+
+    Words that no tier but the last answers are taken apart; the parts that are new go through the tiers in the next round, as words
+    of their own. Then the last tier reads the words without parts, and leftovers as one word. Answers are put together from their
+    parts, innermost first."""
+    *first, (closing, close) = tiers
+    frontier = seen = stored(types.select("word").where("word is not null").distinct(), "types")
+    known, apart = None, None
+    for i in range(rounds + 1):
+        got = answered(frontier, first) if first else frontier.limit(0).selectExpr("word", "'' AS ipa", "'' AS tier")
+        known = got if known is None else known.unionByName(got)
+        cut = frontier.join(got, "word", "left_anti").withColumn("p", _parts(F.col("word"))).select("word", "p.kind", F.posexplode("p.parts").alias("i", "part"))
+        if i == rounds:  # their parts that nobody knows would be new words
+            leftovers = cut.join(seen.withColumnRenamed("word", "part"), "part", "left_anti").select("word").distinct()
+            cut = cut.join(leftovers, "word", "left_anti")
+        cut = stored(cut, "parts")
+        apart = cut if apart is None else apart.unionByName(cut)
+        frontier = cut.select(F.col("part").alias("word")).distinct().join(seen, "word", "left_anti")
+        if i == rounds or frontier.isEmpty():
+            break
+        frontier = stored(frontier, "types")
+        seen = seen.unionByName(frontier)
+    if i < rounds:
+        leftovers = seen.limit(0)
+    leftovers = stored(leftovers, "leftovers")
+    read = close(seen.join(known, "word", "left_anti").join(apart.select("word").distinct(), "word", "left_anti"))
+    read = read.select("word", "ipa", F.coalesce("tier", F.lit(closing)).alias("tier") if "tier" in read.columns else F.lit(closing).alias("tier"))
+    marked = read.join(leftovers.withColumn("left", F.lit(True)), "word", "left")
+    known = known.unionByName(stored(marked.select("word", "ipa", F.when(F.col("left"), "leftover").otherwise(F.col("tier")).alias("tier")), "read"))
+    # parts are shorter than their words, so every pass puts some together
+    while not (left := stored(apart.join(known, "word", "left_anti"), "apart")).isEmpty():
+        met = left.join(known.select(F.col("word").alias("part"), "ipa"), "part", "left")
+        whole = met.groupBy("word").agg(F.first("kind").alias("tier"), F.array_sort(F.collect_list(F.struct("i", "ipa"))).alias("ps"), F.count_if(F.col("ipa").isNull()).alias("missing"))
+        ipas = F.transform("ps", lambda p: p["ipa"])
+        own = F.element_at(ipas, 1)
+        ipa = F.when(F.col("tier") == "possessive", F.concat(own, F.when(own != "", allomorph(own)).otherwise(""))).when(F.col("tier") == "camel", F.array_join(ipas, " ")).otherwise(F.array_join(ipas, ""))
+        known = known.unionByName(stored(whole.where("missing = 0").select("word", ipa.alias("ipa"), "tier"), "composed"))
+    return known, leftovers
+
+
+def resolve_words(types: DataFrame, gold: DataFrame, phones: DataFrame, overrides: DataFrame | None = None, tiers: list[tuple[str, Tier]] | None = None) -> DataFrame:
+    """(word, ipa, tier) for every distinct word, by ``tiers`` (default_tiers)."""
+    answers, _ = resolve_by_rounds(types, tiers or default_tiers(gold, phones, overrides))
+    return answers.join(types.select("word").distinct(), "word", "left_semi")
 
 
 # Homograph senses, as phones where the rule holds and where it does not.
@@ -246,14 +329,16 @@ def homograph_senses(sentences: DataFrame) -> DataFrame:
     return at.select("doc_id", "sent_idx", "word_idx", "word", phones_to_ipa(F.split(phones, " ")).alias("sense_ipa"))
 
 
-def phonemize_corpus(sentences: DataFrame, gold: DataFrame, phones: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """(doc_id, sent_idx, phonemes): sentences normalised, types resolved once and joined back to tokens; empty output dropped."""
+def phonemize_corpus(sentences: DataFrame, gold: DataFrame, phones: DataFrame, overrides: DataFrame | None = None, rewrites: list[tuple[str, str]] = (), tiers: list[tuple[str, Tier]] | None = None) -> DataFrame:
+    """(doc_id, sent_idx, phonemes): sentences normalised once, types resolved once and joined back to tokens; empty output dropped.
+    A user's override comes before all else, a homograph's sense before the other tiers."""
     from .tokens import render_phonemes, tokenize
 
-    sentences = normalize_with_lexicon(sentences.select("doc_id", "sent_idx", "text"), ["doc_id", "sent_idx"], "text", gold, phones)
+    sentences = stored(normalize_with_lexicon(sentences.select("doc_id", "sent_idx", "text"), ["doc_id", "sent_idx"], "text", gold, phones, rewrites), "normalized")
     tokens = tokenize(sentences)
-    types = resolve_words(tokens.where("kind = 'word'").select(F.col("token").alias("word")), gold, phones, overrides)
+    types = resolve_words(tokens.where("kind = 'word'").select(F.col("token").alias("word")), gold, phones, overrides, tiers)
     senses = homograph_senses(sentences).select("doc_id", "sent_idx", "word_idx", "sense_ipa")
-    said = tokens.join(types.select(F.col("word").alias("token"), "ipa"), "token", "left").join(senses, ["doc_id", "sent_idx", "word_idx"], "left")
-    ipa = F.when(F.col("kind") == "punct", F.col("token")).otherwise(F.coalesce("sense_ipa", "ipa", F.lit("")))
+    said = tokens.join(types.select(F.col("word").alias("token"), "ipa", "tier"), "token", "left").join(senses, ["doc_id", "sent_idx", "word_idx"], "left")
+    word = F.when(F.col("tier") == "override", F.col("ipa")).otherwise(F.coalesce("sense_ipa", "ipa", F.lit("")))
+    ipa = F.when(F.col("kind") == "punct", F.col("token")).otherwise(word)
     return render_phonemes(said.select("doc_id", "sent_idx", "tok_idx", "kind", ipa.alias("ipa")))

@@ -9,18 +9,18 @@ wait for an earlier one (timelines, sentences), by the time a request may take (
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.structure import sentence_pieces
 from ..operators.timeline import PAD
+from ..sources.shared import shared_dir
 from .requests import settled
 
 
@@ -155,23 +155,12 @@ def sentences_between_silences(pieces: DataFrame, gap: str = "30 seconds", late:
     return turns.select("source", F.col("w.start").alias("session_start"), F.posexplode(sentence_pieces(text)).alias("seq", "sentence"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where none is set and all runs on this machine (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        at = tempfile.mkdtemp(prefix="streams-")
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 def drained(stream: DataFrame, tag: str, progress: Callable[[int, int], None] | None = None) -> DataFrame:
     """Run a stream over all that is there now, and return what it appended, from a table in the shared folder.
 
     progress: called on the driver after each batch with its number and the rows it appended."""
     spark = stream.sparkSession
-    at = f"{_shared(spark)}/streams/{tag}-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/streams/{tag}-{uuid.uuid4().hex}"
 
     def append(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number}")  # a batch that is run again replaces itself
