@@ -59,6 +59,30 @@ def test_mixing(spark, docs, rows):
     assert mixing.pareto_mix(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["one id", "no id", "equal rows", "mixed"])
+def test_mixing_of_ties(spark, kind):
+    """A source comes within half a document of its target whatever repeats."""
+    r = random.Random(kind)
+    if kind == "one id":
+        rows = [(7, " ".join(words(10, i))) for i in range(100)]
+    elif kind == "no id":
+        rows = [(None, " ".join(words(10, i))) for i in range(100)]
+    elif kind == "equal rows":
+        rows = [(7, "one two three four five six seven eight nine ten")] * 100
+    else:
+        rows = [(r.choice([None, 1, 2]), " ".join(words(r.randrange(1, 40), r.randrange(6)))) for _ in range(150)] + [(3, None), (3, ""), (None, "")]
+    rows = [(i, t, "en", s) for s in ("a", None, "c") for i, t in rows[: 100 if s == "a" else 40]]
+    df = spark.createDataFrame([(*x, 0.5, "clash") for x in rows], SCHEMA).repartition(7)
+    got = mixing.pareto_mix(df).collect()
+    assert len(got) == len(rows)
+    for source in ("a", None, "c"):
+        own = [g for g in got if g.source == source]
+        assert abs(sum(g.taken for g in own) - own[0].target) <= max(g.size for g in own) / 2 + 1e-6
+    again = mixing.pareto_mix(df.repartition(3)).collect()
+    key = lambda g: str((g.doc_id, g.source, g.size, g.text_key, g.taken))
+    assert sorted(map(key, got)) == sorted(map(key, again))
+
+
 def test_substring(spark, docs, rows):
     ws = [(r[1] or "").split() for r in rows]
     at = Counter(tuple(w[i : i + 35]) for w in ws for i in range(len(w) - 34))

@@ -10,11 +10,13 @@ come nearest to what is due.
 Within a source p is one number, so the ranking is the order of U, and the prefix is found
 without sorting a source: words per (source, first 12 bits of U) show the bin in which the
 prefix ends, words per next 12 bits show the bin inside that, and only the documents of that
-bin are ranked. A source with a third of all rows is thus spread over all tasks.
+bin are ranked, equal ones (of one id and text) as one row with their number. A source, or a group of equal
+rows, with a third of all rows is thus spread over all tasks.
 
 Defined results: null text has size 0; a null source is a source of its own, the last;
-rows of size 0 are never taken; repeated rows share U, and ties are ordered by id and size;
-an empty table gives no rows.
+rows of size 0 are never taken. U is a hash of id and text, so rows that share an id, or have none, are ranked apart; where the
+words due end among equal rows, as many of these are taken as come nearest to what is due: a source is within half a document of
+it. Which of them depends on their places in the table, the numbers do not; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,9 +31,10 @@ BITS = 12
 MOST_SOURCES = 100_000
 
 
-def uniform52(doc_id: str = "doc_id", seed: str = "mix") -> Column:
-    """52 even bits from a hash of the id, as a long."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f"|{seed}"))), 1, 13), 16, 10).cast("long")
+def uniform52(doc_id: str = "doc_id", text: str = "text", seed: str = "mix") -> Column:
+    """52 even bits from a hash of id and text, as a long."""
+    key = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(f"|{seed}|"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2) -> DataFrame:
@@ -60,9 +63,25 @@ def _crossing(bins: DataFrame, bin_col: str) -> DataFrame:
     return cum.where((F.col("cum") < F.col("due")) & (F.col("due") <= F.col("cum") + F.col("words")))
 
 
+#: What makes rows of a source equal, beside U.
+SAME = ("doc_id", "size", "text_key")
+
+
+def _first_places(rows: DataFrame, take: str) -> DataFrame:
+    """(source, upto): the place of the last of the first ``take`` rows of each source, by counts of the parts of the table and then inside one part."""
+    part = F.shiftright("place", 33)  # the task that numbered the row
+    parts = rows.groupBy("source", take, part.alias("part")).agg(F.count("*").alias("n"))
+    line = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("before", F.coalesce(F.sum("n").over(line), F.lit(0))).where((F.col("before") < F.col(take)) & (F.col(take) <= F.col("before") + F.col("n")))
+    at = parts.select(F.col("source").alias("s"), "part", (F.col(take) - F.col("before")).alias("nth"))
+    own = rows.join(at, F.col("source").eqNullSafe(F.col("s")) & (part == F.col("part")))
+    order = Window.partitionBy("source").orderBy("place")
+    return own.withColumn("i", F.row_number().over(order)).where(F.col("i") == F.col("nth")).select("source", F.col("place").alias("upto"))
+
+
 def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: int = 2, seed: str = "mix") -> DataFrame:
     """(doc_id, source, size, source_size, target, copies, pareto_rank, taken, text_key) for every row of docs(doc_id, text, source)."""
-    base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NON_SPACE)), F.lit(0)).cast("long").alias("size"), uniform52("doc_id", seed).alias("u"), F.xxhash64("text").alias("text_key"))
+    base = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(NON_SPACE)), F.lit(0)).cast("long").alias("size"), uniform52("doc_id", "text", seed).alias("u"), F.xxhash64("text").alias("text_key"), F.monotonically_increasing_id().alias("place"))
     base = stored(base, "mix-base")
     b1 = F.shiftright("u", 52 - BITS)
     b2 = F.shiftright("u", 52 - 2 * BITS)
@@ -84,14 +103,23 @@ def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: flo
     inner = base.join(of(first, "at1", "due", "start"), on & (b1 == F.col("at1"))).groupBy("source", b2.alias("b2"), "due", "start").agg(F.sum("size").alias("words"))
     second = stored(_crossing(inner, "b2").select("source", "b2", "due", F.col("cum").alias("start")), "mix-bins")
     last = base.join(of(second, F.col("b2").alias("at2"), "due", "start"), on & (b2 == F.col("at2")))
-    line = Window.partitionBy("source").orderBy("u", "doc_id", "size")
-    last = last.withColumn("cum", F.col("start") + F.coalesce(F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # the last taken row of each source; all before it in the order are taken too
-    ends = last.where(F.col("cum") + F.col("size") / 2 <= F.col("due")).groupBy("source").agg(F.max(F.struct("u", "doc_id", "size")).alias("end"))
-    cuts = targets.join(of(second, (F.col("b2") * F.lit(1 << (52 - 2 * BITS))).alias("bin_start")), on, "left").drop("s").join(of(ends, "end"), on, "left").drop("s")
-    joined = base.join(of(cuts, "source_size", "target", "whole", "p", "due", "bin_start", "end"), on).drop("s")
-    here = F.struct("u", "doc_id", "size")
-    chosen = (F.col("due") > 0) & F.coalesce((F.col("u") < F.col("bin_start")) | (F.col("end").isNotNull() & (here <= F.col("end"))), F.lit(False))
+    # of the last bin of each source, rows of one rank: their number, and how many of them are due
+    ranked = last.groupBy("source", "u", *SAME, "due", "start").agg(F.count("*").alias("rows"))
+    line = Window.partitionBy("source").orderBy("u", *[F.col(c).asc_nulls_first() for c in SAME]).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranked.withColumn("cum", F.col("start") + F.coalesce(F.sum(F.col("size") * F.col("rows")).over(line), F.lit(0)))
+    take = F.when(F.col("size") > 0, F.floor((F.col("due") - F.col("cum") - F.col("size") / 2) / F.col("size")) + 1).otherwise(0)
+    ranked = ranked.withColumn("take", F.greatest(F.lit(0), F.least("rows", take)).cast("long"))
+    ranked = stored(ranked.where("take > 0 or size = 0"), "mix-ranked")
+    # all rows up to the end are taken, but of those at the end only so many
+    ends = ranked.where("take > 0").groupBy("source").agg(F.max(F.struct("u", *[F.coalesce(c, F.lit(-(2**63))).alias(c) for c in SAME])).alias("end"), F.max_by(F.struct("take", "rows"), F.struct("u", *[F.coalesce(c, F.lit(-(2**63))).alias(c) for c in SAME])).alias("of"))
+    here = F.struct("u", *[F.coalesce(c, F.lit(-(2**63))).alias(c) for c in SAME])
+    split = stored(ends.where("of.take < of.rows").select("source", "end", "of.take"), "mix-split")
+    tied = base.join(of(split, "end", "take"), on & (here == F.col("end"))).drop("s")
+    upto = stored(_first_places(tied, "take"), "mix-places")
+    cuts = targets.join(of(second, (F.col("b2") * F.lit(1 << (52 - 2 * BITS))).alias("bin_start")), on, "left").drop("s").join(of(ends, "end"), on, "left").drop("s").join(of(upto, "upto"), on, "left").drop("s")
+    joined = base.join(of(cuts, "source_size", "target", "whole", "p", "due", "bin_start", "end", "upto"), on).drop("s")
+    within = (here < F.col("end")) | ((here == F.col("end")) & (F.col("upto").isNull() | (F.col("place") <= F.col("upto"))))
+    chosen = (F.col("due") > 0) & F.coalesce((F.col("u") < F.col("bin_start")) | (F.col("end").isNotNull() & within), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.when(chosen, 1).otherwise(0)).otherwise(F.lit(0)).cast("long")
     odds = (F.col("u") + 0.5) / (F.lit(float(1 << 52)) - F.col("u") - 0.5)
     rank = F.when((F.col("p") > 0), odds * (1 - F.col("p")) / F.col("p"))
@@ -105,7 +133,7 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP1_SQL = r"""
 WITH base AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix'), 1, 13) AS BIGINT) AS u
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|mix|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS u
   FROM documents),
 src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 weighted AS (
