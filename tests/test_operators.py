@@ -18,6 +18,11 @@ RULES = {
     N.units: {"5 kg": "five kilograms", "1 kg": "one kilogram", "0 kg": "zero kilograms", "0.5 kg": "zero point five kilograms", "5.5 kg": "five point five kilograms", "5 km": "five kilometers", "5 g": "five grams", "5 mph": "five miles per hour", "5 km/h": "five kilometers per hour", "5°C": "five degrees Celsius", "1 ft": "one foot", "2 ft": "two feet", "5 s": "five seconds", "5 sec": "five seconds", "5 min": "five minutes", "5 hr": "five hours", "10mbps": "ten megabits per second"},
     N.math_symbols: {"2 + 2 = 4": "2 plus 2 equals 4", "5 - 3": "5 minus 3", "2*3": "2 times 3", "2 * 3": "2 times 3", "10/2": "10 divided by 2", "8 / 2": "8 divided by 2", "x^2": "x to the power of 2", "a <= b": "a less than or equal to b", "a >= b": "a greater than or equal to b", "a < b": "a less than b", "a > b": "a greater than b", "3×4": "3 times 4", "8÷2": "8 divided by 2", "x≠y": "x not equal to y", "x≤y": "x less than or equal to y", "x≥y": "x greater than or equal to y", "10 ± 2": "10 plus or minus 2", "50%": "50 percent", "text-to-speech": "text-to-speech", "**bold**": "**bold**", "5/6": "5 divided by 6", "a/b/c": "a/b/c", "1/2/3": "1/2/3", "v1/2": "v1/2"},
     N.emphasis_words: {"COME TO PARIS ON IMPORTANT BUSINESS": "COME to PARIS on IMPORTANT BUSINESS", "BUT FIND LIVINGSTONE": "BUT FIND LIVINGSTONE", "the US economy": "the US economy", "In IT we trust": "In IT we trust"},
+    N.roman_numerals: {"XIV's page": "fourteen's page", "MMXXVI, xii": "two thousand twenty six, twelve", "Iv IIV2 X": "Iv IIV2 X"},
+    N.urls: {
+        "(http://a.com) now": "(H T T P colon slash slash A dot C O M) now", "a.com/x,y": "A dot C O M slash X,y", 'at "www.b.org/50%?u=me@x".': 'at "W W W dot B dot O R G slash 5 0 % question mark U equals M E @ X".', "see ~/a_b and /usr/lib. or /a": "see tilde slash A underscore B and slash U S R slash L I B. or /a",
+        "end of a.com. Next": "end of a.com. Next", "and/or": "and/or", "httpbin.org": "H T T P B I N dot O R G",
+    },
     N.hex_literals: {"0xDEAD": " hex D E A D "},
     N.feet_inches: {"6'2\"": "6 feet 2 inches ", "1920's": "1920's"},
 }
@@ -29,6 +34,42 @@ def test_rule(spark, rule):
     assert [r.got for r in rows] == [r.want for r in rows]
 
 
+def test_math(spark):
+    cases = {
+        "a => b": "a arrow b", "x==y": "x equals equals y", "n := 3": "n gets 3", "a*b": "a*b", "2  *  3": "2 times 3", "5-3": "5 minus 3", "the -EV line": "the minus EV line", "(-3)": "( minus 3)", "well-known": "well-known", "a - b": "a - b", "3/4 cup": "3 divided by 4 cup", "a/b/c": "a/b/c",
+        "1/2/2024": "1/2 divided by 2024", "10/2": "10 divided by 2", "4 / 2": "4 divided by 2", "x   <   y": "x less than y", "a <= ": "a <=", "50 %": "50 percent", "% off": "% off", "no  change": "no  change", "]=}": "] equals }",
+    }
+    cases["a <= "] = "a <= "
+    rows = spark.createDataFrame([*cases.items()], "text string, want string").withColumn("got", N.math_symbols(F.col("text"))).collect()
+    assert {r.text: r.got for r in rows} == cases
+
+
+def test_roman_numerals_with_a_dictionary(spark):
+    cases = {"IIII": "four", "IC": "ninety nine", "did MIX": "did MIX", "xvx": "fifteen"}
+    rows = spark.createDataFrame([*cases.items()], "text string, want string").withColumn("got", N.roman_numerals(F.col("text"), lambda w: w.isin("did", "mix"))).collect()
+    assert {r.text: r.got for r in rows} == cases
+
+
+def test_resampling(spark):
+    from voicegrist.operators import timeline as U
+
+    x = spark.createDataFrame([([0.0, 1.0, 2.0, 3.0],), ([5.0],), ([],)], "s array<float>")
+    assert [r.r for r in x.select(U.resample_24k_16k(F.col("s")).alias("r")).collect()] == [[0.0, 2.0], [], []]
+    assert [r.r for r in x.select(U.resample_linear(F.col("s"), 8_000, 24_000).alias("r")).collect()][1:] == [[5.0], []]
+    assert len(x.select(U.resample_linear(F.col("s"), 8_000, 24_000).alias("r")).first().r) == 12
+
+
+def test_similarity_in_bytes(spark):
+    p = spark.createDataFrame([("ɑb", "b"), ("", "")], "a string, b string")
+    assert [round(r.s, 6) for r in p.select(E.ipa_similarity(F.col("a"), F.col("b"), True).alias("s")).collect()] == [round(1 - 1 / 3, 6), 1.0]
+
+
+def test_many_distinct_words(spark):
+    words = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(36_000))
+    row = E.wer_plain(spark.createDataFrame([(1, words, words + " more")], "idx int, ref string, hyp string")).first()
+    assert (row.edits, row.ref_words) == (1, 36_000)
+
+
 def test_sentences(spark):
     cases = [("Mr. Smith arrived. He waited.", 2), ("She's 3.14 meters tall? Yes.", 2), ("Hello.\n\nWorld.", 2), ("one; two; three", 3), ("Dr. Who at 3 p.m. on Monday.", 1), ("A.\n\n\n\nB.", 4), ("wait... what. ok", 2), ("We laughed in hilarious terms. We struggled to communicate.", 2), ("Thanks to Alice; thanks to Bob; thanks to Carol.", 3), ("Dr. Smith called Mr. Jones at 3 p.m. on Monday.", 1), ("", 0)]
     rows = spark.createDataFrame(cases, "text string, n int").select("n", F.size(T.sentence_pieces(F.col("text"))).alias("got")).collect()

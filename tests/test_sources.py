@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from voicegrist.operators import pronounce as P
 from voicegrist.sources import corpus as S
@@ -60,3 +61,41 @@ def test_sinks(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "s")).collect()] == ["One two."]
     S.write_chapter_dataset(spark.createDataFrame([(7, 0, "x"), (7, 1, "y")], "doc_id long, chapter_idx int, text string"), str(tmp_path / "c"))
     assert spark.read.parquet(str(tmp_path / "c")).where("doc_id = 7").count() == 2
+
+
+def test_ingest_report(spark, tmp_path):
+    import gzip
+
+    from voicegrist.operators import structure as T
+
+    put(tmp_path / "a" / "good.txt", "One. Two.\nThree.")
+    put(tmp_path / "a" / "none.txt", "")
+    put(tmp_path / "b" / "blank.txt", " \n\t ")
+    (tmp_path / "b" / "latin.txt").write_bytes(b"caf\xe9.")
+    whole = gzip.compress(b"Four. Five. " * 500)
+    (tmp_path / "b" / "whole.txt.gz").write_bytes(whole)
+    (tmp_path / "b" / "cut.txt.gz").write_bytes(whole[: len(whole) // 2])
+    put(tmp_path / "b" / "other.md", "no")
+    report = S.ingest_report(spark, str(tmp_path), T.sentence_pieces)
+    assert {r.path.rsplit("/", 1)[1]: (r.status, r.sentences) for r in report.collect()} == {"good.txt": ("read", 3), "none.txt": ("empty", None), "blank.txt": ("empty", None), "latin.txt": ("error", None), "whole.txt.gz": ("read", 1000), "cut.txt.gz": ("error", None)}
+    assert tuple(S.ingest_totals(report).first())[0] == 6 and tuple(S.ingest_totals(report).first())[3:] == (2, 2)
+
+
+def test_named_outputs_and_resume(spark, tmp_path):
+    from voicegrist.operators import structure as T
+
+    chapters = spark.createDataFrame([(7, 0, "first\npart"), (7, 1, "second"), (8, 0, "other")], "doc_id long, chapter_idx int, text string")
+    manifest = T.chapter_manifest(chapters, "txt")
+    out, asked = str(tmp_path / "out"), []
+
+    def render(rows):
+        asked.append(sorted(r.output_name for r in rows.collect()))
+        return rows.select("output_name", F.upper("preview").alias("text"))
+
+    put(tmp_path / "out" / "output_name=doc8_001.txt" / "muted", "")
+    assert sorted(r.output_name for r in S.render_pending(manifest, out, render).collect()) == ["doc7_001.txt", "doc7_002.txt"]
+    assert sorted(r.output_name for r in S.existing_outputs(spark, out).collect()) == ["doc7_001.txt", "doc7_002.txt", "doc8_001.txt"]
+    assert S.render_pending(manifest, out, render).count() == 0 and asked == [["doc7_001.txt", "doc7_002.txt"], []]
+    assert spark.read.text(f"{out}/output_name=doc7_002.txt").first().value == "SECOND"
+    assert len([p for p in (tmp_path / "out" / "output_name=doc7_001.txt").iterdir() if p.name.startswith("part-")]) == 1
+    assert S.existing_outputs(spark, str(tmp_path / "nowhere")).count() == 0

@@ -84,7 +84,8 @@ def hex_literals(t: Column) -> Column:
 
 
 def roman_numerals(t: Column, is_word: IsWord | None = None) -> Column:
-    """Two letters or more, of one case, that are no word."""
+    """Two letters or more, of one case, that are no word; whatever their order, a letter before a larger one is subtracted.
+    Without a dictionary only numbers in canonical form are read, for else "did" and "mild" would be."""
     value = literal_map({"i": "1", "v": "5", "x": "10", "l": "50", "c": "100", "d": "500", "m": "1000"})
 
     def said(m: Column) -> Column:
@@ -93,8 +94,8 @@ def roman_numerals(t: Column, is_word: IsWord | None = None) -> Column:
         number = integer_words(total.cast("string"))
         return number if is_word is None else F.when(is_word(F.lower(m)), m).otherwise(number)
 
-    proper = "(?=[MDCLXVI]{2})M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})"
-    return rewrite(t, rf"(?<![A-Za-z0-9'’])(?:{proper}|{proper.lower()})(?![A-Za-z0-9'’])", said, "[IVXLCDM]{2}|[ivxlcdm]{2}")
+    form = "[IVXLCDM]{2,}" if is_word else "(?=[MDCLXVI]{2})M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})"
+    return rewrite(t, rf"(?<![A-Za-z0-9])(?:{form}|{form.lower()})(?![A-Za-z0-9])", said, "[IVXLCDM]{2}|[ivxlcdm]{2}")
 
 
 def fold_diacritics(t: Column) -> Column:
@@ -106,25 +107,27 @@ def fold_diacritics(t: Column) -> Column:
     return F.translate(t, "".join(base), "".join(base.values()))
 
 
-_URL = rf"(?:https?://|www\.)[^\s]+|(?<![A-Za-z0-9.-])[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:{'|'.join(TLDS)})(?=$|[/?#\s,.;:!)])[^\s]*|(?<![A-Za-z0-9/])~?/[A-Za-z0-9._-]+(?:/[A-Za-z0-9._-]+)+"
+#: What ends the span of a URL, inside a class of characters.
+_URL_END = "\\s,\"'<>()“”‘’"
+_URL = rf"(?<![A-Za-z0-9])(?:(?i:https?://|www\.)[^{_URL_END}]*|(?=[^{_URL_END}]*?[A-Za-z0-9-](?i:\.(?:{'|'.join(TLDS)}))(?:[/?#{_URL_END}]|$))[^{_URL_END}]+|~/[^{_URL_END}]+|/[A-Za-z0-9][^{_URL_END}]+)"
 _IPV4 = r"(?<![0-9.])(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}(?::[0-9]{1,5})?(?![0-9]|\.[0-9])"
 
 
 def urls(t: Column, is_word: IsWord | None = None) -> Column:
-    """Schemes and unknown words letter by letter, digits one by one, punctuation by name."""
+    """A scheme and unknown words letter by letter, known words in small letters, digits one by one, some marks by name; others stay."""
     mark = literal_map(URL_MARKS)
 
-    def piece(p: Column) -> Column:
+    def piece(p: Column, i: Column) -> Column:
         spelled = F.rtrim(F.regexp_replace(F.upper(p), "(.)", "$1 "))
-        word = spelled if is_word is None else F.when(is_word(F.lower(p)) & ~F.lower(p).isin("http", "https", "www"), p).otherwise(spelled)
-        return F.when(p.rlike("^[0-9]"), digit_words(p)).when(p.rlike("^[A-Za-z]"), word).otherwise(F.coalesce(F.element_at(mark, p), F.lit("")))
+        known = F.lit(False) if is_word is None else is_word(F.lower(p)) & ~((i == 0) & F.lower(p).isin("http", "https", "www", "ftp"))
+        return F.when(p.rlike("^[0-9]"), F.rtrim(F.regexp_replace(p, "(.)", "$1 "))).when(p.rlike("^[A-Za-z]"), F.when(known, F.lower(p)).otherwise(spelled)).otherwise(F.coalesce(F.element_at(mark, p), p))
 
     def said(m: Column) -> Column:
         body, tail = F.regexp_replace(m, "[.,;:!?]+$", ""), _group(m, "([.,;:!?]*)$", 1)
-        parts = F.transform(F.regexp_extract_all(body, F.lit(r"[A-Za-z]+|[0-9]+|[^A-Za-z0-9]"), F.lit(0)), piece)
-        return F.concat(F.array_join(F.filter(parts, lambda x: x != ""), " "), tail)
+        parts = F.transform(F.regexp_extract_all(body, F.lit(r"^(?i:https|http|www|ftp)|[A-Za-z]+|[0-9]+|[^A-Za-z0-9]"), F.lit(0)), piece)
+        return F.concat(F.array_join(parts, " "), tail)
 
-    return rewrite(ip_addresses(t), _URL, said, rf"://|www\.|\.(?:{'|'.join(TLDS)})|/")
+    return rewrite(ip_addresses(t), _URL, said, rf"://|(?i:www\.|\.(?:{'|'.join(TLDS)}))|/")
 
 
 def ip_addresses(t: Column) -> Column:
@@ -167,22 +170,29 @@ def _numeric_date(p: str) -> Callable[[Column], Column]:
     return lambda s: _date_words(_group(s, p, 3), _group(s, p, 1), _group(s, p, 2))
 
 
+#: Operators with their words, and what must stand around them. Between are operands; blanks on either side do not matter.
+_LEFT, _RIGHT = r"(?<=[A-Za-z0-9)\]}}]\s?){}", r"(?=\s?[A-Za-z0-9)\]}}])"
+MATH_BETWEEN = {"<=": "less than or equal to", ">=": "greater than or equal to", "+": "plus", "=": "equals", "^": "to the power of", "<": "less than", ">": "greater than"}
+MATH_ANYWHERE = {"=>": "arrow", "==": "equals equals", ":=": "gets"}
+MATH_DIGITS = {"-": "minus", "*": "times", "/": "divided by", "%": "percent"}
+_MATH = "|".join([
+    *MATH_ALWAYS, *MATH_ANYWHERE,
+    *[_LEFT.format(op) + _RIGHT.format() for op in ("<=", ">=", r"\+", "=(?![=>])", r"\^", "<(?!=)", ">(?!=)")],
+    r"(?<=[0-9]\s?)[-*](?=\s?[0-9])", r"(?<![^\s(\[{=,:])-(?=[A-Za-z0-9])",
+    r"(?<=[0-9]\s)/(?=\s?[0-9])", r"(?<=[0-9])/(?=\s[0-9])", r"(?<=[0-9]{2})/(?=[0-9])", r"(?<=[0-9])/(?=[0-9]{2})", r"(?<=(?<![A-Za-z0-9/])[0-9])/(?=[0-9](?![A-Za-z0-9/]))",
+    r"(?<=[0-9]\s?)%",
+])
+
+
 def math_symbols(t: Column) -> Column:
-    """Signs always spoken, and others between operands; blanks collapse only if something changed."""
-    return bind(t, _math)
+    """Signs always spoken, others between operands, a minus before a word or number too; blanks collapse only if something changed."""
+    spoken = literal_map(MATH_ALWAYS | MATH_BETWEEN | MATH_ANYWHERE | MATH_DIGITS)
 
+    def one(x: Column) -> Column:
+        new = rewrite(x, _MATH, lambda m: F.concat(F.lit(" "), F.element_at(spoken, m), F.lit(" ")), "[≤≥≠×÷±<>+=:*/^%-]")
+        return bind(new, lambda y: F.when(y == x, t).otherwise(F.trim(F.regexp_replace(y, r"\s+", " "))))
 
-def _math(t: Column) -> Column:
-    new = t
-    for sign, said in MATH_ALWAYS.items():
-        new = F.replace(new, F.lit(sign), F.lit(f" {said} "))
-    side = r"(?<=[A-Za-z0-9)]\s?){}(?=\s?[A-Za-z0-9(])"
-    for op, said in (("<=", "less than or equal to"), (">=", "greater than or equal to"), ("==", "equals"), ("=>", "implies"), (":=", "is defined as"), ("=", "equals"), (r"\+", "plus"), (r"\*", "times"), (r"\^", "to the power of"), ("<", "less than"), (">", "greater than")):
-        new = F.regexp_replace(new, side.format(op), f" {said} ")
-    new = F.regexp_replace(new, r"(?<=[0-9] )[-−](?= [0-9])", " minus ")
-    new = F.regexp_replace(new, r"/(?<=(?<![A-Za-z0-9/.])[0-9]{1,40}\s?/)(?=\s?[0-9]++(?![A-Za-z/]|\.[0-9]))", " divided by ")  # no part of a path or a longer chain
-    new = F.regexp_replace(new, r"(?<=[0-9])\s?%", " percent ")
-    return bind(new, lambda x: F.when(x == t, t).otherwise(F.trim(F.regexp_replace(x, r"\s+", " "))))
+    return bind(F.regexp_replace(t, r"\s+", " "), one)
 
 
 _NUM = r"[0-9]+(?:,[0-9]{3})*"
@@ -315,6 +325,12 @@ def nsw_census(docs: DataFrame, *groups: str) -> DataFrame:
     return docs.groupBy(*groups).agg(*[F.coalesce(F.sum(F.regexp_count("text", F.lit(p))), F.lit(0)).cast("long").alias(f"n_{k}") for k, p in CENSUS.items()])
 
 
+def nsw_rollup(docs: DataFrame, *groups: str) -> DataFrame:
+    """N21 with subtotals: level is 0 for whole groups and has a bit for each group summed over, the last group's first."""
+    counts = [F.coalesce(F.sum(F.regexp_count("text", F.lit(p))), F.lit(0)).cast("long").alias(f"n_{k}") for k, p in CENSUS.items()]
+    return docs.rollup(*groups).agg(F.grouping_id().cast("long").alias("level"), F.count("*").alias("docs"), *counts)
+
+
 def verbalize_columns(df: DataFrame, cardinals: list[str] = (), dates_: list[str] = ()) -> DataFrame:
     """Numbers and dates of typed columns as text, in new columns named <column>_words; no regular expression on text."""
     out = df

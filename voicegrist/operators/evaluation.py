@@ -61,7 +61,9 @@ def wer_plain(pairs: DataFrame) -> DataFrame:
     """(idx, edits, ref_words, wer): words become code points, so levenshtein counts words."""
     w = pairs.select("idx", normalized_words(F.col("ref")).alias("r"), normalized_words(F.col("hyp")).alias("h"))
     names = F.array_distinct(F.concat("r", "h"))
-    coded = lambda ws: F.array_join(F.transform(ws, lambda x: F.decode(F.unhex(F.hex(F.array_position("names", x) + 19968)), "UTF-16BE")), "")
+    # words as code points: from 4E00 up to the surrogates, then from 10000
+    point = lambda i: F.when(i < 35_328, i + 19_968).otherwise(i - 35_328 + 65_536)
+    coded = lambda ws: F.array_join(F.transform(ws, lambda x: F.decode(F.unhex(F.lpad(F.hex(point(F.array_position("names", x))), 8, "0")), "UTF-32")), "")
     e = w.withColumn("names", names).select("idx", F.levenshtein(coded("r"), coded("h")).alias("edits"), F.size("r").alias("ref_words"), F.size("h").alias("hyp_words"))
     rate = F.when(F.col("ref_words") == 0, (F.col("hyp_words") > 0).cast("double")).otherwise(F.col("edits") / F.col("ref_words"))
     return e.select("idx", "edits", "ref_words", rate.alias("wer"))
@@ -99,9 +101,11 @@ def parse_ranges(spec: str) -> list[tuple[int, int]]:
     return out
 
 
-def ipa_similarity(a: Column, b: Column) -> Column:
+def ipa_similarity(a: Column, b: Column, byte_lengths: bool = False) -> Column:
+    """1 - edits / length of the longer, at least 0. byte_lengths measures length in bytes of UTF-8, edits still in characters."""
+    size = F.octet_length if byte_lengths else F.char_length
     x, y = (F.regexp_replace(c, "[\\s_ː]", "") for c in (a, b))
-    longest = F.greatest(F.char_length(x), F.char_length(y))
+    longest = F.greatest(size(x), size(y))
     return F.when(longest == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.levenshtein(x, y) / longest))
 
 

@@ -47,17 +47,21 @@ def quantize_pcm16(samples: Column) -> Column:
 
 
 def resample_linear(samples: Column, rate_in: int, rate_out: int, floor: bool = False) -> Column:
-    """Linear interpolation to round (or floor) of n * out / in samples; fewer than two samples give none under floor."""
+    """Linear interpolation to round(n * out / in) samples, a step of in / out apart; a single sample stays one.
+    Under floor to floor(n * out / in) samples over the whole length, n / m apart; fewer than two give none."""
     n = F.size(samples)
-    m = (F.floor(n * F.lit(rate_out) / rate_in) if floor else F.round(n * F.lit(rate_out) / rate_in)).cast("int")
+    m = (F.floor(n * F.lit(rate_out) / rate_in) if floor else F.greatest(F.lit(1), F.round(n * F.lit(rate_out) / rate_in))).cast("int")
+    step = n / m if floor else F.lit(rate_in / rate_out)
 
     def at(i: Column) -> Column:
-        pos = i * (rate_in / rate_out)
+        pos = i * step
         k = F.least(F.floor(pos).cast("int"), n - 1)
         a, b = F.get(samples, k), F.get(samples, F.least(k + 1, n - 1))
         return (a + (b - a) * (pos - k)).cast("float")
 
-    return F.when((m > 0) & (n >= (2 if floor else 1)), F.transform(F.sequence(F.lit(0), m - 1), at)).otherwise(F.array().cast("array<float>"))
+    many = F.when((m > 0) & (n >= 2), F.transform(F.sequence(F.lit(0), F.greatest(m, F.lit(1)) - 1), at))
+    few = F.array().cast("array<float>") if floor else F.transform(samples, lambda x: x.cast("float"))
+    return F.coalesce(many, few)
 
 
 def resample_24k_16k(samples: Column) -> Column:

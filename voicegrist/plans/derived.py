@@ -92,14 +92,18 @@ add(
     f"WITH {NUMBERS} SELECT p_partkey, 'Part ' || CASE WHEN p_partkey % 1000 = 0 THEN '' WHEN p_partkey % 1000 IN (1, 5, 10, 50, 100, 500) THEN CASE p_partkey % 1000 WHEN 1 THEN 'I' WHEN 5 THEN 'V' WHEN 10 THEN 'X' WHEN 50 THEN 'L' WHEN 100 THEN 'C' ELSE 'D' END ELSE {cardinal('p_partkey % 1000')} END || ' or ' || CASE p_size + 1 WHEN 1 THEN 'i' WHEN 5 THEN 'v' WHEN 10 THEN 'x' WHEN 50 THEN 'l' ELSE {cardinal('p_size + 1')} END || '.' AS t FROM part, lists",
 )
 add("n09_accents_documents", lambda s, d: G.docs(s, d).select("doc_id", F.md5(N.fold_diacritics(F.regexp_replace("text", "[^ -~À-ÿŒœ]", ""))).alias("md5")), "SELECT doc_id, md5(strip_accents(replace(replace(replace(replace(replace(replace(replace(regexp_replace(text, '[^ -~À-ÿŒœ]', '', 'g'), 'ß', 's'), 'æ', 'a'), 'Æ', 'A'), 'ø', 'o'), 'Ø', 'O'), 'œ', 'o'), 'Œ', 'O'))) AS md5 FROM documents")
-_MARKS = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in N.URL_MARKS.items())
-add("n10_urls_pages", lambda s, d: G.read(s, d, "pages").select("page_id", N.urls(text_of("see ", F.col("url"), ".")).alias("t")), f"SELECT page_id, 'see ' || array_to_string(list_filter(list_transform(string_split(url, ''), lambda c: CASE WHEN regexp_matches(c, '[A-Za-z]') THEN upper(c) WHEN regexp_matches(c, '[0-9]') THEN {G._NUM}[1 + CAST(c AS INT)] ELSE CASE c {_MARKS} ELSE '' END END), lambda x: x <> ''), ' ') || '.' AS t FROM pages")
+# written from the rule: names of marks, digits one by one, other marks as they are
+_MARKS = "WHEN '.' THEN 'dot' WHEN '/' THEN 'slash' WHEN ':' THEN 'colon' WHEN '?' THEN 'question mark' WHEN '=' THEN 'equals' WHEN '#' THEN 'hash' WHEN '&' THEN 'and' WHEN '_' THEN 'underscore' WHEN '-' THEN 'dash' WHEN '~' THEN 'tilde'"
+add("n10_urls_pages", lambda s, d: G.read(s, d, "pages").select("page_id", N.urls(text_of('see "', F.col("url"), '?q=50%&at=me@x" (', F.col("url"), "), or ", F.col("url"), ".")).alias("t")), f"""
+WITH said AS (SELECT page_id, array_to_string(list_transform(string_split(url, ''), lambda c: CASE c {_MARKS} ELSE upper(c) END), ' ') AS u FROM pages)
+SELECT page_id, 'see "' || u || ' question mark Q equals 5 0 % and A T equals M E @ X" (' || u || '), or ' || u || '.' AS t FROM said""")
 add("n10a_addresses_orders", over("orders", "o_orderkey", lambda: text_of("ping 10.", F.col("o_orderkey") % 256, ".0.7:", F.col("o_orderkey") % 9000, " now"), N.ip_addresses), "SELECT o_orderkey, 'ping  10 dot ' || (o_orderkey % 256) || ' dot 0 dot 7 , port ' || (o_orderkey % 9000) || '  now' AS t FROM orders")
 add("n11_abbreviations_customers", over("customer", "c_custkey", lambda: text_of("Dr. ", F.col("c_name"), " vs. MRS. ", F.col("c_custkey"), ", i.e. terms. at 3 p.m."), N.abbreviations), "SELECT c_custkey, 'Doctor ' || c_name || ' versus Missus ' || c_custkey || ', that is terms. at 3 P M' AS t FROM customer")
 _DAY, _YEAR, _MON = "day(o_orderdate)", "year(o_orderdate)", "monthname(o_orderdate)"
 _SPOKEN_DATE = f"{_MON} || ' ' || {G._ORD}[{_DAY}] || ' ' || {year(_YEAR)}"
 add("n12_dates_orders", over("orders", "o_orderkey", lambda: text_of(F.date_format("o_orderdate", "yyyy-MM-dd"), "; ", F.date_format("o_orderdate", "M/d/yyyy"), "; ", F.date_format("o_orderdate", "M-d-yyyy"), "; ", F.date_format("o_orderdate", "MMMM d, yyyy"), "; ", F.date_format("o_orderdate", "MMMM d"), "th"), N.dates), f"WITH {NUMBERS} SELECT o_orderkey, {_SPOKEN_DATE} || '; ' || {_SPOKEN_DATE} || '; ' || {_SPOKEN_DATE} || '; ' || {_SPOKEN_DATE} || '; ' || {_MON} || ' ' || {G._ORD}[{_DAY}] AS t FROM orders, lists")
-add("n13_math_parts", over("part", "p_partkey", lambda: text_of(F.col("p_size"), "/2=", F.col("p_partkey"), " + x^", F.col("p_size"), " <= a*b - 5 - 3, 8 / ", F.col("p_size"), "; a/b/c **bold** ", F.col("p_size"), "%"), N.math_symbols), "SELECT p_partkey, p_size || ' divided by 2 equals ' || p_partkey || ' plus x to the power of ' || p_size || ' less than or equal to a times b - 5 minus 3, 8 divided by ' || p_size || '; a/b/c **bold** ' || p_size || ' percent' AS t FROM part")
+add("n13_math_parts", over("part", "p_partkey", lambda: text_of(F.col("p_size"), "/2=", F.col("p_partkey"), " + x^", F.col("p_size"), " <= a*b - 5 - 3, 8 / ", F.col("p_size"), "; a/b/c **bold** ", F.col("p_size"), "%"), N.math_symbols), "SELECT p_partkey, p_size || ' divided by 2' || ' equals ' || p_partkey || ' plus x to the power of ' || p_size || ' less than or equal to a*b - 5 minus 3, 8 divided by ' || p_size || '; a/b/c **bold** ' || p_size || ' percent' AS t FROM part")
+add("n13_operators_parts", over("part", "p_partkey", lambda: text_of(F.col("p_size"), "*3 a => b, x == y; z:=", F.col("p_partkey"), "  5-3 -EV (-1) well-known 1/2/2024 ", F.col("p_size"), " / 7 a < b > c <= d ≥ 2±1 50 %"), N.math_symbols), "SELECT p_partkey, p_size || ' times 3 a arrow b, x equals equals y; z gets ' || p_partkey || ' 5 minus 3 minus EV ( minus 1) well-known 1/2 divided by 2024 ' || p_size || ' divided by 7 a less than b greater than c less than or equal to d greater than or equal to 2 plus or minus 1 50 percent' AS t FROM part")
 add("n14_money_orders", over("orders", "o_orderkey", lambda: text_of("$", F.format_number(F.round(F.col("o_totalprice") * 100).cast("long") / 100, 2), " or €", F.col("o_custkey"), ", ", F.col("o_orderkey") % 200, "¢"), N.money_time), f"WITH {NUMBERS}, x AS (SELECT o_orderkey, o_custkey, {CENTS_SQL} AS c FROM orders) SELECT o_orderkey, {counted('c // 100', 'dollar', 'dollars')} || CASE WHEN c % 100 > 0 THEN ' ' || {counted('c % 100', 'cent', 'cents')} ELSE '' END || ' or ' || {counted('o_custkey', 'euro', 'euros')} || ', ' || {counted('o_orderkey % 200', 'cent', 'cents')} AS t FROM x, lists")
 add("n14_times_events", lambda s, d: G.read(s, d, "events").select("event_id", N.money_time(text_of("at ", F.date_format("ts", "H:mm"), ".")).alias("t")), f"WITH {NUMBERS} SELECT event_id, 'at ' || {cardinal('hour(ts)')} || CASE WHEN minute(ts) = 0 THEN '' WHEN minute(ts) < 10 THEN ' oh ' || {cardinal('minute(ts)')} ELSE ' ' || {cardinal('minute(ts)')} END || '.' AS t FROM events, lists")
 add("n15_units_parts", over("part", "p_partkey", lambda: text_of(F.col("p_size"), " kg, ", F.col("p_partkey") % 3, "ft, ", F.col("p_size"), ".5 km/h, 1990s"), N.units), f"WITH {NUMBERS} SELECT p_partkey, {counted('p_size', 'kilogram', 'kilograms')} || ', ' || {counted('p_partkey % 3', 'foot', 'feet')} || ', ' || {cardinal('p_size')} || ' point five kilometers per hour, 1990s' AS t FROM part, lists")
@@ -144,16 +148,16 @@ add("t12_snippets", lambda s, d: T.progress_eta(books(s, d).select("doc_id", F.l
 add("s11_chapter_names", lambda s, d: S.chapter_names(merged(s, d), "book").select("doc_id", "chapter_idx", "total", "name"), f"WITH {_RUNS} SELECT doc_id, chapter_idx, count(*) OVER (PARTITION BY doc_id) AS total, 'book_' || lpad(CAST(chapter_idx + 1 AS VARCHAR), CAST(greatest(3, len(CAST(count(*) OVER (PARTITION BY doc_id) AS VARCHAR))) AS INT), '0') AS name FROM merged")
 
 
-# score pairs: the first words of a turn, some dropped, turned round or joined
+# score pairs: the words of a turn, some dropped, turned round or joined
 def heard(spark: SparkSession, d: str) -> DataFrame:
     """(idx, ref, hyp)"""
-    w = F.slice(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)), lambda x: ~x.rlike("^[ivxlcdm]+$")), 1, 14)
+    w = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)), lambda x: ~x.rlike("^[ivxlcdm]+$"))
     hyp = F.filter(F.transform("w", lambda x, i: F.when(i % 5 == 4, "").when(i % 7 == 3, F.reverse(x)).when(i % 6 == 2, F.concat(x, F.lit("+"))).otherwise(x)), lambda x: x != "")
     rows = G.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), w.alias("w"))
     return rows.select("idx", F.array_join("w", " ").alias("ref"), F.regexp_replace(F.array_join(hyp, " "), r"\+ ?", "").alias("hyp"))
 
 
-_HEARD = r"""words AS (SELECT conv_id * 1000 + turn AS idx, coalesce(list_filter(regexp_extract_all(lower(text), '[a-z]{4,}'), lambda x: NOT regexp_matches(x, '^[ivxlcdm]+$'))[1:14], []) AS r FROM conversations),
+_HEARD = r"""words AS (SELECT conv_id * 1000 + turn AS idx, coalesce(list_filter(regexp_extract_all(lower(text), '[a-z]{4,}'), lambda x: NOT regexp_matches(x, '^[ivxlcdm]+$')), []) AS r FROM conversations),
 heard AS (SELECT idx, r, regexp_replace(array_to_string(list_filter(list_transform(r, lambda x, i: CASE WHEN i % 5 = 0 THEN '' WHEN (i - 1) % 7 = 3 THEN reverse(x) WHEN (i - 1) % 6 = 2 THEN x || '+' ELSE x END), lambda x: x <> ''), ' '), '\+ ?', '', 'g') AS hyp FROM words),
 pairs AS (SELECT idx, r, CASE WHEN hyp = '' THEN [] ELSE string_split(hyp, ' ') END AS h FROM heard)"""
 
@@ -228,18 +232,18 @@ def _total(c: str) -> Column:
 add("u01_scaled_durations", lambda s, d: G.durations(s, d).select("utt_id", "tok_idx", U.scale_durations(F.col("n_frames"), 1.25).alias("n")), "SELECT l_orderkey AS utt_id, l_linenumber AS tok_idx, CAST(greatest(1, round(CAST(l_quantity AS INT) / 1.25::DOUBLE)) AS INT) AS n FROM lineitem")
 add("u05_soft_normalize", lambda s, d: loud(s, d).select("vec_id", U.soft_normalize(F.col("x")).alias("s")).select("vec_id", F.round("s.scale", 9).alias("scale"), F.round(F.array_max(F.transform("s.samples", F.abs)), 9).alias("peak"), F.transform("s.samples", lambda x: F.round(x, 9)).alias("samples")).select("vec_id", "scale", "peak", _total("samples").alias("total")), f"WITH {_LOUD} SELECT vec_id, round(scale, 9) AS scale, round(list_max(list_transform(x, lambda y: abs(y))), 9) AS peak, round(list_sum(x), 4) AS total FROM soft")
 add("u06_quantized", lambda s, d: loud(s, d).select("vec_id", F.posexplode(U.quantize_pcm16(F.col("x"))).alias("i", "v")), f"WITH v AS (SELECT vec_id, {_V} AS x FROM embeddings) SELECT vec_id, CAST(i - 1 AS INT) AS i, CAST(trunc(greatest(-1.0, least(1.0, x[i])) * 32767) AS INT) AS v FROM (SELECT vec_id, x, unnest(range(1, len(x) + 1)) AS i FROM v)")
-_AT = "((i - 1) * 1.5::DOUBLE)"
 
 
 def resampled(floor: bool) -> tuple[Callable[[SparkSession, str], DataFrame], str]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        x = F.slice("embedding", 1, F.col("vec_id").cast("int") % 7 + 1)
+        x = F.col("embedding")
         out = U.resample_24k_16k(F.col("x")) if floor else U.resample_linear(F.col("x"), 24_000, 16_000)
         return G.read(spark, d, "embeddings").select("vec_id", x.alias("x")).select("vec_id", F.posexplode(out).alias("i", "v")).select("vec_id", "i", F.round(F.col("v").cast("double"), 4).alias("v"))
 
+    at = "((i - 1) * (len(x) / floor(len(x) * 2 / 3.0::DOUBLE)))" if floor else "((i - 1) * 1.5::DOUBLE)"
     m = "CASE WHEN len(x) < 2 THEN 0 ELSE CAST(floor(len(x) * 2 / 3.0::DOUBLE) AS INT) END" if floor else "CAST(round(len(x) * 2 / 3.0::DOUBLE) AS INT)"
-    sql = f"""WITH v AS (SELECT vec_id, embedding[1:1 + vec_id % 7] AS x FROM embeddings), n AS (SELECT vec_id, x, unnest(range(1, 1 + {m})) AS i FROM v), k AS (SELECT *, least(CAST(floor({_AT}) AS INT), len(x) - 1) AS k FROM n)
-SELECT vec_id, CAST(i - 1 AS INT) AS i, round(CAST(CAST(x[k + 1] + (x[least(k + 2, len(x))] - x[k + 1]) * ({_AT} - k) AS FLOAT) AS DOUBLE), 4) AS v FROM k"""
+    sql = f"""WITH v AS (SELECT vec_id, embedding AS x FROM embeddings), n AS (SELECT vec_id, x, unnest(range(1, 1 + {m})) AS i FROM v), k AS (SELECT *, least(CAST(floor({at}) AS INT), len(x) - 1) AS k FROM n)
+SELECT vec_id, CAST(i - 1 AS INT) AS i, round(CAST(CAST(x[k + 1] + (x[least(k + 2, len(x))] - x[k + 1]) * ({at} - k) AS FLOAT) AS DOUBLE), 4) + 0.0 AS v FROM k"""
     return run, sql
 
 

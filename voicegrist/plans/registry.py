@@ -13,6 +13,7 @@ from ..operators import structure as T
 from ..operators import timeline as U
 from ..operators import tokens as K
 from ..sources import corpus as S
+from ..sources.shared import stored
 from ..streaming import requests as R
 
 
@@ -35,9 +36,14 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     return K.word_index(sents(spark, d))
 
 
-def lexicons(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def word_counts(spark: SparkSession, d: str) -> DataFrame:
+    """(word, n) by exact spelling: written once, so that lexicons and types need no text again."""
+    return stored(words(spark, d).groupBy("word").agg(F.count("*").alias("n")), "words")
+
+
+def lexicons(spark: SparkSession, d: str, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Gold: words of 50 or more uses; phones: of 10 to 49, a phone for each letter of the ASCII alphabet."""
-    f = K.word_frequencies(words(spark, d))
+    f = (counts if counts is not None else word_counts(spark, d)).groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n"))
     gold = f.where("n >= 50").select("word", F.translate("word", "aeiou", "ɑɛɪoʊ").alias("ipa"))
     letter = lambda c: F.when(c.rlike("[aeiou]"), F.concat(F.upper(F.element_at(F.create_map(*[F.lit(x) for kv in {"a": "aa", "e": "eh", "i": "ih", "o": "ow", "u": "uw"}.items() for x in kv]), c)), F.lit("1"))).otherwise(F.upper(c))
     phones = f.where("n between 10 and 49 and word rlike '^[abdefgiklmnoprstuvwz]+$'").select("word", F.transform(F.split("word", ""), letter).alias("phones"))
@@ -76,8 +82,8 @@ def spoken(spark: SparkSession, d: str) -> DataFrame:
 
 
 def types(spark: SparkSession, d: str) -> DataFrame:
-    gold, phones = lexicons(spark, d)
-    return P.resolve_words(words(spark, d).select("word"), gold, phones)
+    counts = word_counts(spark, d)
+    return P.resolve_words(counts, *lexicons(spark, d, counts))
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -180,6 +186,7 @@ QUERIES = {
     "n20_normalize_orders": normalized_orders,
     "n20_normalize_documents": normalized_sentences,
     "n21_nsw_census": lambda s, d: N.nsw_census(read(s, d, "documents"), "lang", "source"),
+    "n21_nsw_rollup": lambda s, d: N.nsw_rollup(read(s, d, "documents"), "lang", "source"),
     "n22_verbalize_orders": verbalized,
     "k01_tokens": lambda s, d: K.tokenize(sents(s, d)).groupBy("kind", "token").agg(F.count("*").alias("n")),
     "k02_words": lambda s, d: words(s, d).groupBy("doc_id").agg(F.count("*").alias("n_words"), F.max("word_idx").alias("last_idx")),
@@ -250,6 +257,7 @@ ORACLES = {
     "t10_slice": f"WITH {_SENTS} SELECT doc_id, sent_idx, text FROM sents WHERE sent_idx BETWEEN 2 AND 4",
     "t12_progress": "WITH x AS (SELECT o_custkey AS doc_id, o_orderkey AS chunk_idx, count(*) OVER r AS done, count(*) OVER (PARTITION BY o_custkey) AS total, avg(o_totalprice / 1e6::DOUBLE) OVER r AS a FROM orders WINDOW r AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)) SELECT doc_id, chunk_idx, done, total, round(a * (total - done), 3) AS eta FROM x",
     "n21_nsw_census": r"SELECT lang, source, " + ", ".join(f"CAST(coalesce(sum(len(regexp_extract_all(text, '{p}'))), 0) AS BIGINT) AS n_{k}" for k, p in N.CENSUS.items()) + " FROM documents GROUP BY ALL",
+    "n21_nsw_rollup": "SELECT lang, source, GROUPING(lang, source) AS level, count(*) AS docs, " + ", ".join(f"CAST(coalesce(sum(len(regexp_extract_all(text, '{p}'))), 0) AS BIGINT) AS n_{k}" for k, p in N.CENSUS.items()) + " FROM documents GROUP BY ROLLUP(lang, source)",
     "n22_verbalize_orders": f"""
 WITH h AS (SELECT i, CASE WHEN i % 100 = 0 THEN '' WHEN i % 100 < 20 THEN {_NUM}[1 + i % 100] ELSE {_TEN}[i % 100 // 10 - 1] || CASE WHEN i % 10 > 0 THEN ' ' || {_NUM}[1 + i % 10] ELSE '' END END AS two FROM range(1000) t(i)),
 w AS (SELECT i, trim(CASE WHEN i >= 100 THEN {_NUM}[1 + i // 100] || ' hundred ' ELSE '' END || two) AS s FROM h)
