@@ -324,3 +324,49 @@ ORACLES |= {
     "n03_greek_documents": ruled(_greek_sql()),
     "n04_super_sub_documents": ruled("translate(regexp_replace(text, '([⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉])', ' \\1 ', 'g'), '⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉', '01234567890123456789')"),
 }
+
+
+# homographs: each in three sentences, of which every rule holds in one and not in another
+_FRAMES = (("They will ", " it."), ("My ", " is here."), ("Last guitar ", " line ago."))
+
+
+def homograph_sentences(spark: SparkSession, d: str) -> DataFrame:
+    pick = lambda xs, i: F.element_at(F.array(*map(F.lit, xs)), (i + 1).cast("int"))
+    key, n = F.col("o_orderkey"), len(P.HOMOGRAPHS)
+    frame = F.floor(key / n) % len(_FRAMES)
+    text = F.concat(pick([a for a, _ in _FRAMES], frame), pick(list(P.HOMOGRAPHS), key % n), pick([b for _, b in _FRAMES], frame))
+    return G.read(spark, d, "orders").select(key.alias("doc_id"), F.lit(0).alias("sent_idx"), text.alias("text"))
+
+
+# The truth of each rule by sentence is worked out by hand from the words around the homograph; sounds are written from the phones.
+_TRUTH = {"past": (0, 0, 1), "noun": (0, 1, 0), "verb": (1, 0, 0), "verb_past": (1, 0, 1), "music": (0, 0, 1), "verb_later": (1, 0, 0), "noun_adj": (0, 1, 0), "noun_copula": (0, 1, 0), "noun_later": (0, 1, 0)}
+_SENSES = ", ".join(f"({i}, {f}, '{w}', '{yes if _TRUTH[rule][f] else no}')" for i, (w, (rule, yes, no)) in enumerate(P.HOMOGRAPHS.items()) for f in range(3))
+_SOUNDS = "CASE p WHEN 'ER0' THEN 'əɹ' WHEN 'AH0' THEN 'ə' WHEN 'AH1' THEN 'ˈʌ' WHEN 'AH2' THEN 'ˌʌ' WHEN 'ER1' THEN 'ˈɜɹ' ELSE CASE right(p, 1) WHEN '1' THEN 'ˈ' WHEN '2' THEN 'ˌ' ELSE '' END || CASE regexp_replace(p, '[0-9]', '') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (P.VOWELS | P.CONSONANTS).items()) + " END END"
+add(
+    "p02_homographs",
+    lambda s, d: P.homograph_senses(homograph_sentences(s, d)),
+    f"""
+WITH senses AS (SELECT i, frame, word, string_split(phones, ' ') AS ps FROM (VALUES {_SENSES}) t(i, frame, word, phones)),
+said AS (SELECT i, frame, word, array_to_string(list_transform(ps, lambda p: {_SOUNDS}), '') AS ipa FROM senses)
+SELECT o_orderkey AS doc_id, CAST(0 AS INT) AS sent_idx, CAST(CASE frame WHEN 1 THEN 1 ELSE 2 END AS INT) AS word_idx, word, ipa AS sense_ipa
+FROM orders JOIN said ON i = o_orderkey % {len(P.HOMOGRAPHS)} AND frame = o_orderkey // {len(P.HOMOGRAPHS)} % 3""",
+)
+
+
+# parts of parts: a possessive, and one joined by a hyphen to a word, of words that the lexicon has
+def compounds_of_known(spark: SparkSession, d: str) -> DataFrame:
+    counts = G.word_counts(spark, d)
+    gold, phones = G.lexicons(spark, d, counts)
+    w = gold.where("word rlike '^[a-z]{3,}$' and word not in ('http', 'https')").select("word")
+    types = w.select(F.explode(F.array(F.concat("word", F.lit("'s-"), "word"), F.concat(F.col("word"), F.lit("'s")), F.concat(F.lit("q"), "word", F.initcap("word"), F.lit("'s")))).alias("word"))
+    answers = P.resolve_words(types, gold, phones)
+    return answers.where("word rlike \"^[^q'A-Z][^'A-Z]*'s(-.*)?$\"")
+
+
+add(
+    "p09_p10_parts_of_parts",
+    compounds_of_known,
+    f"""WITH {G._WORDS}, w AS (SELECT word, translate(word, 'aeiou', 'ɑɛɪoʊ') AS ipa FROM gold WHERE regexp_matches(word, '^[a-z]{{3,}}$') AND word NOT IN ('http', 'https')),
+p AS (SELECT word, ipa, ipa || CASE WHEN right(word, 1) IN ('s', 'z') THEN 'ɪz' WHEN right(word, 1) IN ('p', 't', 'k', 'f') THEN 's' ELSE 'z' END AS own FROM w WHERE word || '''s' NOT IN (SELECT word FROM freq WHERE n >= 10))
+SELECT word || '''s' AS word, own AS ipa, 'possessive' AS tier FROM p UNION ALL SELECT word || '''s-' || word, own || ipa, 'hyphenated' FROM p""",
+)
