@@ -358,9 +358,10 @@ def compounds_of_known(spark: SparkSession, d: str) -> DataFrame:
     counts = G.word_counts(spark, d)
     gold, phones = G.lexicons(spark, d, counts)
     w = gold.where("word rlike '^[a-z]{3,}$' and word not in ('http', 'https')").select("word")
-    types = w.select(F.explode(F.array(F.concat("word", F.lit("'s-"), "word"), F.concat(F.col("word"), F.lit("'s")), F.concat(F.lit("q"), "word", F.initcap("word"), F.lit("'s")))).alias("word"))
-    answers = P.resolve_words(types, gold, phones)
-    return answers.where("word rlike \"^[^q'A-Z][^'A-Z]*'s(-.*)?$\"")
+    types = w.select(F.explode(F.array(F.concat("word", F.lit("'s-"), "word"), F.concat(F.col("word"), F.lit("'s")))).alias("word"))
+    # but for those whose possessive is a word of the lexicons
+    known = counts.groupBy(F.lower("word").alias("k")).agg(F.sum("n").alias("n")).where("n >= 10")
+    return P.resolve_words(types.join(known, F.substring_index("word", "-", 1) == F.col("k"), "left_anti"), gold, phones)
 
 
 add(
