@@ -42,6 +42,8 @@ BEGIN, END, NUL = 32, 10, 9  # code points that no word holds
 MOST_KEYS, CHUNK = 1 << 20, 1 << 18
 #: Rows of a model that is sent to all tasks: 16 bytes each.
 MOST_ENTRIES = 1 << 21
+#: With at most so many languages their tables of a few numbers each are broadcast.
+MOST_LANGUAGES = 100_000
 #: Texts of a block (on average) where the model is larger.
 BLOCK_TEXTS = 20_000
 MIN_WORDS, WINDOW, REPEATED_PERCENT = 20, 8, 30
@@ -165,7 +167,8 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     raw = [F.when((t[i] > 0) & (t[i + 1] > 0), (i + 1) - (i + 2) * y * F.try_divide(t[i + 1], t[i])) for i in range(3)]
     # where too few n-grams are seen to tell, the usual values
     discounts = grams.groupBy("lang", "size").agg(*ones).select("lang", "size", *[F.coalesce(F.when((d > 0) & (d < i + 1), d), F.lit((i + 1) / 2)).alias(f"d{i + 1}") for i, d in enumerate(raw)])
-    known = grams.join(discounts, ["lang", "size"])
+    discounts = stored(discounts, "discounts")
+    known = grams.join(F.broadcast(discounts) if discounts.count() <= MOST_LANGUAGES * ORDER else discounts, ["lang", "size"])
     d = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
     known = stored(known.select("lang", "key", "size", "a", d.alias("d"), F.shiftright("key", BITS).alias("context")), "ngrams")
     # sums of three discounts, each times a number of n-grams: the same in any order
@@ -333,7 +336,7 @@ def quality(docs: DataFrame, fence: float = FENCE, most_entries: int = MOST_ENTR
     quartiles = scored.where(~F.col("base_failed")).groupBy("lang").agg(q.alias("q"))
     reach = fence * (F.col("q")[1] - F.col("q")[0]) + SLACK
     bands = quartiles.select("lang", (F.col("q")[0] - reach).alias("least"), (F.col("q")[1] + reach).alias("most"))
-    if bands.count() <= 100_000:  # a checked bound on languages
+    if bands.count() <= MOST_LANGUAGES:
         bands = F.broadcast(bands)
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("least"), F.col("most")), F.lit(False))
     return scored.join(bands, "lang", "left").select("doc_id", *MEASURES, "base_failed", kept.alias("kept"), F.exp("log_perplexity").alias("perplexity"), F.exp("least").alias("least"), F.exp("most").alias("most"))
