@@ -1,26 +1,26 @@
-"""Substring duplicates by counting fingerprints of 35-word windows, in place of a relative Lempel-Ziv parse.
+"""Substring duplicates by relative Lempel-Ziv parsing against blocks of the whole corpus.
 
-A parse looks for the longest factor in one reference; what is asked for is whether each window occurs again anywhere, and a
-longest factor gives no more than the chain of its windows. So windows are counted, and factors are merged from them afterwards.
+The corpus is its own reference, cut into blocks that can be searched alone. Every window of N = 35 words is
+owned by its minimizer, the first smallest hash among its 28 runs of 8 words; the windows that one occurrence of a
+minimizer owns, with all their words, are a phrase (at most 28 windows, 62 words). Equal windows always have equal
+minimizers at equal places, so hash partitions of minimizers are reference blocks: each stretch of a document is
+factored against every block that can hold a match of 35 words, and against no other.
 
-The whole corpus is the reference. Its index holds phrases: every window of N = 35 words is
-owned by its minimizer, the first smallest hash among its 28 runs of 8 words, and the windows
-that one occurrence of a minimizer owns, with all their words, are a phrase. Equal windows always
-have equal minimizers at equal places, so a window can only recur among the phrases of its own
-minimizer: hash partitions of minimizers are the reference blocks, and a document is compared
-with every block that could hold a match.
-
-1. Minimizers are counted (with map-side sums). Those that occur once end here. The recurring ones,
-   and among them those with unlike phrases, make two one-hash Bloom filters of fixed size, which
-   only sift: an unneeded row costs time, not correctness.
+1. Minimizers are counted (with map-side sums). Those that occur once end here. The recurring ones, those with unlike
+   phrases and those with more than CROWD occurrences make three one-hash Bloom filters of fixed size, which only sift:
+   an unneeded row costs time, not correctness.
 2. Documents are read again and emit the phrases of recurring minimizers, those with unlike phrases with
-   the hashes of their windows.
-3. A phrase that recurs is a whole factor. At the boundaries of a longer match the phrases differ in part, so
-   their windows are checked one by one against the windows of the minimizer's other phrases.
-4. In each document recurring windows are merged, left to right, into factors: their maximal chains. The words
-   of factors are removed, all others stay.
-
-A window recurs when its minimizer's 64-bit hash and its own 64-bit hash both do.
+   the hashes of their windows. Equal phrases are counted before the shuffle: the reference holds each once.
+3. A phrase that recurs is a whole factor. The others are parsed: a block sorts all suffixes of its phrases, at most
+   MOST_WINDOWS windows long, and the longest match of a suffix is with one of its neighbours in that order. The
+   parse goes greedily from left to right: a match of at least one window is a factor, and the next factor starts
+   at the first window that crosses its end, so the windows over a boundary of factors are checked too; where no window
+   matches it moves on by one word.
+4. Phrases of a crowded minimizer (a phrase that a third of all documents may hold, each between other words) fit in no
+   block. Their windows are counted one by one over all tasks, with map-side sums: the exact way for the rest.
+5. In each document factors that overlap or touch at a boundary are joined. The words of factors are removed.
+
+A window recurs when its 64-bit hash does, among windows of its minimizer's hash.
 
 Defined results: null or wordless texts have no words, and the hash of the empty string; repeated rows are
 occurrences of each other, so of texts of 35 words or more all copies are removed whole; shorter texts are kept.
@@ -39,7 +39,12 @@ from pyspark.sql import functions as F
 from .common import WordHash, bit_filter, collected_filter, gram_hashes, in_filter, map_arrow, minima, mixed, prefix_sums, row_key, run_hashes, signed, stored, table, words_of
 
 N, K = 35, 8
+#: Windows that one occurrence of a minimizer can own.
+MOST_WINDOWS = N - K + 1
 FILTER_BITS = 1 << 26
+#: Occurrences of a minimizer up to which its phrases are parsed in one block; phrases of a block, about.
+CROWD, BLOCK = 1024, 4096
+FACTORS = "array<struct<o: int, n: int>>"
 
 
 class Phrases:
@@ -73,16 +78,16 @@ def _minimizers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate(a))), pa.array(signed(np.concatenate(u)))], ["a", "u"])
 
 
-def phrases(docs: DataFrame, recurring: np.ndarray, unlike: np.ndarray) -> DataFrame:
-    """(doc_id, text_key, a, u, s0, n, wins) of the minimizers that pass the filters."""
+def phrases(docs: DataFrame, recurring: np.ndarray, unlike: np.ndarray, crowded: np.ndarray) -> DataFrame:
+    """(doc_id, text_key, a, u, s0, n, wins, crowded) of the minimizers that pass the filters."""
     sc = docs.sparkSession.sparkContext
-    both = sc.broadcast((recurring, unlike))
+    filters = sc.broadcast((recurring, unlike, crowded))
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        rec, mix = both.value
+        rec, mix, crowd = filters.value
         for b in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             of, wins = [], []
             for i, text in enumerate(b.column(1).to_pylist()):
                 words = words_of(text)
@@ -96,23 +101,62 @@ def phrases(docs: DataFrame, recurring: np.ndarray, unlike: np.ndarray) -> DataF
                 mixed_here = in_filter(mix, p.a[keep], FILTER_BITS)
                 if mixed_here.any():
                     w = signed(gram_hashes(p.words, N))
-                for col, x in zip(rows, (signed(p.a[keep]), signed(p.u[keep]), p.s0[keep], (p.s1 - p.s0 + 1)[keep]), strict=True):
+                for col, x in zip(rows, (signed(p.a[keep]), signed(p.u[keep]), p.s0[keep], (p.s1 - p.s0 + 1)[keep], in_filter(crowd, p.a[keep], FILTER_BITS)), strict=True):
                     col.append(x)
                 of.append(np.full(len(keep), i))
                 wins += [w[p.s0[j] : p.s1[j] + 1] if m else None for j, m in zip(keep, mixed_here, strict=True)]
             if of:
                 at = pa.array(np.concatenate(of))
-                a, u, s0, n = (np.concatenate(c) for c in rows)
+                a, u, s0, n, many = (np.concatenate(c) for c in rows)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(2).take(at), pa.array(a), pa.array(u), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(wins, pa.list_(pa.int64()))],
-                    ["doc_id", "text_key", "a", "u", "s0", "n", "wins"],
+                    [b.column(0).take(at), b.column(2).take(at), pa.array(a), pa.array(u), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(wins, pa.list_(pa.int64())), pa.array(many)],
+                    ["doc_id", "text_key", "a", "u", "s0", "n", "wins", "crowded"],
                 )
 
-    return map_arrow(docs.select("doc_id", "text", row_key().alias("text_key")), emit, "doc_id long, text_key long, a long, u long, s0 int, n int, wins array<long>")
+    return map_arrow(docs.select("doc_id", "text", row_key().alias("text_key")), emit, "doc_id long, text_key long, a long, u long, s0 int, n int, wins array<long>, crowded boolean")
+
+
+def longest_matches(windows: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """For each place the most windows, of the ``left`` ones up to its phrase's end, that match those from another place on.
+
+    Suffixes are sorted, so that the longest match of each is with the one before or after it.
+    """
+    j = np.arange(MOST_WINDOWS)
+    at = np.minimum(np.arange(len(windows))[:, None] + j, len(windows) - 1)
+    suffixes = np.where(j < left[:, None], windows[at], 0)
+    order = np.lexsort(suffixes.T[::-1])
+    same = np.logical_and.accumulate(suffixes[order[1:]] == suffixes[order[:-1]], axis=1).sum(axis=1)
+    longest = np.zeros(len(windows), np.int64)
+    longest[order[1:]] = same
+    longest[order[:-1]] = np.maximum(longest[order[:-1]], same)
+    return np.minimum(longest, left)
+
+
+def parse(longest: list[int]) -> list[tuple[int, int]]:
+    """Greedy factors (first window, windows) of one phrase; each next one starts at the first window that crosses the end of the one before."""
+    out, p = [], 0
+    while p < len(longest):
+        if longest[p]:
+            out.append((p, longest[p]))
+        p += max(longest[p], 1)
+    return out
+
+
+def _parse_block(block: pa.Table) -> pa.Table:
+    """The factors of each phrase of a block against all phrases of the block."""
+    block = block.combine_chunks()
+    n = np.diff(block.column("wins").combine_chunks().offsets.to_numpy())
+    windows = block.column("wins").combine_chunks().flatten().to_numpy()
+    ends = np.cumsum(n)
+    longest = longest_matches(windows, np.repeat(ends, n) - np.arange(len(windows))).tolist()
+    again = block.column("c").to_numpy() > 1
+    found = [[(0, int(k))] if whole else parse(longest[e - k : e]) for k, e, whole in zip(n, ends, again, strict=True)]
+    of = pa.array([[{"o": o, "n": m} for o, m in f] for f in found], pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32())])))
+    return pa.table({"a": block.column("a"), "u": block.column("u"), "factors": of}).filter(pa.array([bool(f) for f in found]))
 
 
 def factors(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(first word, end) of maximal chains of recurring windows, from (first window, windows)."""
+    """(first word, end) of maximal chains of factors, from their (first window, windows)."""
     out: list[tuple[int, int]] = []
     for s, n in sorted(spans):
         end = s + n - 1 + N
@@ -144,26 +188,36 @@ def _cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def recurring_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans): runs of n recurring windows from window s, for documents that have any."""
+def recurring_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(doc_id, text_key, spans): factors of n recurring windows from window s, for documents that have any."""
     counted = map_arrow(docs.select("text"), _minimizers, "a long, u long")
-    index = counted.groupBy("a").agg(F.count("*").alias("c"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("c > 1").select("a", (F.col("u0") != F.col("u1")).alias("unlike"))
+    index = counted.groupBy("a").agg(F.count("*").alias("c"), F.min("u").alias("u0"), F.max("u").alias("u1")).where("c > 1").select("a", (F.col("u0") != F.col("u1")).alias("unlike"), (F.col("c") > crowd).alias("crowded"))
     index = stored(index, "minimizers")
-    recurring = collected_filter(bit_filter(index, "a", FILTER_BITS), FILTER_BITS)
-    unlike = collected_filter(bit_filter(index.where("unlike"), "a", FILTER_BITS), FILTER_BITS)
-    found = stored(phrases(docs, recurring, unlike), "phrases")
-    reference = found.groupBy("a", "u").agg(F.count("*").alias("c"), F.first("wins").alias("wins"), F.first("n").alias("n"))
+    sifts = [collected_filter(bit_filter(index.where(which), "a", FILTER_BITS), FILTER_BITS) for which in ("true", "unlike", "unlike and crowded")]
+    found = stored(phrases(docs, *sifts), "phrases")
+    reference = found.groupBy("a", "u").agg(F.count("*").alias("c"), F.first("wins").alias("wins"), F.first("crowded").alias("crowded"))
     reference = stored(reference.where("c > 1 or wins is not null"), "reference")
-    windows = reference.where("wins is not null").select("a", "u", "c", F.posexplode("wins").alias("o", "w"))
-    again = windows.groupBy("a", "w").agg(F.sum("c").alias("times")).where("times > 1").select("a", "w")
-    partly = windows.where("c = 1").join(again, ["a", "w"]).groupBy("a", "u").agg(F.collect_list("o").alias("offsets"))
-    whole = reference.where("c > 1").select("a", "u", F.lit(None).cast("array<int>").alias("offsets"))
-    known = partly.unionByName(whole)
-    hits = found.select("doc_id", "text_key", "a", "u", "s0", "n").join(known, ["a", "u"])
-    spans = F.when(F.col("offsets").isNull(), F.array(F.struct(F.col("s0").alias("s"), F.col("n").alias("n")))).otherwise(F.transform("offsets", lambda o: F.struct((F.col("s0") + o).alias("s"), F.lit(1).alias("n"))))
+    known = parsed(reference.where("wins is not null and not crowded")).unionByName(counted_windows(reference.where("wins is not null and crowded")))
+    whole = reference.where("c > 1 and (wins is null or crowded)").select("a", "u", F.lit(None).cast(FACTORS).alias("factors"))
+    hits = found.select("doc_id", "text_key", "a", "u", "s0", "n").join(known.unionByName(whole), ["a", "u"])
+    spans = F.when(F.col("factors").isNull(), F.array(F.struct(F.col("s0").alias("s"), F.col("n").alias("n")))).otherwise(F.transform("factors", lambda f: F.struct((F.col("s0") + f["o"]).alias("s"), f["n"].alias("n"))))
     return hits.select("doc_id", "text_key", spans.alias("spans")).groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
+def parsed(reference: DataFrame) -> DataFrame:
+    """(a, u, factors) of phrases that have any, parsed in blocks of about BLOCK phrases."""
+    blocks = max(1, -(-reference.count() // BLOCK))
+    dealt = reference.select("a", "u", "c", "wins", F.pmod(F.xxhash64("a"), F.lit(blocks)).alias("block"))
+    return dealt.groupBy("block").applyInArrow(_parse_block, f"a long, u long, factors {FACTORS}")
+
+
+def counted_windows(reference: DataFrame) -> DataFrame:
+    """(a, u, factors) of the phrases of crowded minimizers that occur once: their windows that occur again."""
+    windows = reference.select("a", "u", "c", F.posexplode("wins").alias("o", "w"))
+    again = windows.groupBy("a", "w").agg(F.sum("c").alias("times")).where("times > 1").select("a", "w")
+    return windows.where("c = 1").join(again, ["a", "w"]).groupBy("a", "u").agg(F.collect_list(F.struct(F.col("o"), F.lit(1).alias("n"))).alias("factors"))
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, factors) for every row of docs(doc_id, text)."""
     spans = stored(recurring_spans(docs).select(F.col("doc_id").alias("id"), F.col("text_key").alias("tk"), "spans"), "spans")
