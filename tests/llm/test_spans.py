@@ -107,3 +107,42 @@ def test_linked_spans(spark):
     assert sum(":" in w and any(k in w for k in ("secret", "id:", "endpoint")) for w in want.values()) > 100
     bad = [(i, got[i], want[i]) for i in want if got[i] != want[i]]
     assert not bad, (len(bad), bad[0], texts[bad[0][0]])
+
+
+def plain_em(patterns):
+    """Prior and accuracies from counts of vote patterns, by textbook steps: each vote is right with its labeler's accuracy."""
+    prior, right = 0.5, [0.75] * len(pii.LABELERS)
+    for _ in range(pii.ROUNDS):
+        real = []
+        for votes, _ in patterns:
+            yes, no = prior, 1 - prior
+            for v, a in zip(votes, right, strict=True):
+                yes *= a if v > 0 else 1 - a if v < 0 else 1
+                no *= 1 - a if v > 0 else a if v < 0 else 1
+            real.append(yes / (yes + no))
+        total = sum(n for _, n in patterns)
+        prior = min(0.98, max(0.02, (1 + sum(n * r for (_, n), r in zip(patterns, real, strict=True))) / (2 + total)))
+        for j in range(len(right)):
+            good = sum(n * (r if v[j] > 0 else 1 - r) for (v, n), r in zip(patterns, real, strict=True) if v[j])
+            cast = sum(n for v, n in patterns if v[j])
+            right[j] = min(0.98, max(0.51, (7.5 + good) / (10 + cast)))
+    return prior, right
+
+
+def test_expectation_maximisation(spark):
+    r = random.Random(23)
+    truth = {"email": (0.7, [0.95, 0.6, 0.8, 0.9, 0.55]), "phone": (0.2, [0.8] * 5)}
+    rows = {}
+    for kind, (prior, right) in truth.items():
+        for _ in range(20_000):
+            y = 1 if r.random() < prior else -1
+            votes = tuple(0 if r.random() < 0.3 else y if r.random() < right[j % len(right)] else -y for j in range(len(pii.LABELERS)))
+            rows[kind, votes] = rows.get((kind, votes), 0) + 1
+    rows["ip", (0,) * len(pii.LABELERS)] = 3  # all abstain
+    patterns = spark.createDataFrame([(k, "/".join(map(str, v)), n) for (k, v), n in rows.items()], "kind string, votes string, n long")
+    got = {g.kind: g for g in pii.reliabilities(patterns).collect()}
+    assert got.keys() == {"email", "phone", "ip"}
+    for kind, g in got.items():
+        prior, right = plain_em([(v, n) for (k, v), n in rows.items() if k == kind])
+        assert g.prior == pytest.approx(prior, abs=1e-6) and list(g.accuracy) == pytest.approx(right, abs=1e-6), kind
+    assert got["email"].prior == pytest.approx(0.7, abs=0.05) and max(abs(a - b) for a, b in zip(got["email"].accuracy, truth["email"][1])) < 0.06
