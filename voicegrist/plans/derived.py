@@ -194,16 +194,16 @@ add("p06_lexicon_tiers", lambda s, d: G.types(s, d).where("tier in ('emphasis',
 
 
 def known_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, sent_idx, text): the first eight gold words of four letters or more of each document as a sentence."""
+    """(doc_id, sent_idx, text): all gold words of four letters or more of each document as a sentence."""
     gold = G.lexicons(spark, d)[0]
     w = G.words(spark, d).select("doc_id", "sent_idx", "word_idx", F.lower("word").alias("word")).where("length(word) >= 4 and word not rlike '^[ivxlcdm]+$'").join(gold.select("word"), "word", "left_semi")
-    first = w.groupBy("doc_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("sent_idx", "word_idx", "word"))), 1, 8).alias("ws"))
-    return first.select("doc_id", F.lit(0).alias("sent_idx"), F.concat(F.array_join(F.transform("ws", lambda x: x["word"]), ", "), F.lit(" - 7 cats!")).alias("text"))
+    kept = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sent_idx", "word_idx", "word"))).alias("ws"))
+    return kept.select("doc_id", F.lit(0).alias("sent_idx"), F.concat(F.array_join(F.transform("ws", lambda x: x["word"]), ", "), F.lit(" - 7 cats!")).alias("text"))
 
 
 _FIRST = G._SENTS + r""", placed AS (SELECT doc_id, sent_idx, regexp_extract_all(text, '[A-Za-z''’-]+') AS ts FROM sents), w AS (SELECT doc_id, sent_idx, unnest(range(1, len(ts) + 1)) AS i, lower(replace(unnest(ts), '’', '''')) AS word FROM placed)"""
 _KNOWN = f"""{_FIRST}, freq AS (SELECT word, count(*) AS n FROM w GROUP BY 1), gold AS (SELECT word FROM freq WHERE n >= 50),
-kept AS (SELECT doc_id, list(word ORDER BY sent_idx, i)[1:8] AS ws FROM w WHERE len(word) >= 4 AND NOT regexp_matches(word, '^[ivxlcdm]+$') AND word IN (SELECT word FROM gold) GROUP BY 1)"""
+kept AS (SELECT doc_id, list(word ORDER BY sent_idx, i) AS ws FROM w WHERE len(word) >= 4 AND NOT regexp_matches(word, '^[ivxlcdm]+$') AND word IN (SELECT word FROM gold) GROUP BY 1)"""
 
 
 def spoken(spark: SparkSession, d: str) -> DataFrame:
