@@ -43,7 +43,7 @@ N, K = 35, 8
 MOST_WINDOWS = N - K + 1
 FILTER_BITS = 1 << 26
 #: Occurrences of a minimizer up to which its phrases are parsed in one block; phrases of a block, about.
-CROWD, BLOCK = 1024, 4096
+CROWD, BLOCK = 1024, 512
 FACTORS = "array<struct<o: int, n: int>>"
 
 
