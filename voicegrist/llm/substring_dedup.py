@@ -17,7 +17,10 @@ factored against every block that can hold a match of 35 words, and against no o
    at the first window that crosses its end, so the windows over a boundary of factors are checked too; where no window
    matches it moves on by one word.
 4. Phrases of a crowded minimizer (a phrase that a third of all documents may hold, each between other words) fit in no
-   block. Their windows are counted one by one over all tasks, with map-side sums: the exact way for the rest.
+   block. They are cut into pieces of at most PIECE windows, at fixed distances from the minimizer, so that equal windows lie in
+   pieces that agree on the words all windows of such a piece share, their key. Keys and pieces are counted over all tasks,
+   with map-side sums: a piece that recurs is a factor, one whose key occurs once has none, and only of the others the windows
+   are counted one by one, each different piece once. This is exact, at 6 rows and then at most 5 a piece.
 5. In each document factors that overlap or touch at a boundary are joined. The words of factors are removed.
 
 A window recurs when its 64-bit hash does, among windows of its minimizer's hash.
@@ -44,7 +47,10 @@ MOST_WINDOWS = N - K + 1
 FILTER_BITS = 1 << 26
 #: Occurrences of a minimizer up to which its phrases are parsed in one block; phrases of a block, about.
 CROWD, BLOCK = 1024, 512
+#: Windows of a piece of a crowded minimizer's phrase.
+PIECE = 5
 FACTORS = "array<struct<o: int, n: int>>"
+_PIECE = pa.struct([("o", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("part", pa.int64())])
 
 
 class Phrases:
@@ -60,10 +66,26 @@ class Phrases:
         own = at[self.s0]
         self.a = grams[own]
         self.words = h
+        self.own, self.sums = own, prefix_sums(h)
         lengths = self.s1 + N - self.s0
-        u = run_hashes(prefix_sums(h), self.s0, self.s0 + lengths)
+        u = run_hashes(self.sums, self.s0, self.s0 + lengths)
         self.u = mixed(u ^ mixed(((own - self.s0) * 64 + lengths).astype(np.uint64)))
 
+    def pieces(self, at: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The number of pieces of each phrase of ``at``, and of all pieces the first window in the phrase, windows, key and part.
+
+        Piece g has the windows that begin g * PIECE to g * PIECE + PIECE - 1 words before the minimizer."""
+        s0, s1, own = self.s0[at], self.s1[at], self.own[at]
+        low = (own - s1) // PIECE
+        counts = (own - s0) // PIECE - low + 1
+        g = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        s0, s1, own = (np.repeat(x, counts) for x in (s0, s1, own))
+        nearest, farthest = g * PIECE, np.minimum((g + 1) * PIECE, MOST_WINDOWS) - 1
+        first, last = np.maximum(s0, own - farthest), np.minimum(s1, own - nearest)
+        key = mixed(run_hashes(self.sums, own - nearest, own - farthest + N) ^ mixed(g.astype(np.uint64)))
+        part = mixed(run_hashes(self.sums, first, last + N) ^ mixed(((own - first) * 64 + last - first).astype(np.uint64)))
+        return counts, [first - s0, last - first + 1, signed(key), signed(part)]
+
 
 def _minimizers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHash()
@@ -79,7 +101,7 @@ def _minimizers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def phrases(docs: DataFrame, recurring: np.ndarray, unlike: np.ndarray, crowded: np.ndarray) -> DataFrame:
-    """(doc_id, text_key, a, u, s0, n, wins, crowded) of the minimizers that pass the filters."""
+    """(doc_id, text_key, a, u, s0, n, wins, pieces) of the minimizers that pass the filters; wins of unlike, pieces of crowded ones."""
     sc = docs.sparkSession.sparkContext
     filters = sc.broadcast((recurring, unlike, crowded))
 
@@ -89,6 +111,7 @@ def phrases(docs: DataFrame, recurring: np.ndarray, unlike: np.ndarray, crowded:
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
             of, wins = [], []
+            parts: list[list] = [[np.empty(0, np.int64)] for _ in _PIECE]
             for i, text in enumerate(b.column(1).to_pylist()):
                 words = words_of(text)
                 if len(words) < N:
@@ -101,19 +124,27 @@ def phrases(docs: DataFrame, recurring: np.ndarray, unlike: np.ndarray, crowded:
                 mixed_here = in_filter(mix, p.a[keep], FILTER_BITS)
                 if mixed_here.any():
                     w = signed(gram_hashes(p.words, N))
-                for col, x in zip(rows, (signed(p.a[keep]), signed(p.u[keep]), p.s0[keep], (p.s1 - p.s0 + 1)[keep], in_filter(crowd, p.a[keep], FILTER_BITS)), strict=True):
+                many = in_filter(crowd, p.a[keep], FILTER_BITS)
+                counts = np.zeros(len(keep), np.int64)
+                if many.any():
+                    counts[many], found = p.pieces(keep[many])
+                    for col, x in zip(parts, found, strict=True):
+                        col.append(x)
+                for col, x in zip(rows, (signed(p.a[keep]), signed(p.u[keep]), p.s0[keep], (p.s1 - p.s0 + 1)[keep], counts), strict=True):
                     col.append(x)
                 of.append(np.full(len(keep), i))
                 wins += [w[p.s0[j] : p.s1[j] + 1] if m else None for j, m in zip(keep, mixed_here, strict=True)]
             if of:
                 at = pa.array(np.concatenate(of))
-                a, u, s0, n, many = (np.concatenate(c) for c in rows)
+                a, u, s0, n, counts = (np.concatenate(c) for c in rows)
+                flat = pa.StructArray.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(parts, _PIECE, strict=True)], fields=list(_PIECE))
+                pieces = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(at), b.column(2).take(at), pa.array(a), pa.array(u), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(wins, pa.list_(pa.int64())), pa.array(many)],
-                    ["doc_id", "text_key", "a", "u", "s0", "n", "wins", "crowded"],
+                    [b.column(0).take(at), b.column(2).take(at), pa.array(a), pa.array(u), pa.array(s0.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(wins, pa.list_(pa.int64())), pieces],
+                    ["doc_id", "text_key", "a", "u", "s0", "n", "wins", "pieces"],
                 )
 
-    return map_arrow(docs.select("doc_id", "text", row_key().alias("text_key")), emit, "doc_id long, text_key long, a long, u long, s0 int, n int, wins array<long>, crowded boolean")
+    return map_arrow(docs.select("doc_id", "text", row_key().alias("text_key")), emit, "doc_id long, text_key long, a long, u long, s0 int, n int, wins array<long>, pieces array<struct<o: int, n: int, key: long, part: long>>")
 
 
 def longest_matches(windows: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -195,9 +226,9 @@ def recurring_spans(docs: DataFrame, crowd: int = CROWD) -> DataFrame:
     index = stored(index, "minimizers")
     sifts = [collected_filter(bit_filter(index.where(which), "a", FILTER_BITS), FILTER_BITS) for which in ("true", "unlike", "unlike and crowded")]
     found = stored(phrases(docs, *sifts), "phrases")
-    reference = found.groupBy("a", "u").agg(F.count("*").alias("c"), F.first("wins").alias("wins"), F.first("crowded").alias("crowded"))
+    reference = found.groupBy("a", "u").agg(F.count("*").alias("c"), F.first("wins").alias("wins"), F.first("pieces").alias("pieces")).withColumn("crowded", F.size("pieces") > 0)
     reference = stored(reference.where("c > 1 or wins is not null"), "reference")
-    known = parsed(reference.where("wins is not null and not crowded")).unionByName(counted_windows(reference.where("wins is not null and crowded")))
+    known = parsed(reference.where("wins is not null and not crowded")).unionByName(counted_pieces(reference.where("wins is not null and crowded")))
     whole = reference.where("c > 1 and (wins is null or crowded)").select("a", "u", F.lit(None).cast(FACTORS).alias("factors"))
     hits = found.select("doc_id", "text_key", "a", "u", "s0", "n").join(known.unionByName(whole), ["a", "u"])
     spans = F.when(F.col("factors").isNull(), F.array(F.struct(F.col("s0").alias("s"), F.col("n").alias("n")))).otherwise(F.transform("factors", lambda f: F.struct((F.col("s0") + f["o"]).alias("s"), f["n"].alias("n"))))
@@ -211,11 +242,18 @@ def parsed(reference: DataFrame) -> DataFrame:
     return dealt.groupBy("block").applyInArrow(_parse_block, f"a long, u long, factors {FACTORS}")
 
 
-def counted_windows(reference: DataFrame) -> DataFrame:
-    """(a, u, factors) of the phrases of crowded minimizers that occur once: their windows that occur again."""
-    windows = reference.select("a", "u", "c", F.posexplode("wins").alias("o", "w"))
-    again = windows.groupBy("a", "w").agg(F.sum("c").alias("times")).where("times > 1").select("a", "w")
-    return windows.where("c = 1").join(again, ["a", "w"]).groupBy("a", "u").agg(F.collect_list(F.struct(F.col("o"), F.lit(1).alias("n"))).alias("factors"))
+def counted_pieces(reference: DataFrame) -> DataFrame:
+    """(a, u, factors) of the phrases of crowded minimizers that occur once: their pieces and windows that occur again."""
+    pieces = reference.select("a", "u", "c", "wins", F.explode("pieces").alias("p")).select("a", "u", "c", "p.*", F.expr("slice(wins, p.o + 1, p.n)").alias("wins"))
+    pieces = stored(pieces, "pieces")
+    parts = pieces.groupBy("key", "part").agg(F.sum("c").alias("c"), F.min(F.struct("a", "u", "o")).alias("of"), F.first("wins").alias("wins"))
+    parts = stored(parts, "parts")
+    whole = pieces.where("c = 1").select("a", "u", "o", "n", "key", "part").join(parts.where("c > 1").select("key", "part"), ["key", "part"], "left_semi")
+    unlike = parts.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
+    windows = parts.join(unlike, "key", "left_semi").select("key", "c", "of", F.posexplode("wins").alias("i", "w"))
+    again = windows.groupBy("key", "w").agg(F.sum("c").alias("times")).where("times > 1").select("key", "w")
+    single = windows.where("c = 1").join(again, ["key", "w"], "left_semi").select("of.a", "of.u", (F.col("of.o") + F.col("i")).alias("o"), F.lit(1).alias("n"))
+    return whole.select("a", "u", "o", "n").union(single).groupBy("a", "u").agg(F.collect_list(F.struct("o", "n")).alias("factors"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
