@@ -79,22 +79,17 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     hashes = WordHash()
     for b in batches:
-        n, cids, check, sigs = [], [], [], []
+        n, cids, sigs = [], [], []
         for text in b.column(1).to_pylist():
             s = shingle_set(text, hashes)
             n.append(len(s))
             if len(s):
-                h = xxhash.xxh3_128_intdigest(s.tobytes())
-                cids.append((h & (2**64 - 1)) - 2**63)
-                check.append((h >> 64) - 2**63)
+                cids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63)
                 sigs.append(signature(s).tobytes())
             else:
                 cids.append(None)
-                check.append(None)
                 sigs.append(None)
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cids, pa.int64()), pa.array(check, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "text_key", "n_shingles", "cid", "check", "sig"]
-        )
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(cids, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "text_key", "n_shingles", "cid", "sig"])
 
 
 def _keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,11 +125,10 @@ def _confirm(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:2]], ["a", "b"])
 
 
-def sets_of(pairs: DataFrame, docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(cid, shingles): the full sets of the classes that occur in pairs (a, b), each built from one of its documents."""
+def sets_of(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(cid, shingles): the full sets of the classes that occur in pairs (a, b), each built from the document named in its row."""
     needed = pairs.select("a").union(pairs.select(F.col("b"))).distinct()
-    one = members.join(needed, members["cid"] == needed["a"], "left_semi").groupBy("cid").agg(F.min(F.struct("doc_id", "text_key")).alias("row"))
-    one = one.select("cid", F.col("row.doc_id").alias("id"), F.col("row.text_key").alias("tk"))
+    one = classes.join(needed, classes["cid"] == needed["a"], "left_semi").select("cid", F.col("row.doc_id").alias("id"), F.col("row.text_key").alias("tk"))
     texts = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (row_key() == F.col("tk"))).select("cid", "text").dropDuplicates(["cid"])
     return stored(map_arrow(texts, _sets, "cid long, shingles binary"), "near-sets")
 
@@ -260,11 +254,17 @@ def hot_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
+def one_per_class(rows: DataFrame) -> DataFrame:
+    """(cid, sig, name, row) of each class of equal sets in rows(doc_id, text_key, cid, sig)."""
+    return stored(rows.groupBy("cid").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("name"), F.min(F.struct("doc_id", "text_key")).alias("row")), "near-classes")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, text_key, n_shingles, component_id, kept, component_key) for every row of docs(doc_id, text)."""
-    rows = stored(map_arrow(docs.select("doc_id", "text", row_key().alias("text_key")), _sign, "doc_id long, text_key long, n_shingles long, cid long, check long, sig binary"), "near-rows")
-    members = rows.drop("check", "sig").where("cid is not null")
-    classes = rows.where("cid is not null").groupBy("cid", "check").agg(F.first("sig").alias("sig"))
+    rows = stored(map_arrow(docs.select("doc_id", "text", row_key().alias("text_key")), _sign, "doc_id long, text_key long, n_shingles long, cid long, sig binary"), "near-rows")
+    members = rows.drop("sig").where("cid is not null")
+    # one row a class: its signature, its least id and the document that stands for it; copies are summed up within tasks before they are dealt
+    classes = one_per_class(rows.where("cid is not null"))
     keys = map_arrow(classes.select("cid", "sig"), _keys, "key long, cid long")
     # keys of at least two classes, with the hub: partial aggregation makes each task's hot keys one row
     hubs = keys.groupBy("key").agg(F.min("cid").alias("hub"), F.max("cid").alias("last"), F.count("*").alias("n")).where("n > 1")
@@ -272,14 +272,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # keys of two classes are pairs already; only those of more need their members
     crowded = keys.join(hubs.where("n > 2").select("key", "hub"), "key").where("cid <> hub")
     pairs = stored(hubs.where("n = 2").select(F.col("hub").alias("a"), F.col("last").alias("b")).union(crowded.select(F.col("hub").alias("a"), F.col("cid").alias("b"))).distinct(), "near-pairs")
-    sets = sets_of(pairs, docs, members)
+    sets = sets_of(pairs, docs, classes)
     roots = cut(components(confirmed(pairs, sets)))
     roots = joined_roots(roots, links_across(components(pairs), roots, sets))
     # names go class by class: copies are one row here, and a large component meets its name by hot_join
-    classes = members.groupBy("cid").agg(F.min("doc_id").alias("name"))
     linked = stored(classes.join(roots, classes["cid"] == roots["node"]).select("cid", "root", "name"), "near-linked")
     named = hot_join(linked.select("cid", "root"), linked.groupBy("root").agg(F.min("name").alias("component_id")), "root")
-    facts = stored(classes.join(named, "cid", "left").select("cid", F.coalesce("root", "cid").alias("component_key"), F.coalesce("component_id", "name").alias("component_id")), "near-names")
+    facts = stored(classes.select("cid", "name").join(named, "cid", "left").select("cid", F.coalesce("root", "cid").alias("component_key"), F.coalesce("component_id", "name").alias("component_id")), "near-names")
     no_text = rows.where("cid is null").select("doc_id", "text_key", "n_shingles", F.col("cid").alias("component_key"), F.col("doc_id").alias("component_id"))
     out = hot_join(members, facts, "cid").drop("cid").unionByName(no_text)
     return out.select("doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "component_key")
