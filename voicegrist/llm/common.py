@@ -26,6 +26,10 @@ _LOWER_AZ = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _ALNUM = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else (b + 32 if 65 <= b <= 90 else 32) for b in range(256))
 
 
+#: hot_join: keys that can hold more than their share of rows, and rows below which no key is hot.
+HOT_KEYS, HOT_LEAST = 100_000, 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -63,6 +67,18 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def hot_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of facts, left-joined; facts has one row a key, no key is null, and a few keys may hold most rows.
+
+    Fewer than HOT_KEYS keys can hold more than a HOT_KEYS-th of all rows each, so their facts are broadcast. All
+    other groups are small, and meet their facts by a shuffle. rows is read three times and should be a stored table."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
+    most = max(HOT_LEAST, rows.count() // HOT_KEYS)
+    hot = cut(sizes.where(F.col("n") > most).select(key).join(facts, key, "left"))
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts, key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def row_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, bit_filter, collected_filter, gram_hashes, in_filter, map_arrow, minima, mixed, prefix_sums, row_key, run_hashes, signed, stored, table, words_of
+from .common import WordHash, bit_filter, collected_filter, gram_hashes, hot_join, in_filter, map_arrow, minima, mixed, prefix_sums, row_key, run_hashes, signed, stored, table, words_of
 
 N, K = 35, 8
 #: Windows that one occurrence of a minimizer can own.
@@ -249,8 +249,8 @@ def counted_pieces(reference: DataFrame) -> DataFrame:
     parts = pieces.groupBy("key", "part").agg(F.sum("c").alias("c"), F.min(F.struct("a", "u", "o")).alias("of"), F.first("wins").alias("wins"))
     parts = stored(parts, "parts")
     whole = pieces.where("c = 1").select("a", "u", "o", "n", "key", "part").join(parts.where("c > 1").select("key", "part"), ["key", "part"], "left_semi")
-    unlike = parts.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
-    windows = parts.join(unlike, "key", "left_semi").select("key", "c", "of", F.posexplode("wins").alias("i", "w"))
+    sizes = parts.groupBy("key").agg(F.count("*").alias("parts"))
+    windows = hot_join(parts, sizes, "key").where("parts > 1").select("key", "c", "of", F.posexplode("wins").alias("i", "w"))
     again = windows.groupBy("key", "w").agg(F.sum("c").alias("times")).where("times > 1").select("key", "w")
     single = windows.where("c = 1").join(again, ["key", "w"], "left_semi").select("of.a", "of.u", (F.col("of.o") + F.col("i")).alias("o"), F.lit(1).alias("n"))
     return whole.select("a", "u", "o", "n").union(single).groupBy("a", "u").agg(F.collect_list(F.struct("o", "n")).alias("factors"))
