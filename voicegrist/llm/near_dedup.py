@@ -33,13 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, cut, gram_hashes, lower_words_of, map_arrow, mixed, row_key, stored, table
+from .common import WordHash, cut, gram_hashes, hot_join, lower_words_of, map_arrow, mixed, row_key, stored, table
 
 SHINGLE, SHARE = 5, 75
 M, C, E = 16, 5, 1
 GROUP, SLICE = 256, 16384
 LEAST_PARTS, PART_LINKS = 12, 50_000
-HOT_KEYS, HOT_LEAST = 100_000, 1000
 L = M * C
 _SEEDS = mixed(np.arange(1, L + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 _DELETED = np.array([[j for j in range(C) if j != d] for d in range(C)])
@@ -242,18 +241,6 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """rows with the columns of facts, left-joined; facts has one row a key, no key is null, and a few keys may hold most rows.
-
-    Fewer than HOT_KEYS keys can hold more than a HOT_KEYS-th of all rows each, so their facts are broadcast. All
-    other groups are small, and meet their facts by a shuffle. rows is read three times and should be a stored table."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n"))
-    most = max(HOT_LEAST, rows.count() // HOT_KEYS)
-    hot = cut(sizes.where(F.col("n") > most).select(key).join(facts, key, "left"))
-    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts, key, "left")
-    return rows.join(F.broadcast(hot), key).unionByName(cold)
-
-
 def one_per_class(rows: DataFrame) -> DataFrame:
     """(cid, sig, name, row) of each class of equal sets in rows(doc_id, text_key, cid, sig)."""
     return stored(rows.groupBy("cid").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("name"), F.min(F.struct("doc_id", "text_key")).alias("row")), "near-classes")
