@@ -67,3 +67,23 @@ def test_longest_matches_and_parse():
     assert op.parse([0, 2, 1, 1]) == [(1, 2), (3, 1)]
     assert op.parse([3, 2, 1]) == [(0, 3)]
     assert op.parse([]) == []
+
+
+def test_pieces_hold_all_windows_and_equal_windows_share_keys():
+    r = random.Random(5)
+    hot = [f"h{i}" for i in range(50)]
+    texts = [[f"x{r.randrange(10**9)}" for _ in range(r.randrange(20))] + hot + [f"y{r.randrange(10**9)}" for _ in range(20)] for _ in range(30)]
+    keys, words, parts = {}, {}, {}
+    for t in texts:
+        p = op.Phrases([x.encode() for x in t], op.WordHash())
+        at = np.arange(len(p.a))
+        counts, (o, n, key, part) = p.pieces(at)
+        s0 = np.repeat(p.s0, counts)
+        windows = [(i, k, q) for f, m, k, q in zip(s0 + o, n, key, part, strict=True) for i in range(f, f + m)]
+        assert sorted(i for i, _, _ in windows) == list(range(len(t) - N + 1))
+        assert n.max() <= op.PIECE and counts.max() <= 6
+        for i, k, _ in windows:
+            assert keys.setdefault(tuple(t[i : i + N]), k) == k
+        for f, m, q in zip(s0 + o, n, part, strict=True):
+            piece = tuple(t[f : f + m - 1 + N])
+            assert words.setdefault(q, piece) == piece and parts.setdefault(piece, q) == q
