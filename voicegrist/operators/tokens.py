@@ -2,38 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
+
 TOKEN = r"[A-Za-z'’-]+|[,.!?;:“”—…]"
+MARKS = ",.!?;:“”—…"
 
 
 def tokenize(sentences: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, tok_idx, kind, token, word_idx) of sentences (doc_id, sent_idx, text). Words are numbered inside the row; punctuation has no word_idx."""
-    plain = lambda t: F.replace(t, F.lit("’"), F.lit("'"))
-    is_word = lambda x: x["t"].rlike("^[A-Za-z'’-]")
-    at = F.transform(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
-    row = lambda x, kind, k: F.struct(x["i"].alias("tok_idx"), F.lit(kind).alias("kind"), plain(x["t"]).alias("token"), k.alias("word_idx"))
-    words = F.transform(F.filter("at", is_word), lambda x, k: row(x, "word", k))
-    marks = F.transform(F.filter("at", lambda x: ~is_word(x)), lambda x: row(x, "punct", F.lit(None).cast("int")))
-    return sentences.select("doc_id", "sent_idx", at.alias("at")).select("doc_id", "sent_idx", F.inline(F.concat(words, marks)))
+    is_word = lambda x: ~x["t"].isin(*MARKS)
+    text = F.replace("text", F.lit("’"), F.lit("'"))
+    at = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
+    row = lambda x, kind, k: F.struct(x["i"].alias("tok_idx"), F.lit(kind).alias("kind"), x["t"].alias("token"), k.alias("word_idx"))
+    words = lambda xs: F.transform(F.filter(xs, is_word), lambda x, k: row(x, "word", k))
+    marks = lambda xs: F.transform(F.filter(xs, lambda x: ~is_word(x)), lambda x: row(x, "punct", F.lit(None).cast("int")))
+    return sentences.select("doc_id", "sent_idx", F.inline(bind(at, lambda xs: F.concat(words(xs), marks(xs)))))
+
+
+def words_of(text: Column | str) -> Column:
+    """The words of a text in order, without the other tokens."""
+    return F.regexp_extract_all(F.replace(text, F.lit("’"), F.lit("'")), F.lit("[A-Za-z'-]+"), F.lit(0))
 
 
 def word_index(sentences: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, word_idx, word): words only, numbered inside each sentence without a shuffle."""
-    words = F.filter(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t: t.rlike("^[A-Za-z'’-]"))
-    return sentences.select("doc_id", "sent_idx", F.posexplode(words).alias("word_idx", "w")).select("doc_id", "sent_idx", "word_idx", F.replace("w", F.lit("’"), F.lit("'")).alias("word"))
+    return sentences.select("doc_id", "sent_idx", F.posexplode(words_of("text")).alias("word_idx", "word"))
 
 
 def render_phonemes(tokens: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, phonemes) from (doc_id, sent_idx, tok_idx, kind, ipa): words spaced, punctuation glued."""
+    """(doc_id, sent_idx, phonemes) from (doc_id, sent_idx, tok_idx, kind, ipa): words spaced, punctuation glued. A token needs only the one
+    before it, so a row takes time in proportion to its tokens."""
     parts = tokens.groupBy("doc_id", "sent_idx").agg(F.array_sort(F.collect_list(F.struct("tok_idx", "kind", "ipa"))).alias("ts"))
-    step = lambda out, t: F.concat(out, F.when((t["kind"] == "word") & (out != "") & ~out.rlike(r"[ (\[{“‘—…]$"), " ").otherwise(""), t["ipa"])
-    return parts.select("doc_id", "sent_idx", F.aggregate("ts", F.lit(""), step).alias("phonemes")).where("phonemes <> ''")
+    # silent punctuation leaves no trace; after a silent word there is a blank already, or nothing to part from
+    heard = F.filter("ts", lambda t: F.coalesce((t["ipa"] != "") | (t["kind"] == "word"), F.lit(True)))
+
+    def whole(ts: Column) -> Column:
+        def said(t: Column, i: Column) -> Column:
+            before = F.get(ts, i - 1)["ipa"]
+            return F.concat(F.when((t["kind"] == "word") & (i > 0) & (before != "") & ~before.rlike(r"[ (\[{“‘—…]$"), " ").otherwise(""), t["ipa"])
+
+        return F.when(~F.exists(ts, lambda t: t["ipa"].isNull()), F.array_join(F.transform(ts, said), ""))
+
+    # not a condition on the column, which would be pushed down and have it all worked out twice
+    return parts.select("doc_id", "sent_idx", F.explode(F.filter(F.array(bind(heard, whole)), lambda p: p != "")).alias("phonemes"))
 
 
 def word_frequencies(words: DataFrame) -> DataFrame:
-    return words.groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n"))
+    """(word, n) of words, whatever their case; rows that were counted before have their number in n."""
+    n = F.sum("n") if "n" in words.columns else F.count("*")
+    return words.groupBy(F.lower("word").alias("word")).agg(n.alias("n"))
 
 
 def dictionary_filter(words: DataFrame, lexicon: DataFrame) -> DataFrame:
