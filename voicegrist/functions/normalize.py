@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import MONTHS, _list, bind, digit_words, integer_words, literal_map, ordinal_words, plural_year, rewrite, year_words
+from .text import MONTHS, _list, bind, digit_words, integer_words, literal_map, ordinal_words, plural_year, rewrite, where_found, year_words
 
 IsWord = Callable[[Column], Column]
 
@@ -49,20 +49,20 @@ def apply_rewrites(t: Column, rules: list[tuple[str, str]]) -> Column:
 
 def fold_dashes(t: Column) -> Column:
     """N2"""
-    t = F.regexp_replace(F.translate(t, "[]", ""), r"(?<=[0-9])–(?=[0-9])", " to ")
-    return F.translate(t, "–−", "--")
+    return where_found(t, r"[\[\]–−]", lambda x: F.translate(F.regexp_replace(F.translate(x, "[]", ""), r"(?<=[0-9])–(?=[0-9])", " to "), "–−", "--"))
 
 
 def greek_letters(t: Column) -> Column:
     """Blanks on either side but where a hyphen touches."""
     said = literal_map(GREEK | {k.upper(): v for k, v in GREEK.items()})
     t = rewrite(t, "[α-ωΑ-Ω]", lambda m: F.coalesce(F.concat(F.lit("\u0001"), F.element_at(said, m), F.lit("\u0001")), m))
-    return F.regexp_replace(F.regexp_replace(t, "(?<=-)\u0001|\u0001(?=-)", ""), "\u0001", " ")
+    return where_found(t, "\u0001", lambda x: F.regexp_replace(F.regexp_replace(x, "(?<=-)\u0001|\u0001(?=-)", ""), "\u0001", " "))
 
 
 def super_sub_digits(t: Column) -> Column:
     """N4"""
-    return F.translate(F.regexp_replace(t, "([⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉])", " $1 "), "⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉", "01234567890123456789")
+    digits = "⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉"
+    return where_found(t, f"[{digits}]", lambda x: F.translate(F.regexp_replace(x, f"([{digits}])", " $1 "), digits, "01234567890123456789"))
 
 
 def playing_cards(t: Column) -> Column:
@@ -74,8 +74,8 @@ def playing_cards(t: Column) -> Column:
 
 def feet_inches(t: Column) -> Column:
     """N6; a decade or possessive year such as 1920's is left alone."""
-    t = F.regexp_replace(t, r"(?<=[0-9])(?<!(?<![0-9])[12][0-9]{3}(?=['’]s))['’]", " feet ")
-    return F.regexp_replace(t, '(?<=[0-9])["”]', " inches ")
+    feet = lambda x: F.regexp_replace(x, r"(?<=[0-9])(?<!(?<![0-9])[12][0-9]{3}(?=['’]s))['’]", " feet ")
+    return where_found(t, "[0-9]['’\"”]", lambda x: F.regexp_replace(feet(x), '(?<=[0-9])["”]', " inches "))
 
 
 def hex_literals(t: Column) -> Column:
@@ -95,7 +95,11 @@ def roman_numerals(t: Column, is_word: IsWord | None = None) -> Column:
         return number if is_word is None else F.when(is_word(F.lower(m)), m).otherwise(number)
 
     form = "[IVXLCDM]{2,}" if is_word else "(?=[MDCLXVI]{2})M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})"
-    return rewrite(t, rf"(?<![A-Za-z0-9])(?:{form}|{form.lower()})(?![A-Za-z0-9])", said, "[IVXLCDM]{2}|[ivxlcdm]{2}")
+    return rewrite(t, rf"(?<![A-Za-z0-9])(?:{form}|{form.lower()})(?![A-Za-z0-9])", said, "(?<![A-Za-z0-9])(?:[IVXLCDM]{2,}|[ivxlcdm]{2,})(?![A-Za-z0-9])")
+
+
+#: Where letters with diacritics lie.
+LATIN = "[À-ɏ]"
 
 
 def fold_diacritics(t: Column) -> Column:
@@ -104,7 +108,7 @@ def fold_diacritics(t: Column) -> Column:
 
     base = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if (d := unicodedata.normalize("NFD", c))[0] < "\x80" and d[0].isalpha() and len(d) > 1}
     base |= dict(zip("œŒæÆßøØłŁđĐ", "oOaAsoOlLdD", strict=True))
-    return F.translate(t, "".join(base), "".join(base.values()))
+    return where_found(t, LATIN, lambda x: F.translate(x, "".join(base), "".join(base.values())))
 
 
 #: What ends the span of a URL, inside a class of characters.
@@ -163,7 +167,7 @@ def dates(t: Column) -> Column:
         year = _group(s, p, 4)
         return F.concat(_group(s, p, 1), F.lit(" "), ordinal_words(integer_words(_group(s, p, 2))), F.when(year != "", F.concat(F.lit(" "), year_words(year))).otherwise(""))
 
-    return rewrite(t, rf"(?<![A-Za-z0-9]){p}", named, rf"(?i:{names})\s")
+    return rewrite(t, rf"(?<![A-Za-z0-9]){p}", named, rf"(?i:{names})\s+[0-9]")
 
 
 def _numeric_date(p: str) -> Callable[[Column], Column]:
@@ -175,13 +179,15 @@ _LEFT, _RIGHT = r"(?<=[A-Za-z0-9)\]}}]\s?){}", r"(?=\s?[A-Za-z0-9)\]}}])"
 MATH_BETWEEN = {"<=": "less than or equal to", ">=": "greater than or equal to", "+": "plus", "=": "equals", "^": "to the power of", "<": "less than", ">": "greater than"}
 MATH_ANYWHERE = {"=>": "arrow", "==": "equals equals", ":=": "gets"}
 MATH_DIGITS = {"-": "minus", "*": "times", "/": "divided by", "%": "percent"}
-_MATH = "|".join([
+_SIGNS = "[≤≥≠×÷±<>+=:*/^%-]"
+#: A place that holds no sign is left at once, before any of the alternatives looks around it.
+_MATH = f"(?={_SIGNS})(?:" + "|".join([
     *MATH_ALWAYS, *MATH_ANYWHERE,
     *[_LEFT.format(op) + _RIGHT.format() for op in ("<=", ">=", r"\+", "=(?![=>])", r"\^", "<(?!=)", ">(?!=)")],
     r"(?<=[0-9]\s?)[-*](?=\s?[0-9])", r"(?<![^\s(\[{=,:])-(?=[A-Za-z0-9])",
     r"(?<=[0-9]\s)/(?=\s?[0-9])", r"(?<=[0-9])/(?=\s[0-9])", r"(?<=[0-9]{2})/(?=[0-9])", r"(?<=[0-9])/(?=[0-9]{2})", r"(?<=(?<![A-Za-z0-9/])[0-9])/(?=[0-9](?![A-Za-z0-9/]))",
     r"(?<=[0-9]\s?)%",
-])
+]) + ")"
 
 
 def math_symbols(t: Column) -> Column:
@@ -189,7 +195,7 @@ def math_symbols(t: Column) -> Column:
     spoken = literal_map(MATH_ALWAYS | MATH_BETWEEN | MATH_ANYWHERE | MATH_DIGITS)
 
     def one(x: Column) -> Column:
-        new = rewrite(x, _MATH, lambda m: F.concat(F.lit(" "), F.element_at(spoken, m), F.lit(" ")), "[≤≥≠×÷±<>+=:*/^%-]")
+        new = rewrite(x, _MATH, lambda m: F.concat(F.lit(" "), F.element_at(spoken, m), F.lit(" ")), _SIGNS)
         return bind(new, lambda y: F.when(y == x, t).otherwise(F.trim(F.regexp_replace(y, r"\s+", " "))))
 
     return bind(F.regexp_replace(t, r"\s+", " "), one)
@@ -235,13 +241,14 @@ def units(t: Column) -> Column:
         year = (_group(m, p, 2) == "") & (F.length(u) == 1) & n.rlike("^(?:1[0-9]{3}|20[0-9]{2})$")
         return F.when(year, m).otherwise(F.concat(numbers(n), F.lit(" "), F.when(n.rlike(r"^-?0*1$"), one).otherwise(many)))
 
-    return rewrite(t, rf"(?<![A-Za-z0-9.,:/]){p}(?![A-Za-z0-9/])", said, "[0-9]")
+    return rewrite(t, rf"(?=[0-9-])(?<![A-Za-z0-9.,:/]){p}(?![A-Za-z0-9/])", said, rf"[0-9]\s*(?i:{'|'.join(names)})")
 
 
 def digit_letter_gap(t: Column) -> Column:
     """N16"""
-    t = F.regexp_replace(t, r"(?<=[0-9])(?=[A-Za-z])(?!(?i:st|nd|rd|th)(?![A-Za-z]))", " ")
-    return F.regexp_replace(F.regexp_replace(t, r"(?<=[A-Za-z])(?=[0-9])", " "), r"(?<=[A-Za-z]:)(?=[0-9])", " ")
+    after = lambda x: F.regexp_replace(x, r"(?<=[0-9])(?=[A-Za-z])(?!(?i:st|nd|rd|th)(?![A-Za-z]))", " ")
+    before = lambda x: F.regexp_replace(F.regexp_replace(x, r"(?<=[A-Za-z])(?=[0-9])", " "), r"(?<=[A-Za-z]:)(?=[0-9])", " ")
+    return where_found(t, "[0-9][A-Za-z]|[A-Za-z]:?[0-9]", lambda x: before(after(x)))
 
 
 def emphasis_words(t: Column) -> Column:
@@ -273,12 +280,15 @@ def numbers(t: Column) -> Column:
         cardinal = F.concat(F.when(x["sign"] == "-", "minus ").otherwise(""), integer_words(F.replace(x["raw"], F.lit(","), F.lit(""))))
         return F.struct(x.alias("x"), cardinal.alias("c"), F.when(year & (x["frac"] == ""), year_words(x["raw"])).alias("y"))
 
+    def plain(m: Column) -> Column:
+        return F.when(m.rlike("^(?:1[0-9]{3}|20[0-9]{2})$"), year_words(m)).otherwise(integer_words(m))
+
     def said(w: Column) -> Column:
         x, tail = w["x"], F.lower(w["x"]["tail"])
         number = F.when(x["frac"] != "", F.concat(w["c"], F.lit(" point "), digit_words(x["frac"]))).when(tail != "", ordinal_words(w["c"])).otherwise(F.coalesce(w["y"], w["c"]))
         return F.when(tail.endswith("s"), F.coalesce(plural_year(w["y"]), x["m"])).otherwise(number)
 
-    return rewrite(t, rf"(?<![A-Za-z0-9:/.]){p}(?![A-Za-z0-9:/%$°]|\.[0-9])", lambda m: bind(bind(parts(m), words), said), "[0-9]")
+    return rewrite(t, rf"(?=[0-9+-])(?<![A-Za-z0-9:/.]){p}(?![A-Za-z0-9:/%$°]|\.[0-9])", lambda m: F.when(m.rlike("^[0-9]+$"), plain(m)).otherwise(bind(bind(parts(m), words), said)), "[0-9]")
 
 
 RULES: dict[str, Callable[[Column], Column]] = {
@@ -288,14 +298,21 @@ RULES: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Rules that change no text without a digit or $. None of the rules between them brings a digit in, so one look serves them all.
+NUMERIC = {"n06_feet_inches", "n07_hex", "n12_dates", "n14_money_time", "n15_units", "n16_digit_letter_gap", "n19_numbers"}
+
+
 def normalize_corpus(sentences: DataFrame, column: str = "text", rewrites: list[tuple[str, str]] = (), is_word: IsWord | None = None, is_emphatic: IsWord | None = None) -> DataFrame:
     """The whole cascade on one column, each rule in a projection of its own. is_emphatic tells all-caps words that are real words (default: is_word)."""
     text = F.col(column)
-    out = sentences.withColumn(column, F.translate(apply_rewrites(text, list(rewrites)), "\u0001", ""))
+    out = sentences.withColumn(column, where_found(apply_rewrites(text, list(rewrites)), "\u0001", lambda t: F.translate(t, "\u0001", "")))
     for name, rule in RULES.items():
+        if name in NUMERIC and "__digits" not in out.columns:
+            out = out.withColumn("__digits", text.rlike("[0-9$]"))
         extra = {"is_word": is_word} if name in ("n08_roman", "n10_urls") else {"is_word": is_emphatic or is_word} if name == "n18_acronyms" else {}
-        out = out.withColumn(column, rule(text, **extra))
-    return out
+        said = rule(text, **extra)
+        out = out.withColumn(column, F.when(F.col("__digits"), said).otherwise(text) if name in NUMERIC else said)
+    return out.drop("__digits")
 
 
 def normalize_with_lexicon(rows: DataFrame, keys: list[str], column: str, gold: DataFrame, phones: DataFrame, rewrites: list[tuple[str, str]] = ()) -> DataFrame:
@@ -303,8 +320,9 @@ def normalize_with_lexicon(rows: DataFrame, keys: list[str], column: str, gold:
     with the lexicons and come back as an array in the row; all-caps words are real from 3 letters in gold, 6 in the other."""
     if rewrites:
         rows = rows.withColumn(column, apply_rewrites(F.col(column), list(rewrites)))
-    text = F.concat_ws(" ", F.col(column), fold_diacritics(F.col(column)))
-    asked = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.col(column).rlike(r"/|www\.|\.[A-Za-z]") | w.rlike("^(?:[A-Z]+|[ivxlcdm]+)$"))
+    text = F.when(F.col(column).rlike(LATIN), F.concat_ws(" ", F.col(column), fold_diacritics(F.col(column)))).otherwise(F.coalesce(column, F.lit("")))
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    asked = F.when(F.col(column).rlike(r"/|www\.|\.[A-Za-z]"), found("[A-Za-z]{2,}")).otherwise(found("(?<![A-Za-z])(?:[A-Z]{2,}|[ivxlcdm]{2,})(?![A-Za-z])"))
     words = rows.select(*keys, F.explode(F.array_distinct(F.transform(asked, F.lower))).alias("w"))
     known = gold.select(F.lower("word").alias("w"), F.lit(True).alias("g")).unionByName(phones.select(F.lower("word").alias("w"), F.lit(False).alias("g"))).groupBy("w").agg(F.max("g").alias("g"))
     real = (F.col("g") & (F.length("w") >= 3)) | (F.length("w") >= 6)

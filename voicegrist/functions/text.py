@@ -20,10 +20,13 @@ def _list(words: list[str]) -> Column:
     return F.split(F.lit("|".join(words)), r"\|")
 
 
+#: The words of 0 to 99.
+TWO_DIGITS = UNITS + [f"{t} {u}" if i else t for t in TENS for i, u in enumerate(UNITS[:10])]
+
+
 def _below_1000(g: Column) -> Column:
-    units, tens, r = _list(UNITS), _list(TENS), g % 100
-    two = F.when(r.between(1, 19), F.get(units, r)).when(r >= 20, F.concat_ws(" ", F.get(tens, (r / 10).cast("int") - 2), F.when(r % 10 > 0, F.get(units, r % 10))))
-    return F.concat_ws(" ", F.when(g >= 100, F.concat(F.get(units, (g / 100).cast("int")), F.lit(" hundred"))), two)
+    two, r = _list(TWO_DIGITS), g % 100
+    return F.concat_ws(" ", F.when(g >= 100, F.concat(F.get(two, (g / 100).cast("int")), F.lit(" hundred"))), F.when(r > 0, F.get(two, r)))
 
 
 def literal_map(d: dict[str, str]) -> Column:
@@ -36,28 +39,46 @@ def bind(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
+#: Cuts a text where its matches were; texts that hold it are cut by the pattern itself.
+_CUT = "\u0006"
+
+
 def rewrite(text: Column, pattern: str, fn: Callable[[Column], Column], guard: str | None = None) -> Column:
-    """Every match of pattern replaced by fn(match). Texts that do not hold the cheaper guard are passed on."""
+    """Every match of pattern replaced by fn(match). Texts that do not hold the cheaper guard, or no match, are passed on. split()
+    compiles a pattern anew for every row, so matches are first replaced by one character, at which cutting is cheap."""
 
     def one(t: Column) -> Column:
-        pieces, found = F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-        done = F.array_join(F.zip_with(pieces, F.concat(F.transform(found, fn), F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")
-        return F.when(t.rlike(guard or pattern), done).otherwise(t)
+        def said(found: Column) -> Column:
+            pieces = F.when(t.contains(_CUT), F.split(t, pattern, -1)).otherwise(F.split(F.regexp_replace(t, pattern, _CUT), _CUT, -1))
+            done = F.array_join(F.zip_with(pieces, F.concat(F.transform(found, fn), F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")
+            return F.when(F.size(found) == 0, t).otherwise(done)
+
+        return F.when(t.rlike(guard or pattern), bind(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), said)).otherwise(t)
 
     return bind(text, one)
 
 
+def where_found(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:
+    """fn(text) for texts that hold pattern; others, which fn would not change, are passed on. translate() looks every character up, which
+    is much dearer than one search."""
+    return bind(text, lambda t: F.when(t.rlike(pattern), fn(t)).otherwise(t))
+
+
 def integer_words(digits: Column) -> Column:
-    """Cardinal words of a string of digits, up to 10 ** 30."""
+    """Cardinal words of a string of digits, up to 10 ** 30; those below 10 ** 9 by numbers, without a walk over the string."""
     names = _list(SCALES)
 
+    def small(n: Column) -> Column:
+        parts = F.array((n / 1_000_000).cast("int"), (n / 1000).cast("int") % 1000, n % 1000)
+        return F.array_join(F.transform(parts, lambda g, i: F.when(g > 0, F.concat_ws(" ", _below_1000(g), F.when(i < 2, F.get(names, 2 - i))))), " ")
+
     def groups(v: Column) -> Column:
         k = F.ceil(F.length(v) / 3).cast("int")
         parts = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.struct(F.substring(F.lpad(v, k * 3, "0"), i * 3 + 1, F.lit(3)).cast("int").alias("g"), F.get(names, k - 1 - i).alias("name")))
         said = F.transform(F.filter(parts, lambda x: x["g"] > 0), lambda x: F.rtrim(F.concat_ws(" ", _below_1000(x["g"]), x["name"])))
-        return F.when(v == "", F.lit("zero")).otherwise(F.array_join(said, " "))
+        return F.when(v == "", F.lit("zero")).when(F.length(v) <= 9, bind(v.try_cast("int"), small)).otherwise(F.array_join(said, " "))
 
-    return bind(F.regexp_replace(digits, "^0+", ""), groups)
+    return bind(F.ltrim(digits, F.lit("0")), groups)
 
 
 def digit_words(digits: Column) -> Column:
@@ -83,7 +104,8 @@ def year_words(year: Column) -> Column:
         early = F.when(x["y"].endswith("00"), F.concat(x["a"], F.lit(" hundred"))).when(x["y"].startswith("100"), F.concat(F.lit("ten oh "), x["b"])).otherwise(F.concat_ws(" ", x["a"], x["b"]))
         return F.when(x["y"] == "2000", "two thousand").when(x["y"].startswith("200"), F.concat(F.lit("two thousand "), x["b"])).otherwise(early)
 
-    return bind(F.struct(year.alias("y"), integer_words(F.substring(year, 1, 2)).alias("a"), integer_words(F.substring(year, 3, 2)).alias("b")), said)
+    two = lambda at: F.coalesce(F.get(_list(TWO_DIGITS), F.substring(year, at, 2).try_cast("int")), F.lit("zero"))
+    return bind(F.struct(year.alias("y"), two(1).alias("a"), two(3).alias("b")), said)
 
 
 def plural_year(words: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import SAY_AS_WORD, normalize_with_lexicon
 from ..functions.text import bind, literal_map
 from ..sources.shared import stored
-from .tokens import TOKEN
+from .tokens import words_of
 
 # Phone symbols (a vowel takes a stress mark), letter names, affixes, initialisms.
 VOWELS = {"AA": "ɑ", "AE": "æ", "AO": "ɔ", "AW": "W", "AY": "I", "EH": "ɛ", "EY": "A", "IH": "ɪ", "IY": "i", "OW": "O", "OY": "Y", "UH": "ʊ", "UW": "u"}
@@ -312,13 +312,18 @@ MUSIC, MUSIC_HEADS = "play plays played playing hear heard listen listened bass
 
 def homograph_senses(sentences: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, word_idx, word, sense_ipa): homographs read by the words around them, inside each row, without a shuffle."""
-    words = F.filter(F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)), lambda t: t.rlike("^[A-Za-z'’-]"))
-    low = F.transform(words, lambda w: F.lower(F.replace(w, F.lit("’"), F.lit("'"))))
+    low = F.transform(words_of("text"), F.lower)
     held = sentences.where(F.lower("text").rlike(rf"(?<![a-z'-])(?:{'|'.join(HOMOGRAPHS)})(?![a-z'-])")).select("doc_id", "sent_idx", low.alias("ws"))
-    at = held.select("doc_id", "sent_idx", "ws", F.posexplode("ws").alias("word_idx", "word")).where(F.col("word").isin(*HOMOGRAPHS))
-    near = lambda k: F.coalesce(F.get("ws", F.col("word_idx") + k), F.lit(""))
+    # only homographs leave the row, with their neighbours and the last place of each list of words that may come later
+    lists = {"past": PAST, "future": FUTURE, "verb": VERB_LATER, "noun": NOUN_LATER}
+    last = lambda ws: F.coalesce(F.array_max(F.transform("ws", lambda w, i: F.when(w.isin(ws), i))), F.lit(-1))
+    placed = held.select("*", *[last(ws).alias(f"last_{k}") for k, ws in lists.items()])
+    around = lambda w, i: F.struct(i.alias("word_idx"), w.alias("word"), *[F.coalesce(F.get("ws", i + k), F.lit("")).alias(name) for name, k in (("b2", -2), ("b1", -1), ("a1", 1))])
+    spots = F.filter(F.transform("ws", lambda w, i: F.when(w.isin(*HOMOGRAPHS), around(w, i))), lambda x: x.isNotNull())
+    at = placed.select("doc_id", "sent_idx", *[f"last_{k}" for k in lists], F.inline(spots))
+    near = lambda k: F.col({-2: "b2", -1: "b1", 1: "a1"}[k])
     either = lambda ws: near(-1).isin(ws) | near(-2).isin(ws)
-    later = lambda ws: F.arrays_overlap(F.slice("ws", F.col("word_idx") + 2, F.size("ws")), F.array(*[F.lit(w) for w in ws]))
+    later = lambda ws: F.col(next(f"last_{k}" for k, v in lists.items() if v is ws)) > F.col("word_idx")
     verb = either(VERB_BEFORE) | ((F.col("word_idx") == 0) & near(1).isin([*DETERMINERS, "to"]))
     noun = either(NOUN_BEFORE)
     past = ~near(-1).isin([*FUTURE_MODALS, "to"]) & (either(PAST) | later(PAST) | later(FUTURE))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bind, where_found
+
 # Fixed values.
 HEADINGS = "chapter part book section prologue epilogue interlude preface foreword afterword introduction".split()
 STOPWORDS = "a an and as at but by for from in into of on or the to with via vs".split()
@@ -93,21 +95,32 @@ _ONE_DOT = "|".join(a[:-1] for a in ABBREVIATIONS if a.count(".") == 1)
 _TWO_DOTS = [a for a in ABBREVIATIONS if a.count(".") == 2]
 
 
+def _stripped(s: Column) -> Column:
+    """Without blanks at either end; $ also stands before a last line separator, which trim() does not know."""
+    return F.when(s.rlike("[\u0085\u2028\u2029]"), F.regexp_replace(s, r"^\s+|\s+$", "")).otherwise(F.trim(s, F.lit(" \t\n\x0b\f\r")))
+
+
 def sentence_pieces(text: Column, no_split: bool = False) -> Column:
     """Array of sentences; an empty string is an explicit pause."""
-    t = F.translate(text, _END + _PAUSE + _DOT, "")
+    t = where_found(text, f"[{_END}{_PAUSE}{_DOT}]", lambda x: F.translate(x, _END + _PAUSE + _DOT, ""))
     if no_split:
         return F.array(F.trim(t))
     t = F.regexp_replace(t, r"(?<!\n)\n(?!\n)", " ")
     t = F.regexp_replace(t, r"(?<!\n)\n\n", _END)
     t = F.replace(t, F.lit("\n"), F.lit(_PAUSE + _END))
-    t = F.regexp_replace(t, rf"(?<![A-Za-z0-9])(?i:({_ONE_DOT}))\.", f"$1{_DOT}")
-    for a in _TWO_DOTS:
-        t = F.regexp_replace(t, rf"(?<![A-Za-z0-9])(?i:({a[0]})\.({a[2]})\.)", f"$1{_DOT}$2{_DOT}")
+    # a pattern begins with the dot, for which Java looks fast, and then looks back
+    t = F.regexp_replace(t, rf"\.(?<=(?<![A-Za-z0-9])(?i:{_ONE_DOT})\.)", _DOT)
+
+    def two_dots(x: Column) -> Column:
+        for a in _TWO_DOTS:
+            x = F.regexp_replace(x, rf"(?<![A-Za-z0-9])(?i:({a[0]})\.({a[2]})\.)", f"$1{_DOT}$2{_DOT}")
+        return x
+
+    t = where_found(t, "(?i)" + "|".join(rf"{a[0]}\.{a[2]}\." for a in _TWO_DOTS), two_dots)
     t = F.replace(t, F.lit("..."), F.lit(_DOT * 3))
-    t = F.regexp_replace(t, r"(?<=[0-9])\.(?=[0-9])", _DOT)
+    t = F.regexp_replace(t, r"\.(?<=[0-9]\.)(?=[0-9])", _DOT)
     t = F.regexp_replace(t, r"([.!?;])", f"$1{_END}")
-    pieces = F.transform(F.split(t, _END), lambda s: F.regexp_replace(F.replace(s, F.lit(_DOT), F.lit(".")), r"^\s+|\s+$", ""))
+    pieces = F.transform(F.split(t, _END), lambda s: bind(F.replace(s, F.lit(_DOT), F.lit(".")), _stripped))
     return F.transform(F.filter(pieces, lambda s: s.rlike(r"[\p{L}\p{N}]") | (s == _PAUSE)), lambda s: F.when(s == _PAUSE, "").otherwise(F.replace(s, F.lit(_PAUSE), F.lit(""))))
 
 
