@@ -17,11 +17,15 @@ from ..sources.shared import stored
 from ..streaming import requests as R
 
 
+#: Tasks a core at least: rules over text cost far more than dealing it, so that no task should hold a core's whole share.
+TASKS = 4
+
+
 def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table, dealt anew where its files make fewer tasks than there are cores; large tables are left as they lie."""
+    """A table, dealt anew where its files make fewer than TASKS tasks a core; large tables are left as they lie."""
     df = spark.read.parquet(f"{d}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = TASKS * spark.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +91,18 @@ def types(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, d: str) -> DataFrame:
-    return K.lexicon_coverage(words(spark, d), *lexicons(spark, d))
+    counts = word_counts(spark, d)
+    return K.lexicon_coverage(counts, *lexicons(spark, d, counts))
+
+
+def dictionary(spark: SparkSession, d: str) -> DataFrame:
+    counts = word_counts(spark, d)
+    return K.dictionary_filter(counts, lexicons(spark, d, counts)[0])
+
+
+def emphatic(spark: SparkSession, d: str) -> DataFrame:
+    counts = word_counts(spark, d)
+    return K.emphasis_filter(counts, *lexicons(spark, d, counts))
 
 
 def rule(name: str):
@@ -190,8 +205,8 @@ QUERIES = {
     "n22_verbalize_orders": verbalized,
     "k01_tokens": lambda s, d: K.tokenize(sents(s, d)).groupBy("kind", "token").agg(F.count("*").alias("n")),
     "k02_words": lambda s, d: words(s, d).groupBy("doc_id").agg(F.count("*").alias("n_words"), F.max("word_idx").alias("last_idx")),
-    "v01_dictionary": lambda s, d: K.dictionary_filter(words(s, d), lexicons(s, d)[0]),
-    "v02_emphasis": lambda s, d: K.emphasis_filter(words(s, d), *lexicons(s, d)),
+    "v01_dictionary": dictionary,
+    "v02_emphasis": emphatic,
     "v03_coverage": coverage,
     "v03_frequencies": lambda s, d: K.word_frequencies(words(s, d)),
     "p02_homographs": lambda s, d: P.homograph_senses(sents(s, d)),
