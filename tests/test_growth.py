@@ -80,3 +80,12 @@ def test_texts_are_split_once_for_lexicon_and_words(spark, monkeypatch):
         calls.clear()
         G.QUERIES[name](spark, "/root/testdata/sf0.001")
         assert len(calls) == 1, name
+
+
+def test_conversations_meet_their_totals_without_a_broadcast(spark, tmp_path):
+    from voicegrist.plans import live
+
+    query = live.talk(spark, "/root/testdata/sf0.001").writeStream.format("noop").trigger(availableNow=True).option("checkpointLocation", str(tmp_path)).start()
+    query.awaitTermination()
+    plan = query._jsq.explainInternal(False)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.timeline import PAD
+from ..sources.shared import stored
 from ..streaming import live as L
 from ..streaming import requests as R
 from . import derived
@@ -44,7 +45,8 @@ def talk(spark: SparkSession, d: str) -> DataFrame:
     """(turn, seq, total, text, ts) of conversations: each is one turn that comes in pieces, all its pieces at their own time."""
     total = spark.read.parquet(f"{d}/conversations.parquet").groupBy(F.col("conv_id").alias("turn")).agg((F.max("turn") + 1).cast("int").alias("total"))
     rows = stream(spark, d, "conversations").select(F.col("conv_id").alias("turn"), F.col("turn").cast("int").alias("seq"), F.concat(F.coalesce("text", F.lit("")), F.lit(" ")).alias("text"))
-    return rows.join(total, "turn").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("seq") * 60))
+    # by a shuffle: a broadcast would send a row of every conversation through the driver, in every batch
+    return rows.join(stored(total, "totals").hint("merge"), "turn").withColumn("ts", F.timestamp_seconds(1_700_000_000 + F.col("seq") * 60))
 
 
 def timeline(spark: SparkSession, d: str) -> DataFrame:
