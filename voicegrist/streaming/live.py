@@ -9,6 +9,7 @@ wait for an earlier one (timelines, sentences), by the time a request may take (
 
 from __future__ import annotations
 
+import bisect
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -41,11 +42,12 @@ def generations(requests: DataFrame, late: str = "1 minute") -> DataFrame:
                 waiting += zip(b["us"].tolist(), b["request_id"].tolist(), b["kind"].tolist(), strict=True)
         passed = state.getCurrentWatermarkMs() * 1000
         waiting.sort(key=lambda x: x[:2])
+        due = bisect.bisect_right(waiting, passed, key=lambda x: x[0])
         out = []
-        while waiting and waiting[0][0] <= passed:
-            us, i, kind = waiting.pop(0)
+        for us, i, kind in waiting[:due]:
             out.append((key[0], i, kind, us, n))
             n += kind == "flush"
+        waiting = waiting[due:]
         state.update((n, [x[0] for x in waiting], [x[1] for x in waiting], [x[2] for x in waiting]))
         if waiting:
             _wake(state, -(-waiting[0][0] // 1000) - 1)
