@@ -100,13 +100,19 @@ def _stripped(s: Column) -> Column:
     return F.when(s.rlike("[\u0085\u2028\u2029]"), F.regexp_replace(s, r"^\s+|\s+$", "")).otherwise(F.trim(s, F.lit(" \t\n\x0b\f\r")))
 
 
-def sentence_pieces(text: Column, no_split: bool = False) -> Column:
-    """Array of sentences; an empty string is an explicit pause."""
+def sentence_pieces(text: Column, no_split: bool | Column = False) -> Column:
+    """Array of sentences; an empty string is an explicit pause. Texts for which no_split holds stay whole."""
     t = where_found(text, f"[{_END}{_PAUSE}{_DOT}]", lambda x: F.translate(x, _END + _PAUSE + _DOT, ""))
-    if no_split:
-        return F.array(F.trim(t))
+    whole = F.array(F.trim(t))
+    if isinstance(no_split, Column):
+        return F.when(no_split, whole).otherwise(_sentences(t))
+    return whole if no_split else _sentences(t)
+
+
+def _sentences(t: Column) -> Column:
     t = F.regexp_replace(t, r"(?<!\n)\n(?!\n)", " ")
     t = F.regexp_replace(t, r"(?<!\n)\n\n", _END)
+    # of longer runs of line ends, each further one is a pause, a piece of its own
     t = F.replace(t, F.lit("\n"), F.lit(_PAUSE + _END))
     # a pattern begins with the dot, for which Java looks fast, and then looks back
     t = F.regexp_replace(t, rf"\.(?<=(?<![A-Za-z0-9])(?i:{_ONE_DOT})\.)", _DOT)
@@ -116,15 +122,23 @@ def sentence_pieces(text: Column, no_split: bool = False) -> Column:
             x = F.regexp_replace(x, rf"(?<![A-Za-z0-9])(?i:({a[0]})\.({a[2]})\.)", f"$1{_DOT}$2{_DOT}")
         return x
 
-    t = where_found(t, "(?i)" + "|".join(rf"{a[0]}\.{a[2]}\." for a in _TWO_DOTS), two_dots)
+    t = where_found(t, rf"\.[{''.join(a[2] + a[2].upper() for a in _TWO_DOTS)}]\.", two_dots)
     t = F.replace(t, F.lit("..."), F.lit(_DOT * 3))
     t = F.regexp_replace(t, r"\.(?<=[0-9]\.)(?=[0-9])", _DOT)
     t = F.regexp_replace(t, r"([.!?;])", f"$1{_END}")
-    pieces = F.transform(F.split(t, _END), lambda s: bind(F.replace(s, F.lit(_DOT), F.lit(".")), _stripped))
-    return F.transform(F.filter(pieces, lambda s: s.rlike(r"[\p{L}\p{N}]") | (s == _PAUSE)), lambda s: F.when(s == _PAUSE, "").otherwise(F.replace(s, F.lit(_PAUSE), F.lit(""))))
+    return bind(F.replace(t, F.lit(_DOT), F.lit(".")), _pieces)
+
+
+def _pieces(t: Column) -> Column:
+    """A marked text cut at its ends. What only few texts need, blanks other than spaces and pauses, is asked of the text, not of every piece."""
+    cut = F.split(t, _END)
+    stripped = F.when(t.rlike("[\t\x0b\f\r\u0085\u2028\u2029]"), F.transform(cut, _stripped)).otherwise(F.transform(cut, lambda s: F.trim(s)))
+    said = lambda s: s.rlike(r"[\p{L}\p{N}]")
+    paused = F.transform(F.filter(stripped, lambda s: said(s) | (s == _PAUSE)), lambda s: F.when(s == _PAUSE, "").otherwise(s))
+    return F.when(t.contains(_PAUSE), paused).otherwise(F.filter(stripped, said))
 
 
-def split_sentences(docs: DataFrame, no_split: bool = False) -> DataFrame:
+def split_sentences(docs: DataFrame, no_split: bool | Column = False) -> DataFrame:
     """(doc_id, sent_idx, text, is_pause)."""
     return docs.select("doc_id", F.posexplode(sentence_pieces(F.col("text"), no_split)).alias("sent_idx", "text")).withColumn("is_pause", F.col("text") == "")
 

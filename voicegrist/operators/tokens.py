@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,11 +33,29 @@ def words_of(text: Column | str) -> Column:
     return F.regexp_extract_all(F.replace(text, F.lit("’"), F.lit("'")), F.lit("[A-Za-z'-]+"), F.lit(0))
 
 
+def lettered(text: Column) -> Column:
+    """Whether all words of a text hold a letter. They are then the same in the text and in its sentences: no sentence ends inside a word,
+    and a sentence is left out only if it has neither letter nor digit."""
+    return ~text.rlike("['’-](?<![A-Za-z'’-].)['’-]*(?![A-Za-z'’-])")
+
+
 def word_index(sentences: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, word_idx, word): words only, numbered inside each sentence without a shuffle."""
     return sentences.select("doc_id", "sent_idx", F.posexplode(words_of("text")).alias("word_idx", "word"))
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = Counter(itertools.chain.from_iterable(map(re.compile("[A-Za-z'’-]+").findall, filter(None, batch.column(0).to_pylist()))))
+        yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "n"])
+
+
+def word_totals(texts: DataFrame) -> DataFrame:
+    """(word, n) of all words of texts (text), by exact spelling. They are counted within each batch first: a word by itself never becomes a row."""
+    counted = texts.select("text").mapInArrow(_counts, "word string, n long")
+    return counted.groupBy(F.replace("word", F.lit("’"), F.lit("'")).alias("word")).agg(F.sum("n").alias("n"))
+
+
 def render_phonemes(tokens: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, phonemes) from (doc_id, sent_idx, tok_idx, kind, ipa): words spaced, punctuation glued. A token needs only the one
     before it, so a row takes time in proportion to its tokens."""

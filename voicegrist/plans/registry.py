@@ -40,9 +40,14 @@ def words(spark: SparkSession, d: str) -> DataFrame:
     return K.word_index(sents(spark, d))
 
 
+def counted_words(spark: SparkSession, d: str) -> DataFrame:
+    """(word, n) of all sentences by exact spelling. Texts are split into sentences only where that could change their words."""
+    return K.word_totals(T.split_sentences(docs(spark, d), no_split=K.lettered(F.col("text"))))
+
+
 def word_counts(spark: SparkSession, d: str) -> DataFrame:
-    """(word, n) by exact spelling: written once, so that lexicons and types need no text again."""
-    return stored(words(spark, d).groupBy("word").agg(F.count("*").alias("n")), "words")
+    """counted_words, written once, so that lexicons and types need no text again."""
+    return stored(counted_words(spark, d), "words")
 
 
 def lexicons(spark: SparkSession, d: str, counts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -208,12 +213,12 @@ QUERIES = {
     "v01_dictionary": dictionary,
     "v02_emphasis": emphatic,
     "v03_coverage": coverage,
-    "v03_frequencies": lambda s, d: K.word_frequencies(words(s, d)),
+    "v03_frequencies": lambda s, d: K.word_frequencies(counted_words(s, d)),
     "p02_homographs": lambda s, d: P.homograph_senses(sents(s, d)),
     "p17_resolve_words": types,
     "p17_tiers": lambda s, d: types(s, d).groupBy("tier").agg(F.count("*").alias("types")),
     "p18_phonemize": spoken,
-    "x04_letter_to_sound": lambda s, d: words(s, d).select(F.lower("word").alias("word")).distinct().select("word", P.letter_to_sound(F.col("word")).alias("ipa")),
+    "x04_letter_to_sound": lambda s, d: counted_words(s, d).select(F.lower("word").alias("word")).distinct().select("word", P.letter_to_sound(F.col("word")).alias("ipa")),
     "c01_cap": lambda s, d: C.enforce_cap(pieces(s, d), 60),
     "c02_chunk_stats": lambda s, d: C.chunk_stats(pieces(s, d), 60),
     "c03_ids": lambda s, d: C.phonemes_to_ids(pieces(s, d), vocab(s, d)).select("doc_id", "sent_idx", F.size("ids").alias("n_ids"), "dropped", F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum")),
