@@ -96,10 +96,12 @@ def letter_to_sound(word: Column) -> Column:
     def stressed(ps: Column) -> Column:
         nuclei = F.filter(F.transform(ps, lambda p, i: F.when(p.startswith("*"), i)), lambda i: i.isNotNull())
         at = bind(nuclei, lambda n: F.when(F.size(n) <= 2, F.get(n, F.lit(0))).otherwise(F.get(n, F.size(n) - 2)))
-        return F.array_join(F.transform(ps, lambda p, i: F.concat(F.when(i == at, "ˈ").otherwise(""), F.replace(p, F.lit("*"), F.lit("")))), "")
+        # bound, for inside the list it would be worked out anew for every phone
+        marked = bind(at, lambda a: F.transform(ps, lambda p, i: F.when(i == a, F.concat(F.lit("ˈ"), p)).otherwise(p)))
+        return F.replace(F.array_join(marked, ""), F.lit("*"), F.lit(""))
 
     said_word = bind(F.regexp_replace(F.lower(word), "[^a-z]", ""), whole)
-    return F.when(F.coalesce(said_word, F.lit("")) == "", letter_names(word)).otherwise(said_word)
+    return bind(said_word, lambda said: F.when(F.coalesce(said, F.lit("")) == "", letter_names(word)).otherwise(said))
 
 
 def lexicon(gold: DataFrame, phones: DataFrame) -> DataFrame:
