@@ -89,3 +89,34 @@ def test_conversations_meet_their_totals_without_a_broadcast(spark, tmp_path):
     query.awaitTermination()
     plan = query._jsq.explainInternal(False)
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_words_counted_in_whole_texts_are_those_of_the_sentences(spark):
+    texts = ["It’s a - b. - . 5 - 3! -- ?\n\n\n-\n\nIt's", "well-known 'tis '", "a\u0001b \u0002- c.\u0003d", "", None, "... - ...", "- é. -- . x\n- y", "plain words. Plain words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counted = K.word_totals(T.split_sentences(docs, no_split=K.lettered(F.col("text"))))
+    by_sentence = K.word_index(T.split_sentences(docs)).groupBy("word").count()
+    assert {tuple(r) for r in counted.collect()} == {tuple(r) for r in by_sentence.collect()}
+
+
+def test_pauses_and_odd_blanks_of_sentences(spark):
+    said = {"a.\n\n\n b\tc\t. \x0b\n\n\n\nd": ["a.", "", "b\tc\t.", "", "", "d"], " \t one! \r\n two ": ["one!", "two "], "A.m. e.G. x": ["A.m. e.G. x"], "-\n\n\n-": [""], "": [], "a": ["a"]}
+    assert {k: one(spark, T.sentence_pieces(F.col("t")), t=k) for k in said} == said
+
+
+def test_long_word_is_read_in_linear_time(spark):
+    n = 10_000
+    rows, took = seconds(spark.range(1).select(F.repeat(F.lit("ba"), F.col("id").cast("int") + n).alias("w")).select(P.letter_to_sound(F.col("w")).alias("ipa")))
+    assert rows[0]["ipa"] == "bæ" * (n - 2) + "bˈæbæ" and took < 20
+
+
+def test_ids_by_a_large_vocabulary(spark):
+    from voicegrist.operators import chunks as C
+
+    vocab = spark.range(0xAC00, 0xD7A4).select(F.decode(F.unhex(F.hex("id")), "UTF-16BE").alias("symbol"), F.col("id")).unionByName(spark.createDataFrame([("𝄞", 7), ("ab", 8), ("", 9), ("é", None)], "symbol string, id long"))
+    text = spark.range(1).select(F.lit(1).alias("doc_id"), F.lit(0).alias("sent_idx"), F.concat(F.repeat(F.lit("힣"), 400_000), F.lit("𝄞ab𝄢é")).alias("phonemes"))
+    rows, took = seconds(C.phonemes_to_ids(text, vocab).select(F.size("ids").alias("n"), F.slice("ids", 400_000, 9).alias("last"), "dropped"))
+    assert [tuple(r) for r in rows] == [(400_001, [0xD7A3, 7], 4)] and took < 20
+    assert {tuple(r) for r in C.unmapped_symbols(text, vocab).collect()} == {("a", 1), ("b", 1), ("𝄢", 1), ("é", 1)}
+    none = spark.createDataFrame([(1, 0, ""), (2, 0, None)], "doc_id int, sent_idx int, phonemes string")
+    assert [tuple(r) for r in C.phonemes_to_ids(none, vocab).orderBy("doc_id").collect()] == [(1, 0, [], 0), (2, 0, None, None)]

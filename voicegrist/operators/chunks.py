@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import bind
 from ..sources.shared import stored
 
 CAP = 510
@@ -81,26 +82,34 @@ def chunk_stats(utterances: DataFrame, cap: int = CAP) -> DataFrame:
 MOST_SYMBOLS = 1 << 16
 
 
-def _ids(vocab: DataFrame) -> Column:
-    """The vocabulary (symbol, id) as a constant map, after a check of its size."""
+def _ids(vocab: DataFrame) -> Callable[[Column], Column]:
+    """The id of a symbol by the vocabulary (symbol, id), after a check of its size; null for others. A list by code point is asked in one
+    step, where a map looks through all its keys; symbols beyond the list's last place are few and stay in a map."""
     rows = vocab.select("symbol", F.col("id").cast("long")).limit(MOST_SYMBOLS + 1).collect()
     if len(rows) > MOST_SYMBOLS:
         raise ValueError(f"more than {MOST_SYMBOLS} symbols")
-    return F.from_json(F.lit(json.dumps({r[0]: r[1] for r in rows}, ensure_ascii=False)), "map<string,bigint>")
+    known = {ord(k): v for k, v in rows if k is not None and len(k) == 1}
+    near = {k: v for k, v in known.items() if k < MOST_SYMBOLS}
+    far = {chr(k): v for k, v in known.items() if k >= MOST_SYMBOLS}
+    listed = F.from_json(F.lit(json.dumps([near.get(i) for i in range(max(near, default=0) + 1)])), "array<bigint>")
+    if not far:
+        return lambda c: F.get(listed, F.ascii(c))
+    mapped = F.from_json(F.lit(json.dumps(far, ensure_ascii=False)), "map<string,bigint>")
+    return lambda c: F.when(F.ascii(c) < MOST_SYMBOLS, F.get(listed, F.ascii(c))).otherwise(F.element_at(mapped, c))
 
 
 def phonemes_to_ids(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
     """(doc_id, sent_idx, ids, dropped): symbols without an id are left out and counted. All in the row, no shuffle."""
     known = _ids(vocab)
-    all_ids = F.transform(F.filter(F.split("phonemes", ""), lambda c: c != ""), lambda c: F.element_at(known, c))
-    found = pieces.select("doc_id", "sent_idx", all_ids.alias("all"))
-    return found.select("doc_id", "sent_idx", F.array_compact("all").alias("ids"), (F.size("all") - F.size(F.array_compact("all"))).cast("long").alias("dropped"))
+    symbols = F.when(F.col("phonemes") == "", F.array().cast("array<string>")).otherwise(F.split("phonemes", ""))
+    found = pieces.select("doc_id", "sent_idx", bind(F.transform(symbols, known), lambda ids: F.struct(F.size(ids).alias("n"), F.array_compact(ids).alias("ids"))).alias("x"))
+    return found.select("doc_id", "sent_idx", F.col("x.ids").alias("ids"), (F.col("x.n") - F.size("x.ids")).cast("long").alias("dropped"))
 
 
 def unmapped_symbols(pieces: DataFrame, vocab: DataFrame) -> DataFrame:
     """(symbol, n): only symbols without an id leave their row."""
     known = _ids(vocab)
-    strange = F.filter(F.split("phonemes", ""), lambda c: (c != "") & F.element_at(known, c).isNull())
+    strange = F.filter(F.split("phonemes", ""), lambda c: (c != "") & known(c).isNull())
     return pieces.select(F.explode(strange).alias("symbol")).groupBy("symbol").agg(F.count("*").alias("n"))
 
 
