@@ -120,3 +120,13 @@ def test_ids_by_a_large_vocabulary(spark):
     assert {tuple(r) for r in C.unmapped_symbols(text, vocab).collect()} == {("a", 1), ("b", 1), ("𝄢", 1), ("é", 1)}
     none = spark.createDataFrame([(1, 0, ""), (2, 0, None)], "doc_id int, sent_idx int, phonemes string")
     assert [tuple(r) for r in C.phonemes_to_ids(none, vocab).orderBy("doc_id").collect()] == [(1, 0, [], 0), (2, 0, None, None)]
+
+
+def test_the_cascade_changes_no_text_that_is_left_out_of_it(spark):
+    plain = ["Plain words, said (so)!", "Éa àé 'tis \"it\"; mit ß", "a\tb  c ", "", "He is. A"]
+    odd = ["did", "élan ÉA", "ìì x", "Dr. No", "ask e.G. him", "see www.x", "at a.com", "x - y", "a1", "“q”", "x × y", "α", "\u0001a", "NASA's", "mix", "ía.ío"]
+    df = spark.createDataFrame(list(enumerate(plain + odd)), "i int, text string")
+    said = {r["i"]: r["text"] for r in N.normalize_corpus(df, is_word=lambda w: F.lit(False)).collect()}
+    for r in df.select("i", "text", N.touched(F.col("text")).alias("touched"), N.fold_diacritics(F.col("text")).alias("folded")).collect():
+        assert r["touched"] == (r["i"] >= len(plain)), r["text"]
+        assert r["touched"] or said[r["i"]] == r["folded"], r["text"]

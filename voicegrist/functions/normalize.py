@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .text import MONTHS, _list, bind, digit_words, integer_words, literal_map, ordinal_words, plural_year, rewrite, where_found, year_words
 
 IsWord = Callable[[Column], Column]
@@ -302,6 +303,19 @@ RULES: dict[str, Callable[[Column], Column]] = {
 NUMERIC = {"n06_feet_inches", "n07_hex", "n12_dates", "n14_money_time", "n15_units", "n16_digit_letter_gap", "n19_numbers"}
 
 
+#: What a text must hold for any rule but N9 to change it: a character beyond letters, blanks and common marks, capitals side by side, small
+#: letters that may be a numeral, an abbreviation, or the dot of a host.
+_TOUCHED = (
+    r"[^A-Za-zÀ-ÖØ-öø-ɏ\s.,!?;'\"()]|[A-Z]{2}|(?<![A-Za-z0-9])[ivxlcdm]{2,}(?![A-Za-z0-9])"
+    rf"|\.(?i:{'|'.join(TLDS)})|\.(?<=(?<![A-Za-z0-9])(?i:www|{'|'.join(a[:-1].replace('.', '[.]') for a in SPOKEN)})\.)"
+)
+
+
+def touched(t: Column) -> Column:
+    """Whether a rule other than N9 may change t, as it is or after N9."""
+    return bind(t, lambda x: x.rlike(_TOUCHED) | F.when(x.rlike(LATIN), fold_diacritics(x).rlike(_TOUCHED)).otherwise(False))
+
+
 def normalize_corpus(sentences: DataFrame, column: str = "text", rewrites: list[tuple[str, str]] = (), is_word: IsWord | None = None, is_emphatic: IsWord | None = None) -> DataFrame:
     """The whole cascade on one column, each rule in a projection of its own. is_emphatic tells all-caps words that are real words (default: is_word)."""
     text = F.col(column)
@@ -320,6 +334,10 @@ def normalize_with_lexicon(rows: DataFrame, keys: list[str], column: str, gold:
     with the lexicons and come back as an array in the row; all-caps words are real from 3 letters in gold, 6 in the other."""
     if rewrites:
         rows = rows.withColumn(column, apply_rewrites(F.col(column), list(rewrites)))
+    # written once, as they are read three times; rows that only N9 may change neither meet the lexicons nor go through the cascade
+    rows = stored(rows.withColumn("__touched", touched(F.col(column))), "rows")
+    plain = rows.where(~F.col("__touched")).drop("__touched").withColumn(column, fold_diacritics(F.col(column)))
+    rows = rows.where(F.coalesce("__touched", F.lit(True))).drop("__touched")
     text = F.when(F.col(column).rlike(LATIN), F.concat_ws(" ", F.col(column), fold_diacritics(F.col(column)))).otherwise(F.coalesce(column, F.lit("")))
     found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     asked = F.when(F.col(column).rlike(r"/|www\.|\.[A-Za-z]"), found("[A-Za-z]{2,}")).otherwise(found("(?<![A-Za-z])(?:[A-Z]{2,}|[ivxlcdm]{2,})(?![A-Za-z])"))
@@ -332,7 +350,7 @@ def normalize_with_lexicon(rows: DataFrame, keys: list[str], column: str, gold:
         one = F.col(k).eqNullSafe(F.col(f"__{k}"))
         same = one if same is None else same & one
     has = lambda name: lambda w: F.coalesce(F.array_contains(name, w), F.lit(False))
-    return normalize_corpus(rows.join(held, same, "left"), column, (), has("__known"), has("__emphatic")).select(rows.columns)
+    return normalize_corpus(rows.join(held, same, "left"), column, (), has("__known"), has("__emphatic")).select(rows.columns).unionByName(plain)
 
 
 CENSUS = {"digits": "[0-9]+", "money": r"[$€£¥][0-9]", "iso_date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "caps": "[A-Z][A-Z]+", "accents": r"[À-ɏ]", "email_at": "@", "url": r"https?://|www\.", "percent": "%"}

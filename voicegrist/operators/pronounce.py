@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.normalize import SAY_AS_WORD, normalize_with_lexicon
 from ..functions.text import bind, literal_map
 from ..sources.shared import stored
-from .tokens import words_of
+from .tokens import word_totals, words_of
 
 # Phone symbols (a vowel takes a stress mark), letter names, affixes, initialisms.
 VOWELS = {"AA": "ɑ", "AE": "æ", "AO": "ɔ", "AW": "W", "AY": "I", "EH": "ɛ", "EY": "A", "IH": "ɪ", "IY": "i", "OW": "O", "OY": "Y", "UH": "ʊ", "UW": "u"}
@@ -343,7 +343,7 @@ def phonemize_corpus(sentences: DataFrame, gold: DataFrame, phones: DataFrame, o
 
     sentences = stored(normalize_with_lexicon(sentences.select("doc_id", "sent_idx", "text"), ["doc_id", "sent_idx"], "text", gold, phones, rewrites), "normalized")
     tokens = tokenize(sentences)
-    types = resolve_words(tokens.where("kind = 'word'").select(F.col("token").alias("word")), gold, phones, overrides, tiers)
+    types = resolve_words(word_totals(sentences), gold, phones, overrides, tiers)
     senses = homograph_senses(sentences).select("doc_id", "sent_idx", "word_idx", "sense_ipa")
     said = tokens.join(types.select(F.col("word").alias("token"), "ipa", "tier"), "token", "left").join(senses, ["doc_id", "sent_idx", "word_idx"], "left")
     word = F.when(F.col("tier") == "override", F.col("ipa")).otherwise(F.coalesce("sense_ipa", "ipa", F.lit("")))
