@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import unicodedata
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,13 +66,13 @@ def greek_letters(t: Column) -> Column:
 def super_sub_digits(t: Column) -> Column:
     """N4"""
     digits = "⁰¹²³⁴⁵⁶⁷⁸⁹₀₁₂₃₄₅₆₇₈₉"
-    return where_found(t, f"[{digits}]", lambda x: F.translate(F.regexp_replace(x, f"([{digits}])", " $1 "), digits, "01234567890123456789"))
+    return where_found(t, "[²³¹⁰⁴-⁹₀-₉]", lambda x: F.translate(F.regexp_replace(x, f"([{digits}])", " $1 "), digits, "01234567890123456789"))
 
 
 def playing_cards(t: Column) -> Column:
     """N5"""
     suit, rank = literal_map(SUITS), literal_map(RANKS)
-    t = rewrite(t, "(?<![A-Za-z0-9])(?:10|[2-9AKQJ])[♠♥♦♣]", lambda m: F.concat(F.lit(" "), F.element_at(rank, F.regexp_replace(m, "[♠♥♦♣]", "")), F.lit(" of "), F.element_at(suit, F.substring(m, -1, 1)), F.lit(" ")))
+    t = rewrite(t, "(?<![A-Za-z0-9])(?:10|[2-9AKQJ])[♠♥♦♣]", lambda m: F.concat(F.lit(" "), F.element_at(rank, F.regexp_replace(m, "[♠♥♦♣]", "")), F.lit(" of "), F.element_at(suit, F.substring(m, -1, 1)), F.lit(" ")), "[♠♥♦♣]")
     return rewrite(t, "[♠♥♦♣]", lambda m: F.concat(F.lit(" "), F.element_at(suit, m), F.lit(" ")))
 
 
@@ -96,19 +99,22 @@ def roman_numerals(t: Column, is_word: IsWord | None = None) -> Column:
         return number if is_word is None else F.when(is_word(F.lower(m)), m).otherwise(number)
 
     form = "[IVXLCDM]{2,}" if is_word else "(?=[MDCLXVI]{2})M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})"
-    return rewrite(t, rf"(?<![A-Za-z0-9])(?:{form}|{form.lower()})(?![A-Za-z0-9])", said, "(?<![A-Za-z0-9])(?:[IVXLCDM]{2,}|[ivxlcdm]{2,})(?![A-Za-z0-9])")
+    return rewrite(t, rf"(?<![A-Za-z0-9])(?:{form}|{form.lower()})(?![A-Za-z0-9])", said, "(?:[IVXLCDM]{2}|[ivxlcdm]{2})(?<=(?<![A-Za-z0-9])..)(?:[IVXLCDM]*|[ivxlcdm]*)(?![A-Za-z0-9])")
 
 
 #: Where letters with diacritics lie.
 LATIN = "[À-ɏ]"
 
 
-def fold_diacritics(t: Column) -> Column:
-    """Latin letters to their ASCII base, by Unicode decomposition; the table is built by rule."""
-    import unicodedata
-
+def _folding() -> dict[str, str]:
+    """Latin letters to their ASCII base, by Unicode decomposition."""
     base = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if (d := unicodedata.normalize("NFD", c))[0] < "\x80" and d[0].isalpha() and len(d) > 1}
-    base |= dict(zip("œŒæÆßøØłŁđĐ", "oOaAsoOlLdD", strict=True))
+    return base | dict(zip("œŒæÆßøØłŁđĐ", "oOaAsoOlLdD", strict=True))
+
+
+def fold_diacritics(t: Column) -> Column:
+    """Latin letters to their ASCII base; the table is built by rule."""
+    base = _folding()
     return where_found(t, LATIN, lambda x: F.translate(x, "".join(base), "".join(base.values())))
 
 
@@ -157,10 +163,15 @@ _M, _D, _Y = r"(?:1[0-2]|0?[1-9])", r"(?:3[01]|[12][0-9]|0?[1-9])", r"(?:1[0-9]{
 def dates(t: Column) -> Column:
     """ISO, month/day/year, month-day-year, and month names; a boundary is needed on the left."""
     some = r"[0-9][-/][0-9]"
-    t = rewrite(t, rf"(?<![0-9/-]){_Y}-(?:1[0-2]|0[1-9])-(?:3[01]|[12][0-9]|0[1-9])(?![0-9/-])", lambda s: _date_words(F.substring(s, 1, 4), F.substring(s, 6, 2), F.substring(s, 9, 2)), some)
-    for sep in "/-":
-        p = rf"({_M}){sep}({_D}){sep}({_Y})"
-        t = rewrite(t, rf"(?<![0-9/-]){p}(?![0-9/-])", _numeric_date(p), some)
+
+    def of_digits(t: Column) -> Column:
+        t = rewrite(t, rf"(?<![0-9/-]){_Y}-(?:1[0-2]|0[1-9])-(?:3[01]|[12][0-9]|0[1-9])(?![0-9/-])", lambda s: _date_words(F.substring(s, 1, 4), F.substring(s, 6, 2), F.substring(s, 9, 2)), some)
+        for sep in "/-":
+            p = rf"({_M}){sep}({_D}){sep}({_Y})"
+            t = rewrite(t, rf"(?<![0-9/-]){p}(?![0-9/-])", _numeric_date(p), some)
+        return t
+
+    t = where_found(t, some, of_digits)
     names = "|".join(MONTHS)
     p = rf"((?i:{names}))\s+({_D})(?:st|nd|rd|th)?(?:(,?\s+)({_Y}))?(?![0-9A-Za-z/:-])"
 
@@ -168,7 +179,9 @@ def dates(t: Column) -> Column:
         year = _group(s, p, 4)
         return F.concat(_group(s, p, 1), F.lit(" "), ordinal_words(integer_words(_group(s, p, 2))), F.when(year != "", F.concat(F.lit(" "), year_words(year))).otherwise(""))
 
-    return rewrite(t, rf"(?<![A-Za-z0-9]){p}", named, rf"(?i:{names})\s+[0-9]")
+    # most texts have no digit after a last letter of a month, for which there is no need to try all names at every place
+    ends = "".join(sorted({m[-1] for m in MONTHS}))
+    return where_found(t, rf"(?i:[{ends}])\s+[0-9]", lambda x: rewrite(x, rf"(?<![A-Za-z0-9]){p}", named, rf"(?i:{names})\s+[0-9]"))
 
 
 def _numeric_date(p: str) -> Callable[[Column], Column]:
@@ -199,7 +212,9 @@ def math_symbols(t: Column) -> Column:
         new = rewrite(x, _MATH, lambda m: F.concat(F.lit(" "), F.element_at(spoken, m), F.lit(" ")), _SIGNS)
         return bind(new, lambda y: F.when(y == x, t).otherwise(F.trim(F.regexp_replace(y, r"\s+", " "))))
 
-    return bind(F.regexp_replace(t, r"\s+", " "), one)
+    # most texts have single spaces only, which need not be put in place of themselves
+    spaced = lambda x: F.when(x.contains("  ") | x.rlike(r"[\t\n\x0B\f\r]"), F.regexp_replace(x, r"\s+", " ")).otherwise(x)
+    return where_found(t, _SIGNS, lambda x: bind(spaced(x), one))
 
 
 _NUM = r"[0-9]+(?:,[0-9]{3})*"
@@ -219,9 +234,12 @@ def money_time(t: Column) -> Column:
         whole = F.concat(integer_words(n), F.lit(" "), F.when(F.regexp_replace(n, "^0+", "") == "1", one).otherwise(many))
         return F.concat(whole, F.when(_group(m, r"\.([0-9]{1,2})", 1).rlike("[1-9]"), F.concat(F.lit(" "), _counted(cents, "cent", "cents"))).otherwise(""))
 
-    t = rewrite(t, rf"[$€£¥]{_NUM}(?:\.[0-9]{{1,2}}(?![0-9]))?", amount, "[$€£¥][0-9]")
-    t = F.regexp_replace(t, r"(?<![A-Za-z0-9])\$(?=[A-Za-z])", " dollar ")
-    t = rewrite(t, rf"(?<![A-Za-z0-9:/]){_NUM}¢", lambda m: _counted(F.regexp_replace(m, "[,¢]", ""), "cent", "cents"), "¢")
+    def signed(t: Column) -> Column:
+        t = rewrite(t, rf"[$€£¥]{_NUM}(?:\.[0-9]{{1,2}}(?![0-9]))?", amount, "[$€£¥][0-9]")
+        t = F.regexp_replace(t, r"\$(?<=(?<![A-Za-z0-9])\$)(?=[A-Za-z])", " dollar ")
+        return rewrite(t, rf"(?<![A-Za-z0-9:/]){_NUM}¢", lambda m: _counted(F.regexp_replace(m, "[,¢]", ""), "cent", "cents"), "¢")
+
+    t = where_found(t, "[$€£¥¢]", signed)
 
     def clock(m: Column) -> Column:
         h, mm = _group(m, "^([0-9]+):", 1), _group(m, ":([0-9]{2})$", 1)
@@ -299,16 +317,24 @@ RULES: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: Rules that change no text of ASCII and letters without square brackets, nor bring such characters in.
+ODD = {"n02_dashes", "n03_greek", "n04_super_sub", "n05_cards"}
+
 #: Rules that change no text without a digit or $. None of the rules between them brings a digit in, so one look serves them all.
 NUMERIC = {"n06_feet_inches", "n07_hex", "n12_dates", "n14_money_time", "n15_units", "n16_digit_letter_gap", "n19_numbers"}
 
 
-#: What a text must hold for any rule but N9 to change it: a character beyond letters, blanks and common marks, capitals side by side, small
-#: letters that may be a numeral, an abbreviation, or the dot of a host.
-_TOUCHED = (
-    r"[^A-Za-zÀ-ÖØ-öø-ɏ\s.,!?;'\"()]|[A-Z]{2}|(?<![A-Za-z0-9])[ivxlcdm]{2,}(?![A-Za-z0-9])"
-    rf"|\.(?i:{'|'.join(TLDS)})|\.(?<=(?<![A-Za-z0-9])(?i:www|{'|'.join(a[:-1].replace('.', '[.]') for a in SPOKEN)})\.)"
-)
+#: What a text must hold for any rule but N9 to change it: a character beyond letters, blanks and common marks, an abbreviation, or the dot
+#: of a host; or letters only, capitals side by side or small ones that may be a numeral.
+_SIGN, _LETTERS = r"[^A-Za-zÀ-ÖØ-öø-ɏ\s.,!?;'\"()]", r"[A-Z]{2}|(?<![A-Za-z0-9])[ivxlcdm]{2,}(?![A-Za-z0-9])"
+_DOTTED = "|".join(a[:-1].replace(".", "[.]") for a in SPOKEN)
+_TOUCHED = rf"{_SIGN}|{_LETTERS}|\.(?i:{'|'.join(TLDS)})|\.(?<=(?<![A-Za-z0-9])(?i:www|{_DOTTED})\.)"
+#: The same without looking around, for the matcher of Arrow, which takes one look at each character: all but letters; letters.
+_BEFORE, _AFTER = "(?:^|[^A-Za-z0-9])", "(?:$|[^A-Za-z0-9])"
+_SIGN_SEEN = rf"{_SIGN}|\.(?i:{'|'.join(TLDS)})|{_BEFORE}(?i:www|{_DOTTED})\.".replace(r"\s", r"\t\n\x0b\f\r ")
+_LETTERS_SEEN = f"[A-Z]{{2}}|{_BEFORE}[ivxlcdm]{{2,}}{_AFTER}"
+#: Rules that may change a text of letters, blanks and common marks without abbreviations and hosts. None of them brings in anything else.
+OF_LETTERS = ("n08_roman", "n09_diacritics", "n17_emphasis", "n18_acronyms")
 
 
 def touched(t: Column) -> Column:
@@ -316,17 +342,45 @@ def touched(t: Column) -> Column:
     return bind(t, lambda x: x.rlike(_TOUCHED) | F.when(x.rlike(LATIN), fold_diacritics(x).rlike(_TOUCHED)).otherwise(False))
 
 
-def normalize_corpus(sentences: DataFrame, column: str = "text", rewrites: list[tuple[str, str]] = (), is_word: IsWord | None = None, is_emphatic: IsWord | None = None) -> DataFrame:
-    """The whole cascade on one column, each rule in a projection of its own. is_emphatic tells all-caps words that are real words (default: is_word)."""
+def sifted(rows: DataFrame, column: str) -> DataFrame:
+    """rows with __rules: which rules may change the text: 0 none but N9, which is done with, 1 those OF_LETTERS, 2 any."""
+    at, folded = rows.columns.index(column), str.maketrans(_folding())
+
+    def rules(texts: pa.Array) -> pa.Array:
+        return pc.fill_null(pc.if_else(pc.match_substring_regex(texts, _SIGN_SEEN), 2, pc.if_else(pc.match_substring_regex(texts, _LETTERS_SEEN), 1, 0)), 0)
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            found = rules(texts)
+            latin = pc.fill_null(pc.and_(pc.match_substring_regex(texts, LATIN), pc.less(found, 2)), False)
+            if pc.any(latin).as_py():
+                plain = pa.array([t.translate(folded) for t in pc.filter(texts, latin).to_pylist()], texts.type)
+                after = pc.max_element_wise(rules(plain), pc.filter(found, latin))
+                texts = pc.replace_with_mask(texts, latin, pc.if_else(pc.equal(after, 0), plain, pc.filter(texts, latin)))
+                found = pc.replace_with_mask(found, latin, after)
+            columns = [*batch.columns[:at], texts, *batch.columns[at + 1 :], found.cast(pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "__rules"])
+
+    kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(sift, f"{kind}, __rules int")
+
+
+def normalize_corpus(sentences: DataFrame, column: str = "text", rewrites: list[tuple[str, str]] = (), is_word: IsWord | None = None, is_emphatic: IsWord | None = None, rules: Iterable[str] = tuple(RULES)) -> DataFrame:
+    """The whole cascade on one column, each rule in a projection of its own. is_emphatic tells all-caps words that are real words (default:
+    is_word). rules: those that may change the texts, in order."""
     text = F.col(column)
     out = sentences.withColumn(column, where_found(apply_rewrites(text, list(rewrites)), "\u0001", lambda t: F.translate(t, "\u0001", "")))
-    for name, rule in RULES.items():
+    for name in rules:
+        if name in ODD and "__odd" not in out.columns:
+            out = out.withColumn("__odd", text.rlike(r"[\[\]\x80-¿ɐ-\x{10FFFF}]"))
         if name in NUMERIC and "__digits" not in out.columns:
             out = out.withColumn("__digits", text.rlike("[0-9$]"))
         extra = {"is_word": is_word} if name in ("n08_roman", "n10_urls") else {"is_word": is_emphatic or is_word} if name == "n18_acronyms" else {}
-        said = rule(text, **extra)
-        out = out.withColumn(column, F.when(F.col("__digits"), said).otherwise(text) if name in NUMERIC else said)
-    return out.drop("__digits")
+        said = RULES[name](text, **extra)
+        on = "__odd" if name in ODD else "__digits" if name in NUMERIC else None
+        out = out.withColumn(column, F.when(F.col(on), said).otherwise(text) if on else said)
+    return out.drop("__odd", "__digits")
 
 
 def normalize_with_lexicon(rows: DataFrame, keys: list[str], column: str, gold: DataFrame, phones: DataFrame, rewrites: list[tuple[str, str]] = ()) -> DataFrame:
@@ -335,22 +389,25 @@ def normalize_with_lexicon(rows: DataFrame, keys: list[str], column: str, gold:
     if rewrites:
         rows = rows.withColumn(column, apply_rewrites(F.col(column), list(rewrites)))
     # written once, as they are read three times; rows that only N9 may change neither meet the lexicons nor go through the cascade
-    rows = stored(rows.withColumn("__touched", touched(F.col(column))), "rows")
-    plain = rows.where(~F.col("__touched")).drop("__touched").withColumn(column, fold_diacritics(F.col(column)))
-    rows = rows.where(F.coalesce("__touched", F.lit(True))).drop("__touched")
+    names = rows.columns
+    rows = stored(sifted(rows, column), "rows")
+    plain = rows.where("__rules = 0").drop("__rules")
+    rows = rows.where("__rules > 0")
     text = F.when(F.col(column).rlike(LATIN), F.concat_ws(" ", F.col(column), fold_diacritics(F.col(column)))).otherwise(F.coalesce(column, F.lit("")))
     found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     asked = F.when(F.col(column).rlike(r"/|www\.|\.[A-Za-z]"), found("[A-Za-z]{2,}")).otherwise(found("(?<![A-Za-z])(?:[A-Z]{2,}|[ivxlcdm]{2,})(?![A-Za-z])"))
     words = rows.select(*keys, F.explode(F.array_distinct(F.transform(asked, F.lower))).alias("w"))
     known = gold.select(F.lower("word").alias("w"), F.lit(True).alias("g")).unionByName(phones.select(F.lower("word").alias("w"), F.lit(False).alias("g"))).groupBy("w").agg(F.max("g").alias("g"))
     real = (F.col("g") & (F.length("w") >= 3)) | (F.length("w") >= 6)
-    held = words.join(known, "w").groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.collect_set("w").alias("__known"), F.collect_set(F.when(real, F.col("w"))).alias("__emphatic"))
+    held = stored(words.join(known, "w").groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.collect_set("w").alias("__known"), F.collect_set(F.when(real, F.col("w"))).alias("__emphatic")), "asked")
     same = None
     for k in keys:
         one = F.col(k).eqNullSafe(F.col(f"__{k}"))
         same = one if same is None else same & one
     has = lambda name: lambda w: F.coalesce(F.array_contains(name, w), F.lit(False))
-    return normalize_corpus(rows.join(held, same, "left"), column, (), has("__known"), has("__emphatic")).select(rows.columns).unionByName(plain)
+    for k, some in ((1, OF_LETTERS), (2, RULES)):
+        plain = plain.unionByName(normalize_corpus(rows.where(f"__rules = {k}").join(held, same, "left"), column, (), has("__known"), has("__emphatic"), some).select(names))
+    return plain
 
 
 CENSUS = {"digits": "[0-9]+", "money": r"[$€£¥][0-9]", "iso_date": r"[0-9]{4}-[0-9]{2}-[0-9]{2}", "caps": "[A-Z][A-Z]+", "accents": r"[À-ɏ]", "email_at": "@", "url": r"https?://|www\.", "percent": "%"}

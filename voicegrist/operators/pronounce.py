@@ -8,6 +8,7 @@ the parts, which are resolved as words of their own in further rounds."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from pyspark.sql import functions as F
 from ..functions.normalize import SAY_AS_WORD, normalize_with_lexicon
 from ..functions.text import bind, literal_map
 from ..sources.shared import stored
-from .tokens import word_totals, words_of
+from .lookup import said_by_table
+from .tokens import MARKS, OPENING, tokens_of, word_totals, words_of
 
 # Phone symbols (a vowel takes a stress mark), letter names, affixes, initialisms.
 VOWELS = {"AA": "ɑ", "AE": "æ", "AO": "ɔ", "AW": "W", "AY": "I", "EH": "ɛ", "EY": "A", "IH": "ɪ", "IY": "i", "OW": "O", "OY": "Y", "UH": "ʊ", "UW": "u"}
@@ -336,16 +338,49 @@ def homograph_senses(sentences: DataFrame) -> DataFrame:
     return at.select("doc_id", "sent_idx", "word_idx", "word", phones_to_ipa(F.split(phones, " ")).alias("sense_ipa"))
 
 
+#: The answer of a silent word; those of others begin with a blank.
+SILENT = "\u0000"
+
+
+def said_tokens(ts: list[str], answers: list[str | None], senses: list[tuple[int, str]] | None, kept: set[str] = frozenset()) -> str:
+    """render_phonemes of one sentence: words spaced, punctuation glued. senses: (word_idx, ipa) of words that are said otherwise, but for kept ones."""
+    if senses:
+        words = [i for i, t in enumerate(ts) if t not in MARKS]
+        for k, ipa in senses:
+            if ts[words[k]] not in kept:
+                answers[words[k]] = f" {ipa}" if ipa else SILENT
+    if None not in answers:
+        whole = "".join(answers)
+        if not any(map(whole.__contains__, _UNEVEN)):  # every word but the first has its blank
+            return whole.removeprefix(" ")
+    out, before = [], ""
+    for t, answer in zip(ts, answers, strict=True):
+        if t in MARKS:
+            before = answer
+        else:
+            if before and before[-1] not in OPENING:
+                out.append(" ")
+            before = "" if answer is None or answer == SILENT else answer[1:]
+        out.append(before)
+    return "".join(out)
+
+
+_UNEVEN = (SILENT, "  ", *OPENING.strip())
+
+
 def phonemize_corpus(sentences: DataFrame, gold: DataFrame, phones: DataFrame, overrides: DataFrame | None = None, rewrites: list[tuple[str, str]] = (), tiers: list[tuple[str, Tier]] | None = None) -> DataFrame:
-    """(doc_id, sent_idx, phonemes): sentences normalised once, types resolved once and joined back to tokens; empty output dropped.
+    """(doc_id, sent_idx, phonemes): sentences normalised once, types resolved once; tokens are said in their sentence; empty output dropped.
     A user's override comes before all else, a homograph's sense before the other tiers."""
-    from .tokens import render_phonemes, tokenize
-
     sentences = stored(normalize_with_lexicon(sentences.select("doc_id", "sent_idx", "text"), ["doc_id", "sent_idx"], "text", gold, phones, rewrites), "normalized")
-    tokens = tokenize(sentences)
-    types = resolve_words(word_totals(sentences), gold, phones, overrides, tiers)
-    senses = homograph_senses(sentences).select("doc_id", "sent_idx", "word_idx", "sense_ipa")
-    said = tokens.join(types.select(F.col("word").alias("token"), "ipa", "tier"), "token", "left").join(senses, ["doc_id", "sent_idx", "word_idx"], "left")
-    word = F.when(F.col("tier") == "override", F.col("ipa")).otherwise(F.coalesce("sense_ipa", "ipa", F.lit("")))
-    ipa = F.when(F.col("kind") == "punct", F.col("token")).otherwise(word)
-    return render_phonemes(said.select("doc_id", "sent_idx", "tok_idx", "kind", ipa.alias("ipa")))
+    counts = stored(word_totals(sentences), "words")
+    types = resolve_words(counts, gold, phones, overrides, tiers)
+    table = stored(counts.join(types, "word", "left").select("word", "n", F.when(F.col("ipa") != "", F.concat(F.lit(" "), "ipa")).otherwise(SILENT).alias("answer"), F.coalesce(F.col("tier") == "override", F.lit(False)).alias("fixed")), "said")
+    homograph = F.lower("word").isin(*HOMOGRAPHS)
+
+    def senses(rows: DataFrame) -> DataFrame:
+        held = rows.where(F.exists("asked", lambda w: F.lower(w).isin(*HOMOGRAPHS))).select(F.col("id").alias("doc_id"), F.lit(0).alias("sent_idx"), "text")
+        return homograph_senses(held).groupBy(F.col("doc_id").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct("word_idx", "sense_ipa"))).alias("extra"))
+
+    kept = {r["word"] for r in table.where(homograph & F.col("fixed")).select("word").collect()}  # a homograph's spellings
+    said = said_by_table(sentences, "text", table, tokens_of, partial(said_tokens, kept=kept), {m: m for m in MARKS}, homograph & ~F.col("fixed"), senses)
+    return said.where("said <> ''").select("doc_id", "sent_idx", F.col("said").alias("phonemes"))
